@@ -74,15 +74,14 @@ def held_out(doc_id: Column) -> Column:
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
     """d[r] for r up to K (d[0] unused), from n_1 .. n_{K+1}; half a count less where Good-Turing gives none."""
     n = [0, *counts_of_counts]
-    d = np.ones(K + 1)
-    if all(n[1 : K + 2]):
-        common = (K + 1) * n[K + 1] / n[1]
-        if common != 1:
-            for r in range(1, K + 1):
-                d[r] = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
-            if ((d[1:] > 0) & (d[1:] < 1)).all():
-                return d
-    return np.array([1.0, *[(r - 0.5) / r for r in range(1, K + 1)]])
+    common = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
+    d = np.array([1.0, *[(r - 0.5) / r for r in range(1, K + 1)]])
+    for r in range(1, K + 1):
+        if n[r] and common < 1:
+            turing = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
+            if 0 < turing < 1:
+                d[r] = turing
+    return d
 
 
 def kept_mass(d: np.ndarray, counts: np.ndarray) -> np.ndarray:

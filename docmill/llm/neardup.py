@@ -13,8 +13,9 @@ the link graph are returned, without expanding copies or groups into all their p
    posterior probability that the similarity reaches the threshold ``t`` is P(Binomial(n + 1, t) <= m); a
    pair goes when that falls below ``MISS``. What survives is verified on full sets.
 5. What a pivot's star leaves open are pairs of a bucket in different components. Members outside the
-   bucket's main component are compared with all others, in blocks of bounded size, by the same batches;
-   survivors are verified on full sets and the components are computed again.
+   bucket's main component are compared with all others, in blocks of bounded weight, by the same batches
+   and on full sets where these leave a pair. A block returns links that join its components, not all its
+   pairs; the components are then computed again.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; fewer words than a
 shingle form one shingle; repeated rows (of one doc_id, which must be copies) are one document; rows
@@ -41,8 +42,10 @@ BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 #: Minima compared before the next look at the posterior, and the posterior below which a pair goes.
 BATCH, MISS = 32, 1e-9
-#: Members of a bucket on either side of a block of comparisons.
-BLOCK = 1024
+#: Weight of a bucket's members on either side of a block of comparisons: one each, and one for so many shingles.
+BLOCK, HEAVY = 1024, 2000
+#: Columns of an incidence matrix.
+WIDE = 4096
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _random.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -167,6 +170,8 @@ def _prune(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
                 good = survives(_matrix(batch.column("a_minima")), _matrix(batch.column("b_minima")), least)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    found = found.join(ids, "rep", "left_semi")
     side = lambda s: found.select(*[F.col(c).alias(f"{s}{d}") for c, d in (("rep", ""), ("n_shingles", "_n"), ("minima", "_minima"))])
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     fits = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9
@@ -206,84 +211,126 @@ def _verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> Dat
     )
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket's members, but its pivot, in different components that sizes and signatures allow.
+def _intersections(left: list[np.ndarray], home: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all wanted pairs; zero or more elsewhere."""
+    out = np.zeros(wanted.shape, dtype=np.float32)
+    x, y = np.nonzero(wanted)
+    sizes = np.array([len(s) for s in (*left, *home)])
+    each, nth = np.unique(np.concatenate([*left, *home]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    often = np.bincount(nth, minlength=len(each)) > 1
+    column = np.cumsum(often)[nth] - 1
+    row, column = row[often[nth]], column[often[nth]]
+    width = int(often.sum())
+    if len(x) * (2e-5 + 1e-7 * sizes.mean()) < 1e-10 * len(left) * len(home) * width:
+        for i, j in zip(x, y):
+            out[i, j] = len(left[i]) + len(home[j]) - len(np.union1d(left[i], home[j]))
+        return out
+    # Shingles of one document only are gone; a product of the others' incidences counts what two have in common.
+    for first in range(0, width, WIDE):
+        dense = np.zeros((len(sizes), min(WIDE, width - first)), dtype=np.float32)
+        here = (column >= first) & (column < first + WIDE)
+        dense[row[here], column[here] - first] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out
+
+
+def _spanning(left: np.ndarray, home: np.ndarray, parts: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between left and home documents, as many as join all the parts that they join."""
+    found, n = [], len(left)
+    parts = parts.copy()
+    for i in np.flatnonzero(linked.any(axis=1)):
+        others = np.flatnonzero(linked[i])
+        met, at = np.unique(parts[n + others], return_index=True)
+        at = at[met != parts[i]]
+        if len(at):
+            found += [(int(min(left[i], home[j])), int(max(left[i], home[j]))) for j in others[at]]
+            parts[np.isin(parts, met)] = parts[i]
+    return found
+
+
+def _open_links(members: DataFrame, labels: DataFrame, found: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that join components within a bucket, beside those of its pivot.
 
-    ``members``: bucket, rep, pivot. The rows of a bucket are compared in blocks of ``BLOCK`` by ``BLOCK``.
+    ``members``: bucket, rep, pivot. The rows of a bucket are compared in blocks of bounded weight, on full
+    sets where the signatures leave a pair; a block returns no more links than join its components.
     """
+    threshold, least = percent / 100, least_matches(percent / 100)
     labelled = (
         members.filter(F.col("rep") != F.col("pivot")).select("bucket", "rep")
         .join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
+        .join(found.select("rep", "n_shingles"), "rep")
+        .select("bucket", "rep", F.coalesce("component", "rep").alias("component"), (1 + F.col("n_shingles") / HEAVY).alias("weight"))
     )
-    per_component = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
-        per_component.groupBy("bucket")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("n_components"))
+        labelled.groupBy("bucket", "component").agg(F.sum("weight").alias("w"))
+        .groupBy("bucket")
+        .agg(F.sum("w").alias("w"), F.max(F.struct("w", "component")).alias("main"), F.count(F.lit(1)).alias("n_components"))
         .filter(F.col("n_components") > 1)
-        .select("bucket", "n", F.col("main.component").alias("main"), (F.col("n") - F.col("main.n")).alias("n_left"))
+        .select("bucket", "w", F.col("main.component").alias("main"), (F.col("w") - F.col("main.w")).alias("w_left"))
     )
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(F.col(w) / F.lit(BLOCK))).cast("int")
     rows = labelled.join(mixed, "bucket").withColumn("is_left", F.col("component") != F.col("main"))
-    dealt = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    home = rows.select("bucket", "rep", "component", F.lit(False).alias("asks"), dealt("n").alias("home"), every("n_left").alias("left"))
-    asking = rows.filter("is_left").select("bucket", "rep", "component", F.lit(True).alias("asks"), every("n").alias("home"), dealt("n_left").alias("left"))
-    least = least_matches(threshold)
-    kind = found.schema["rep"].dataType
+    dealt = lambda w: F.pmod(F.xxhash64("rep"), blocks(w)).cast("int")
+    every = lambda w: F.explode(F.sequence(F.lit(0), blocks(w) - 1))
+    home = rows.select("bucket", "rep", "component", F.lit(False).alias("asks"), dealt("w").alias("home"), every("w_left").alias("left"))
+    asking = rows.filter("is_left").select("bucket", "rep", "component", F.lit(True).alias("asks"), every("w").alias("home"), dealt("w_left").alias("left"))
+    dealt_out = save(home.unionByName(asking), "neardup-blocks")
+    ids = dealt_out.select(F.col("rep").alias("doc_id")).distinct()
+    texts = (
+        documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+        .groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text"))
+    )
 
     def compare(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), dtype=bool)
-        sides = [group.filter(pa.array(x)).combine_chunks() for x in (asks, ~asks)]
-        (ra, ca, na, ma), (rb, cb, nb, mb) = (
-            (np.array(t.column("rep").to_pylist()), np.array(t.column("component").to_pylist()), np.array(t.column("n_shingles").to_pylist()),
-             _matrix(t.column("minima"))) for t in sides
-        )
-        a, b = [], []
-        for i in range(0, len(ra), 32):
-            part = slice(i, i + 32)
-            good = (ca[part, None] != cb[None, :]) & _similar_sizes(na[part, None], nb[None, :], threshold)
-            x, y = np.nonzero(good)
-            for j in range(0, len(x), 1 << 16):
-                p, q = x[j : j + (1 << 16)] + i, y[j : j + (1 << 16)]
-                alive = survives(ma[p], mb[q], least)
-                a += np.minimum(ra[p[alive]], rb[q[alive]]).tolist()
-                b += np.maximum(ra[p[alive]], rb[q[alive]]).tolist()
-        return pa.table({"a": a, "b": b}, schema=schema)
+        order = np.r_[np.flatnonzero(asks), np.flatnonzero(~asks)]
+        n_left = int(asks.sum())
+        found_links: list[tuple[int, int]] = []
+        if 0 < n_left < len(order):
+            group = group.take(pa.array(order))
+            ids, parts = group.column("rep").to_numpy(), group.column("component").to_numpy()
+            sets = list(shingle_sets(group.column("text"), n))
+            minima, size = signatures(sets), np.array([len(x) for x in sets])
+            open_ = np.zeros((n_left, len(ids) - n_left), dtype=bool)
+            for i in range(n_left):
+                good = (parts[i] != parts[n_left:]) & _similar_sizes(size[i], size[n_left:], threshold)
+                y = np.flatnonzero(good)
+                open_[i, y] = survives(minima[i], minima[n_left + y], least)
+            if open_.any():
+                shared = _intersections(sets[:n_left], sets[n_left:], open_).astype(np.int64)
+                linked = open_ & (100 * shared >= percent * (size[:n_left, None] + size[None, n_left:] - shared))
+                found_links = _spanning(ids[:n_left], ids[n_left:], parts, linked)
+        return pa.table({"a": [a for a, _ in found_links], "b": [b for _, b in found_links]}, schema=schema)
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return (
-        home.unionByName(asking).join(found.select("rep", "n_shingles", "minima"), "rep")
-        .groupBy("bucket", "home", "left")
-        .applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
-        .distinct()
-    )
+    return dealt_out.join(texts, "rep").groupBy("bucket", "home", "left").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per document. doc_id must be a long."""
     threshold = percent / 100
-    every = save(features(documents, n), "neardup-features")
+    full = save(features(documents, n), "neardup-features")
+    every = full.select("doc_id", "n_shingles", "print")
     sets = every.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     found = save(
-        sets.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "minima")).alias("x"))
-        .select("print", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.minima").alias("minima")),
-        "neardup-sets",
+        sets.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "neardup-sets"
     )
+    minima = full.filter(F.col("minima").isNotNull()).select(F.col("doc_id").alias("rep"), "minima")
+    signed = found.select("rep", "n_shingles").join(minima.dropDuplicates(["rep"]), "rep")
     band = lambda i: F.xxhash64(i, F.substr("minima", i * (4 * ROWS) + 1, F.lit(4 * ROWS)))
-    buckets = found.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    buckets = signed.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    buckets = save(buckets, "neardup-bands")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     members = save(buckets.join(shared, "bucket"), "neardup-buckets")
     central = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     pivots = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("meets", "rep"))["rep"].alias("pivot"))
     members = save(members.join(pivots, "bucket").select("bucket", "rep", "pivot"), "neardup-members")
     pairs = members.filter(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = save(_prune(pairs, found, threshold), "neardup-pairs")
+    tried = save(_prune(save(pairs, "neardup-stars"), signed, threshold), "neardup-pairs")
     links = save(_verify(tried, documents, n, percent), "neardup-links")
     labels = save(components(links), "neardup-labels")
-    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = save(_open_pairs(members, labels, found, threshold).join(both, ["a", "b"], "left_anti"), "neardup-open")
-    more = save(_verify(left, documents, n, percent), "neardup-links")
+    more = save(_open_links(members, labels, found, documents, n, percent), "neardup-links")
     if more.take(1):
         labels = save(components(links.unionByName(more)), "neardup-labels")
     named = found.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
