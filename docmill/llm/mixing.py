@@ -16,7 +16,7 @@ source (4096 at most) are scanned together.
 
 Defined cases: null text has size 0; a source of size 0 has target 0; a null source is the last source; an
 empty table gives no rows; repeated rows are separate documents and are equal in the order; very long texts
-are counted whole; further columns are ignored.
+are counted whole; further columns are kept by :func:`mix_documents` and ignored by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -79,55 +79,81 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def _sized(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    return [
+        doc_id.alias("doc_id"),
+        source.alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("order_key"),
+    ]
+
+
 def sized(documents: DataFrame) -> DataFrame:
     """doc_id, source, size and the order key; one pass over the texts, then only narrow rows."""
-    return documents.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order_key"),
-    )
+    return documents.select(*_sized(F.col("doc_id"), F.col("source"), F.col("text")))
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of the first pass; a row per document, unsorted."""
-    rows = save(sized(documents), "mix-sizes").withColumn("bucket", F.left("order_key", F.lit(BUCKET_DIGITS)))
+def _bucket() -> Column:
+    return F.left("order_key", F.lit(BUCKET_DIGITS))
+
+
+def _plan(sizes: DataFrame) -> DataFrame:
+    """Of each source and bucket: its source's target and where the bucket's words begin."""
+    rows = sizes.withColumn("bucket", _bucket())
     targets = save(source_targets(rows), "mix-targets")
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    return (
         rows.groupBy("source", "bucket")
         .agg(F.sum("size").alias("bucket_size"))
         .select(
-            F.col("source").alias("start_source"),
-            F.col("bucket").alias("start_bucket"),
+            F.col("source").alias("plan_source"),
+            F.col("bucket").alias("plan_bucket"),
             F.coalesce(F.sum("bucket_size").over(by_source), F.lit(0)).alias("start"),
         )
-        .join(
-            targets.withColumnRenamed("source", "target_source"), F.col("start_source").eqNullSafe(F.col("target_source"))
-        )
-        .drop("target_source")
+        .join(targets, F.col("plan_source").eqNullSafe(F.col("source")))
+        .drop("source")
     )
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, size, order_key and any others) with what the mix takes of each."""
     in_bucket = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = (
-        rows.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-        .join(starts, F.col("source").eqNullSafe(F.col("start_source")) & (F.col("bucket") == F.col("start_bucket")))
-        .withColumn("begins", F.col("start") + F.col("before"))
-    )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
-    return laid.withColumn("passes", passes).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "slope",
-        "begins",
-        (
-            F.col("passes") * F.col("size") + F.least(F.greatest(rest - F.col("begins"), F.lit(0)), F.col("size"))
-        ).alias("taken"),
-        F.when((F.col("passes") > 0) | (rest > F.col("begins")), training_time(F.col("begins"))).alias("position"),
+    return (
+        rows.withColumn("bucket", _bucket())
+        .withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
+        .join(plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("bucket") == F.col("plan_bucket")))
+        .withColumn("begins", F.col("start") + F.col("before"))
+        .withColumn("passes", passes)
+        .withColumn("taken", F.col("passes") * F.col("size") + F.least(F.greatest(rest - F.col("begins"), F.lit(0)), F.col("size")))
+        .withColumn("position", F.when((F.col("passes") > 0) | (rest > F.col("begins")), training_time(F.col("begins"))))
+    )
+
+
+def mix(documents: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position of the first pass; a row per document, unsorted."""
+    rows = save(sized(documents), "mix-sizes")
+    return _taken(rows, _plan(rows)).select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+
+
+def mix_documents(documents: DataFrame) -> DataFrame:
+    """Whole documents, all columns, as often as the mix passes over them, range-sorted by training position.
+
+    A pass that takes less than half of a document, one at most in each source, is left out.
+    """
+    own = {c: f"own_{i}" for i, c in enumerate(documents.columns)}
+    wide = documents.withColumnsRenamed(own).select("*", *_sized(F.col(own["doc_id"]), F.col(own["source"]), F.col(own["text"])))
+    plan = save(_plan(save(sized(documents), "mix-sizes")), "mix-plan")
+    passes = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    visits = (
+        _taken(wide, plan).filter(F.col("taken") > 0)
+        .select(*own.values(), "doc_id", "size", "taken", "begins", "source_size", "target", "slope", F.explode(F.sequence(F.lit(0), passes - 1)).alias("nth"))
+        .filter(2 * (F.col("taken") - F.col("nth") * F.col("size")) >= F.col("size"))
+        .withColumn("position", training_time(F.col("begins") + F.col("nth") * F.col("source_size")))
     )
+    order = ["position", "doc_id", "nth"]
+    return visits.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
 def training_time(begins: Column) -> Column:
@@ -140,22 +166,3 @@ def training_order(mixed: DataFrame) -> DataFrame:
     """Range-sorted by training position; documents the mix leaves out come last."""
     order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
-def visits(mixed: DataFrame) -> DataFrame:
-    """A row per pass over a document: doc_id, nth pass, words taken, position. ``mixed`` as from :func:`mix`.
-
-    The last pass over a document may take a part of its words; ``words`` says how many.
-    """
-    n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
-    return (
-        mixed.filter(F.col("taken") > 0)
-        .select("*", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("nth"))
-        .select(
-            "doc_id",
-            "nth",
-            F.least(F.col("size"), F.col("taken") - F.col("nth") * F.col("size")).alias("words"),
-            "size",
-            training_time(F.col("begins") + F.col("nth") * F.col("source_size")).alias("position"),
-        )
-    )
