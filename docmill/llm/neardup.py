@@ -183,10 +183,17 @@ def _prune(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
+def _candidate_texts(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that share a bucket: the one time that texts are shuffled as a whole.
+
+    The ids are never broadcast, as they grow with the data.
+    """
+    ids = members.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
+    return documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough: 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +211,7 @@ def _verify(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> Dat
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"{s}_text"))
-    kind = documents.schema["doc_id"].dataType
+    kind = texts.schema["doc_id"].dataType
     return (
         pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
         .mapInArrow(linked, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
@@ -249,7 +256,7 @@ def _spanning(left: np.ndarray, home: np.ndarray, parts: np.ndarray, linked: np.
     return found
 
 
-def _open_links(members: DataFrame, labels: DataFrame, found: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
+def _open_links(members: DataFrame, labels: DataFrame, found: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links that join components within a bucket, beside those of its pivot.
 
     ``members``: bucket, rep, pivot. The rows of a bucket are compared in blocks of bounded weight, on full
@@ -276,12 +283,6 @@ def _open_links(members: DataFrame, labels: DataFrame, found: DataFrame, documen
     home = rows.select("bucket", "rep", "component", F.lit(False).alias("asks"), dealt("w").alias("home"), every("w_left").alias("left"))
     asking = rows.filter("is_left").select("bucket", "rep", "component", F.lit(True).alias("asks"), every("w").alias("home"), dealt("w_left").alias("left"))
     dealt_out = save(home.unionByName(asking), "neardup-blocks")
-    ids = dealt_out.select(F.col("rep").alias("doc_id")).distinct()
-    texts = (
-        documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-        .groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text"))
-    )
-
     def compare(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), dtype=bool)
         order = np.r_[np.flatnonzero(asks), np.flatnonzero(~asks)]
@@ -304,7 +305,7 @@ def _open_links(members: DataFrame, labels: DataFrame, found: DataFrame, documen
         return pa.table({"a": [a for a, _ in found_links], "b": [b for _, b in found_links]}, schema=schema)
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return dealt_out.join(texts, "rep").groupBy("bucket", "home", "left").applyInArrow(compare, "a long, b long").distinct()
+    return dealt_out.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("bucket", "home", "left").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -326,11 +327,12 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     central = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     pivots = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("meets", "rep"))["rep"].alias("pivot"))
     members = save(members.join(pivots, "bucket").select("bucket", "rep", "pivot"), "neardup-members")
+    texts = save(_candidate_texts(documents, members), "neardup-texts")
     pairs = members.filter(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tried = save(_prune(save(pairs, "neardup-stars"), signed, threshold), "neardup-pairs")
-    links = save(_verify(tried, documents, n, percent), "neardup-links")
+    links = save(_verify(tried, texts, n, percent), "neardup-links")
     labels = save(components(links), "neardup-labels")
-    more = save(_open_links(members, labels, found, documents, n, percent), "neardup-links")
+    more = save(_open_links(members, labels, found, texts, n, percent), "neardup-links")
     if more.take(1):
         labels = save(components(links.unionByName(more)), "neardup-labels")
     named = found.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -345,5 +347,5 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
 def deduplicate(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, with one of each group of near-duplicates."""
     kept = near_duplicates(documents, n, percent).filter("kept").select("doc_id").distinct()
-    named = documents.join(kept.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi")
+    named = documents.join(kept.filter(F.col("doc_id").isNotNull()).hint("shuffle_hash"), "doc_id", "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(documents.filter(F.col("doc_id").isNull())).select(*documents.columns)
