@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -20,6 +21,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most, from here on: what a Python worker holds at once follows their size."""
+    given = spark.conf.get(BATCH_CONF, None)
+    digits = (given or "").rstrip("bB")
+    if not digits.isdigit() or int(digits) > BATCH_BYTES or int(digits) <= 0:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_root(spark)}/docmill/{name}-{uuid.uuid4().hex}"
@@ -42,4 +51,5 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
