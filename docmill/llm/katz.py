@@ -8,14 +8,15 @@
 ``d`` is Katz's discount from Good-Turing counts of counts up to ``K``, 1 beyond; ``a(v)`` gives the unseen
 words exactly what the seen ones leave. Where nothing is left, as all counts exceed ``K``, the seen estimates
 are scaled by ``c / (c + 1)``. Every text is followed by one end token, which is also the context of the
-first word, so that a context's count is its word's count. A word is known by 64 bits of its hash, a
-continuation within a context by 48.
+first word, so that a context's count is its word's count. A word is known by 64 bits of its hash, and in
+pairs by its number in the vocabulary, which the word counts give it.
 
 Counting and scoring move sorted arrays of distinct words and word pairs instead of tokens. Documents are
 tokenised once, in chunks of some million tokens, into a table bucketed by chunk. Each chunk sends its
 distinct words, and then its distinct pairs, once each to the part of the model that their (first) word
 belongs to, however frequent they are; a part merges what it gets, keeps its counts as rows of the model
-tables, and answers each chunk with arrays in the order it was asked. Everything that a task holds is bounded by a
+tables, and answers each chunk with arrays in the order it was asked. Pairs of a frequent first word are dealt to all parts
+by their second, and the sums of such contexts (a million at most) travel to the scoring tasks. Everything that a task holds is bounded by a
 chunk or a part, and all of it grows with the corpus.
 
 Defined cases: a null or empty text has the end token alone; rows without doc_id train; repeated rows count
@@ -41,27 +42,42 @@ from docmill.llm.textvec import SPACED, hash_words, slices, words
 #: Counts that are discounted.
 K = 5
 #: Tokens of a chunk, and of a part of the model.
-CHUNK_TOKENS, PART_TOKENS = 2_000_000, 4_000_000
+CHUNK_TOKENS, PART_TOKENS = 1_000_000, 2_000_000
+#: A context that is seen this often, and one in so many tokens, has its pairs dealt to all parts by their second word.
+HOT_COUNT, HOT_SHARE = 500_000, 1_000_000
 END = np.uint64(0xE0D0C0B0A0908071)
 BASE = 0.1
 
 _STATS = [f"n{r}" for r in range(1, K + 2)]
-ANSWERS = "part int, chunk long, counts binary, deep binary, covered binary, keys binary, sizes binary, seen long, total long, " + ", ".join(
+ANSWERS = "part int, chunk long, counts binary, deep binary, covered binary, keys binary, sizes binary, words long, hot_key long, hot_covered double, seen long, total long, " + ", ".join(
     f"{n} long" for n in _STATS
 )
 _ANSWER_NAMES = [c.split()[0] for c in ANSWERS.split(", ")]
-_ANSWER_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 5, *[pa.int64()] * (2 + len(_STATS))]
+_ANSWER_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * (2 + len(_STATS))]
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Unsigned integers, byte planes apart, compressed."""
-    x = np.ascontiguousarray(x, dtype=np.uint32)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Whole numbers, byte planes apart, compressed; high planes of zeros take next to nothing."""
+    x = np.ascontiguousarray(x, dtype=np.uint64)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def expand(b: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def squeeze_runs(x: np.ndarray, starts: np.ndarray) -> bytes:
+    """Numbers that ascend within each run, by their differences."""
+    d = np.diff(x, prepend=0)
+    d[starts] = x[starts]
+    return squeeze(d)
+
+
+def expand_runs(b: bytes, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(expand(b))
+    starts = np.cumsum(sizes) - sizes
+    return total - np.repeat(np.r_[0, total][starts], sizes)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -92,8 +108,11 @@ def kept_mass(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Unigrams:
     """P(w) by count, and the unknown word's."""
 
-    def __init__(self, total: int, n: list[int], seen: int):
+    def __init__(self, total: int, n: list[int], seen: int, sizes: dict[int, int] | None = None):
+        """``sizes``: the words of each part, from which they are numbered."""
+        self.offsets = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1))]) if sizes else np.zeros(1, np.int64)
         self.total, self.seen, self.d = total, seen, discounts(n)
+        self.hot = max(HOT_COUNT, total // HOT_SHARE)
         left = sum(n[r - 1] * r * (1 - self.d[r]) for r in range(1, K + 1))
         self.scale = 1.0 if left > 0 else total / (total + 1)
         self.unknown = left / total if left > 0 else 1 - self.scale if total else 1.0
@@ -170,6 +189,12 @@ def _borders(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One at a time, as each is large."""
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _answer(part: int, chunk: int | None, **columns) -> tuple:
     return tuple({"part": part, "chunk": chunk, **columns}.get(n) for n in _ANSWER_NAMES)
 
@@ -184,12 +209,12 @@ def _count_stats(counts: np.ndarray) -> dict:
 
 
 def count_words(chunks: DataFrame, parts: int) -> DataFrame:
-    """Answers to each chunk (counts of its words), and for each part its words, counts and statistics."""
+    """Answers to each chunk (counts of its words and their places in the part), and for each part its words, counts and statistics."""
     begins = _borders(parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 vocabulary, counts = np.frombuffer(row["vocabulary"], dtype=np.uint64), expand(row["counts"])
                 cuts = np.r_[0, np.searchsorted(vocabulary, begins), len(vocabulary)]
                 rows = [(p, row["chunk"], vocabulary[a:b].tobytes(), squeeze(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
@@ -201,9 +226,12 @@ def count_words(chunks: DataFrame, parts: int) -> DataFrame:
         every, nth = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(nth, weights=np.concatenate([expand(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
         cuts = np.cumsum([0, *map(len, keys)])
-        out = [_answer(r["part"], r["chunk"], counts=squeeze(counts[nth[a:b]])) for r, a, b in zip(rows, cuts[:-1], cuts[1:])]
-        seen = counts > 0
-        return _table([*out, _answer(rows[0]["part"], None, keys=every[seen].tobytes(), counts=squeeze(counts[seen]), **_count_stats(counts))])
+        out = [
+            _answer(r["part"], r["chunk"], counts=squeeze(counts[nth[a:b]]), keys=squeeze_runs(nth[a:b], np.array([0])))
+            for r, a, b in zip(rows, cuts[:-1], cuts[1:])
+        ]
+        model = _answer(rows[0]["part"], None, keys=every.tobytes(), counts=squeeze(counts), words=len(every), **_count_stats(counts))
+        return _table([*out, model])
 
     asked = chunks.select("chunk", "vocabulary", "counts").mapInArrow(ask, "part int, chunk long, keys binary, counts binary")
     return save(asked.groupBy("part").applyInArrow(merge, ANSWERS), "katz-words")
@@ -227,75 +255,96 @@ class Pairs:
         self.first, self.second = codes // len(self.vocabulary), codes % len(self.vocabulary)
         self.counts = np.bincount(self.nth[self.train], minlength=len(codes))
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Local words that are contexts, and where their pairs begin, with the total behind."""
-        begins = np.flatnonzero(np.r_[True, self.first[1:] != self.first[:-1]])
-        return self.first[begins], np.r_[begins, len(self.first)]
+    def dealt(self, known: np.ndarray, begins: np.ndarray, hot: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By part: its number, its pairs, its contexts (local words), and where their pairs begin, with the total behind."""
+        home = np.searchsorted(begins, self.vocabulary, "right")
+        part = np.where(known[self.first] >= hot, home[self.second], home[self.first])
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            first = self.first[own]
+            starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+            out.append((int(part[own[0]]), own, first[starts], np.r_[starts, len(own)]))
+        return out
 
 
 def _joined(row: dict, field: str) -> np.ndarray:
     return np.concatenate([expand(x[field]) for x in sorted(row, key=lambda x: x["part"])])
 
 
+def _numbers(row: dict, offsets: np.ndarray) -> np.ndarray:
+    """The vocabulary's numbers of a chunk's words."""
+    parts = sorted(row, key=lambda x: x["part"])
+    places = [expand(x["keys"]) for x in parts]
+    return np.concatenate([offsets[x["part"]] + np.cumsum(p) for x, p in zip(parts, places)])
+
+
 def _by_chunk(answers: DataFrame, *fields: str) -> DataFrame:
     """The answers to a chunk together: as much as the chunk asked for."""
     return answers.filter(F.col("chunk").isNotNull()).groupBy("chunk").agg(F.collect_list(F.struct("part", *fields)).alias("answers"))
 
 
+def _codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for each pair, in the order of the pairs."""
+    if max(first.max(), second.max()) >> 31:
+        first, second = (np.unique(x, return_inverse=True)[1] for x in (first, second))
+    return (first << 31) | second
+
+
 def count_pairs(chunks: DataFrame, words_: DataFrame, unigrams: Unigrams, parts: int) -> DataFrame:
-    """As count_words, for word pairs by their first word's part; ``deep`` and ``covered`` tell of each context
-    how many continuations it has of each count up to K and how much of P(w) these and all others take."""
-    begins = _borders(parts)
+    """As count_words, for word pairs; ``deep`` and ``covered`` tell of each context how many continuations it
+    has of each count up to K and how much of P(w) these and all others take. Rows with a ``hot_key`` hold
+    a part's share of that for a frequent context."""
+    begins, hot, offsets = _borders(parts), unigrams.hot, unigrams.offsets
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "chunk", "keys", "sizes", "seconds", "counts", "known"]
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
         for batch in batches:
-            for row in batch.to_pylist():
-                pairs, known = Pairs(row), _joined(row["answers"], "counts")
-                context, starts = pairs.contexts()
-                cuts = np.r_[0, np.searchsorted(pairs.vocabulary[context], begins), len(context)]
-                rows = []
-                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if b > a:
-                        span = slice(starts[a], starts[b])
-                        second = pairs.second[span]
-                        short = (pairs.vocabulary[second] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                        rows.append((p, row["chunk"], pairs.vocabulary[context[a:b]].tobytes(), squeeze(np.diff(starts[a : b + 1])),
-                                     np.ascontiguousarray(short).tobytes(), squeeze(pairs.counts[span]), squeeze(np.minimum(known[second], 2**32 - 1))))
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "chunk", "keys", "sizes", "seconds", "counts", "known"])
+            for row in _rows(batch):
+                pairs, known, number = Pairs(row), _joined(row["answers"], "counts"), _numbers(row["answers"], offsets)
+                for part, own, context, starts in pairs.dealt(known, begins, hot):
+                    second = pairs.second[own]
+                    sizes = 2 * np.diff(starts) + (known[context] >= hot)
+                    answer = (part, row["chunk"], squeeze_runs(number[context], np.array([0])), squeeze(sizes), squeeze_runs(number[second], starts[:-1]),
+                              squeeze(pairs.counts[own]), squeeze(known[second]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(answer, kinds)], names)
 
     def merge(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
-        sizes = [expand(r["sizes"]) for r in rows]
+        marked = [expand(r["sizes"]) for r in rows]
+        sizes = [m >> 1 for m in marked]
+        keys = [np.cumsum(expand(r["keys"])) for r in rows]
         first = np.repeat(np.concatenate(keys), np.concatenate(sizes))
-        wide = np.zeros((len(first), 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(r["seconds"] for r in rows), dtype=np.uint8).reshape(-1, 6)
-        second = wide.view(np.uint64).reshape(-1)
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        nth = np.empty(len(order), dtype=np.int64)
-        nth[order] = np.cumsum(new) - 1
+        second = np.concatenate([expand_runs(r["seconds"], n) for r, n in zip(rows, sizes)])
+        _, at, nth = np.unique(_codes(first, second), return_index=True, return_inverse=True)
         counts = np.bincount(nth, weights=np.concatenate([expand(r["counts"]) for r in rows])).astype(np.int64)
-        known = np.concatenate([expand(r["known"]) for r in rows])[order][new]
-        a, b = a[new], b[new]
-        begins = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        contexts = a[begins]
+        first, second = first[at], second[at]
+        known = np.concatenate([expand(r["known"]) for r in rows])[at]
+        begins = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+        contexts = first[begins]
         deep = np.stack([np.add.reduceat((counts == r).astype(np.int64), begins) for r in range(1, K + 1)], axis=1)
         covered = np.add.reduceat(np.where(counts > 0, unigrams.p(known), 0.0), begins)
         cuts, out = np.cumsum([0, *(s.sum() for s in sizes)]), []
-        for r, own, x, y in zip(rows, keys, cuts[:-1], cuts[1:]):
+        is_hot = np.zeros(len(contexts), dtype=bool)
+        for r, own, m, x, y in zip(rows, keys, marked, cuts[:-1], cuts[1:]):
             at = np.searchsorted(contexts, own)
+            is_hot[at[m & 1 == 1]] = True
             out.append(_answer(r["part"], r["chunk"], counts=squeeze(counts[nth[x:y]]), deep=squeeze(deep[at].T.reshape(-1)), covered=covered[at].tobytes()))
+        for i in np.flatnonzero(is_hot):
+            share = {f"n{r + 1}": int(x) for r, x in enumerate(deep[i])}
+            out.append(_answer(None, None, hot_key=int(contexts[i]), hot_covered=float(covered[i]), **share))
         seen = counts > 0
         degree = np.add.reduceat(seen.astype(np.int64), begins)
-        model = _answer(rows[0]["part"], None, keys=contexts[degree > 0].tobytes(), sizes=squeeze(degree[degree > 0]), counts=squeeze(counts[seen]),
-                        deep=np.ascontiguousarray(b[seen].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), **_count_stats(counts))
+        contexts, degree = contexts[degree > 0], degree[degree > 0]
+        model = _answer(rows[0]["part"], None, keys=squeeze_runs(contexts, np.zeros(min(1, len(contexts)), dtype=np.int64)), sizes=squeeze(degree), counts=squeeze(counts[seen]),
+                        deep=squeeze_runs(second[seen], np.cumsum(degree) - degree), **_count_stats(counts))
         return _table([*out, model])
 
     asked = (
-        chunks.join(_by_chunk(words_, "counts").hint("shuffle_hash"), "chunk")
+        chunks.join(_by_chunk(words_, "counts", "keys").hint("shuffle_hash"), "chunk")
         .select("chunk", "train", "lengths", "vocabulary", "tokens", "ranks", "answers")
         .mapInArrow(ask, "part int, chunk long, keys binary, sizes binary, seconds binary, counts binary, known binary")
     )
@@ -311,40 +360,60 @@ def backoff_weights(d: np.ndarray, total: np.ndarray, deep: np.ndarray, covered:
     return scale, mass / (1 - covered)
 
 
-def pair_probability(row: dict, unigrams: Unigrams, d: np.ndarray) -> tuple[Pairs, np.ndarray, np.ndarray]:
+class HotContexts:
+    """Sums of the frequent contexts over all parts, by their numbers."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["hot_key"])
+        self.keys = np.array([r["hot_key"] for r in rows], dtype=np.int64)
+        self.deep = np.array([[r[n] for n in _STATS[:K]] for r in rows], dtype=np.int64).reshape(-1, K)
+        self.covered = np.array([r["hot_covered"] for r in rows], dtype=np.float64)
+
+
+def pair_probability(row: dict, unigrams: Unigrams, d: np.ndarray, begins: np.ndarray, hot: HotContexts) -> tuple[Pairs, np.ndarray, np.ndarray]:
     """A chunk's pairs, the count of each local word, and each pair's probability."""
     pairs, known = Pairs(row), _joined(row["answers"], "counts")
-    answers = sorted(row["pair_answers"], key=lambda x: x["part"])
-    counts = _joined(row["pair_answers"], "counts")
-    deep = np.concatenate([expand(x["deep"]).reshape(K, -1).T for x in answers])
-    covered = np.concatenate([np.frombuffer(x["covered"]) for x in answers])
-    context, starts = pairs.contexts()
-    scale, weight = backoff_weights(d, known[context], deep, covered)
-    of = np.repeat(np.arange(len(context)), np.diff(starts))
-    total = known[context][of]
-    single = unigrams.p(known[pairs.second])
-    seen = scale[of] * kept_mass(d, counts) / np.maximum(total, 1)
-    return pairs, known, np.where(total == 0, single, np.where(counts > 0, seen, weight[of] * single))
+    answers = {x["part"]: x for x in row["pair_answers"]}
+    counts = np.empty(len(pairs.first), dtype=np.int64)
+    deep, covered = np.zeros((len(known), K), dtype=np.int64), np.zeros(len(known))
+    for part, own, context, _ in pairs.dealt(known, begins, unigrams.hot):
+        answer = answers[part]
+        counts[own] = expand(answer["counts"])
+        deep[context] = expand(answer["deep"]).reshape(K, -1).T
+        covered[context] = np.frombuffer(answer["covered"])
+    frequent = np.flatnonzero(known >= unigrams.hot)
+    at = np.searchsorted(hot.keys, _numbers(row["answers"], unigrams.offsets)[frequent])
+    deep[frequent], covered[frequent] = hot.deep[at], hot.covered[at]
+    scale, weight = backoff_weights(d, known, deep, covered)
+    total = known[pairs.first]
+    single = unigrams.p(known)[pairs.second]
+    seen = scale[pairs.first] * kept_mass(d, counts) / np.maximum(total, 1)
+    return pairs, known, np.where(total == 0, single, np.where(counts > 0, seen, weight[pairs.first] * single))
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
+    spark = documents.sparkSession
     chunks = chunked(documents)
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-tokens // PART_TOKENS))
     stats = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "total", *_STATS)]
     words_ = count_words(chunks, parts)
     s = words_.agg(*stats).first()
-    unigrams = Unigrams(s["total"], [s[n] for n in _STATS], s["seen"])
+    sizes = {r["part"]: r["words"] for r in words_.filter(F.col("words").isNotNull()).select("part", "words").collect()}
+    unigrams = Unigrams(s["total"], [s[n] for n in _STATS], s["seen"], sizes)
     pairs_ = count_pairs(chunks, words_, unigrams, parts)
-    s = pairs_.agg(*stats).first()
+    s = pairs_.filter(F.col("hot_key").isNull()).agg(*stats).first()
     d = discounts([s[n] for n in _STATS])
-    total, distinct = unigrams.total, unigrams.seen
+    total, distinct, begins = unigrams.total, unigrams.seen, _borders(parts)
+    sums = [F.sum(c).alias(c) for c in ("hot_covered", *_STATS[:K])]
+    # Each has one in HOT_SHARE tokens at least, so there are no more than HOT_SHARE.
+    hot = spark.sparkContext.broadcast(HotContexts(pairs_.filter(F.col("hot_key").isNotNull()).groupBy("hot_key").agg(*sums).collect()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                pairs, known, p = pair_probability(row, unigrams, d)
+            for row in _rows(batch):
+                pairs, known, p = pair_probability(row, unigrams, d, begins, hot.value)
                 base = np.log10((known + BASE) / (total + BASE * (distinct + 1)))[pairs.tokens]
                 at = np.cumsum(np.r_[0, pairs.length[:-1]])
                 yield pa.RecordBatch.from_arrays(
@@ -359,7 +428,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 )
 
     whole = (
-        chunks.join(_by_chunk(words_, "counts").hint("shuffle_hash"), "chunk")
+        chunks.join(_by_chunk(words_, "counts", "keys").hint("shuffle_hash"), "chunk")
         .join(_by_chunk(pairs_, "counts", "deep", "covered").withColumnRenamed("answers", "pair_answers").hint("shuffle_hash"), "chunk")
         .select("ids", "train", "lengths", "vocabulary", "tokens", "ranks", "answers", "pair_answers")
     )
