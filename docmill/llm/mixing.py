@@ -93,38 +93,36 @@ def sized(documents: DataFrame) -> DataFrame:
     return documents.select(*_sized(F.col("doc_id"), F.col("source"), F.col("text")))
 
 
-def _bucket() -> Column:
-    return F.left("order_key", F.lit(BUCKET_DIGITS))
+def _place() -> list[Column]:
+    """What a document's place in the order is dealt by: its source, never null, and its bucket."""
+    return [F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")).alias("source_key"), F.left("order_key", F.lit(BUCKET_DIGITS)).alias("bucket")]
 
 
 def _plan(sizes: DataFrame) -> DataFrame:
     """Of each source and bucket: its source's target and where the bucket's words begin."""
-    rows = sizes.withColumn("bucket", _bucket())
-    targets = save(source_targets(rows), "mix-targets")
-    by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.groupBy("source", "bucket")
+    targets = save(source_targets(sizes), "mix-targets")
+    by_source = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (
+        sizes.select("source", "size", *_place())
+        .groupBy("source", "source_key", "bucket")
         .agg(F.sum("size").alias("bucket_size"))
-        .select(
-            F.col("source").alias("plan_source"),
-            F.col("bucket").alias("plan_bucket"),
-            F.coalesce(F.sum("bucket_size").over(by_source), F.lit(0)).alias("start"),
-        )
-        .join(targets, F.col("plan_source").eqNullSafe(F.col("source")))
-        .drop("source")
+        .select(F.col("source").alias("own_source"), "source_key", "bucket", F.coalesce(F.sum("bucket_size").over(by_source), F.lit(0)).alias("start"))
     )
+    return sums.join(targets, F.col("own_source").eqNullSafe(F.col("source"))).drop("source", "own_source")
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows (doc_id, source, size, order_key and any others) with what the mix takes of each."""
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    """Rows (doc_id, source, size, order_key and any others) with what the mix takes of each.
+
+    The join and the window have the same keys, so that rows are shuffled once for both.
+    """
+    in_bucket = Window.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
     return (
-        rows.withColumn("bucket", _bucket())
-        .withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("bucket") == F.col("plan_bucket")))
-        .withColumn("begins", F.col("start") + F.col("before"))
+        rows.select("*", *_place())
+        .join(plan, ["source_key", "bucket"])
+        .withColumn("begins", F.col("start") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
         .withColumn("passes", passes)
         .withColumn("taken", F.col("passes") * F.col("size") + F.least(F.greatest(rest - F.col("begins"), F.lit(0)), F.col("size")))
         .withColumn("position", F.when((F.col("passes") > 0) | (rest > F.col("begins")), training_time(F.col("begins"))))
