@@ -27,7 +27,9 @@ from docmill.llm.shared import save
 LIMIT_BYTES = 1 << 20
 HASH_BITS = 60
 #: Bits that cells have beyond the depth that an even spread would need, and the step when that isn't enough.
-SPARE_BITS, STEP_BITS = 6, 8
+SPARE_BITS, STEP_BITS = 4, 8
+#: Cells up to which the directory is broadcast, at some 50 bytes each; a larger one is joined by shuffling.
+BROADCAST_CELLS = 200_000
 
 
 def hash_key(key: Column) -> Column:
@@ -91,15 +93,20 @@ def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> list[tuple[int, Data
         start, depth = depth + 1, min(HASH_BITS, depth + STEP_BITS)
 
 
-def _look_up(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
-    """Rows with bucket_depth, bucket, bucket_bytes and bucket_docs."""
+def _look_up(rows: DataFrame, levels: list[tuple[int, DataFrame]], limit: int) -> DataFrame:
+    """Rows with bucket_depth, bucket, bucket_bytes, bucket_docs and page."""
     names = ["bucket_depth", "bucket", "bucket_bytes", "bucket_docs"]
+    unsplit = False
     for nth, (depth, cells) in enumerate(levels):
+        n_cells, oversized = cells.agg(F.count(F.lit(1)), F.max((F.col("bucket_bytes") > limit) & (F.col("bucket_docs") > 1))).first()
+        unsplit = unsplit or bool(oversized)
         own = cells.select(F.col("cell").alias(f"cell_{nth}"), *[F.col(c).alias(f"{c}_{nth}") for c in names])
+        own = F.broadcast(own) if n_cells <= BROADCAST_CELLS else own.hint("merge")
         rows = rows.join(own, _prefix(F.col("key_hash"), depth) == F.col(f"cell_{nth}"), "left")
     found = [F.coalesce(*[F.col(f"{c}_{nth}") for nth in range(len(levels))]).alias(c) for c in names]
     gone = [f"{c}_{nth}" for nth in range(len(levels)) for c in ["cell", *names]]
-    return rows.select("*", *found).drop(*gone)
+    rows = rows.select("*", *found).drop(*gone)
+    return _paged(rows, limit) if unsplit else rows.withColumn("page", F.lit(0).cast("long"))
 
 
 def _paged(rows: DataFrame, limit: int) -> DataFrame:
@@ -128,7 +135,7 @@ def assign_shards(documents: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         ),
         "shard-rows",
     )
-    found = _paged(_look_up(rows, directory(rows, limit)), limit)
+    found = _look_up(rows, directory(rows, limit), limit)
     return found.select("doc_id", "n_bytes", _shard_name().alias("shard"), *_shard_facts())
 
 
@@ -157,7 +164,7 @@ def shard_documents(documents: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame
         "*", hash_key(F.col("doc_id")).alias("key_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
     levels = directory(save(wide.select("key_hash", "n_bytes"), "shard-rows"), limit)
-    found = _paged(_look_up(wide, levels), limit).withColumn("shard", _shard_name())
+    found = _look_up(wide, levels, limit).withColumn("shard", _shard_name())
     return (
         found.repartition("shard")
         .sortWithinPartitions("shard", "doc_id")
