@@ -36,13 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.shared import new_path, save
+from docmill.llm.shared import new_path, release, save
 from docmill.llm.textvec import SPACED, hash_words, slices, words
 
 #: Counts that are discounted.
 K = 5
 #: Tokens of a chunk, and of a part of the model.
-CHUNK_TOKENS, PART_TOKENS = 1_000_000, 2_000_000
+CHUNK_TOKENS, PART_TOKENS = 800_000, 1_500_000
 #: A context that is seen this often, and one in so many tokens, has its pairs dealt to all parts by their second word.
 HOT_COUNT, HOT_SHARE = 500_000, 1_000_000
 END = np.uint64(0xE0D0C0B0A0908071)
@@ -169,6 +169,7 @@ def chunked(documents: DataFrame) -> DataFrame:
                 held += len(starts) + s.last - s.first
                 if held >= CHUNK_TOKENS:
                     yield full()
+                    release()
                     number, ids, train, texts, held = number + 1, [], [], [], 0
         if ids:
             yield full()
@@ -193,6 +194,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """One at a time, as each is large."""
     for i in range(len(batch)):
         yield batch.slice(i, 1).to_pylist()[0]
+        release()
 
 
 def _answer(part: int, chunk: int | None, **columns) -> tuple:
@@ -341,6 +343,7 @@ def count_pairs(chunks: DataFrame, words_: DataFrame, unigrams: Unigrams, parts:
         contexts, degree = contexts[degree > 0], degree[degree > 0]
         model = _answer(rows[0]["part"], None, keys=squeeze_runs(contexts, np.zeros(min(1, len(contexts)), dtype=np.int64)), sizes=squeeze(degree), counts=squeeze(counts[seen]),
                         deep=squeeze_runs(second[seen], np.cumsum(degree) - degree), **_count_stats(counts))
+        release()
         return _table([*out, model])
 
     asked = (
