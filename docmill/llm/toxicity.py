@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from docmill.llm.textvec import ALNUM, hash_words, slices, words
 
 #: Labelled documents of each class that training takes at most, and the longest text among them.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 3000, 5000, 20_000
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2500, 4000, 20_000
 #: Likelihood ratio above which a word is toxic text, and the ordinary words kept.
 TELLING, ORDINARY_WORDS = 20.0, 9000
 REPEATS, LEVEL = 3, 12
