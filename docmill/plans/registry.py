@@ -1,14 +1,849 @@
-"""All queries of the engine's own operators, and the SQL that checks them."""
+"""All queries of the engine's own operators, and the SQL that checks them.
+
+The tables hold no Markdown, so most queries derive their input from them by an expression that the SQL repeats.
+"""
 
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docmill.functions import markdown as md
+from docmill.functions import text as tx
+from docmill.functions import urls
+from docmill.operators import chunks, companion, evidence, findings, layout, ledger, lines, threads
+from docmill.sources import epub, files, html
+from docmill.streaming import ledger as streams
 
+VERSION, TODAY = "1.0", "2024-01-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """Pages to scored, chunk-planned articles."""
+    found = html.articles(table(spark, sf_dir, "pages"), TODAY, VERSION)
+    planned = chunks.plan_chunks(found.select(F.col("page_id").alias("doc_id"), "body"))
+    sizes = planned.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
+    score = md.optimization_score(md.artifact_counts(F.col("body")))
+    return found.join(sizes, "page_id", "left").select("page_id", "title", "author", "file_name", "minutes", "valid", F.round(score, 2).alias("score"), "chunks", "tokens")
+
+
+@query()
+def articles(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# -- text ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{2,}'))) AS n FROM documents)
+SELECT doc_id, CAST(n AS BIGINT) AS words, CAST(greatest(1, round_even(n / 225.0, 0)) AS BIGINT) AS minutes FROM w
+""")
+def reading_time(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.word_total(F.col("text")).alias("words"), tx.reading_minutes(F.col("text")).alias("minutes"))
+
+
+_NUMERALS = r"""list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(replace({0}, '−', '-'), '(\d)-', '\1 ', 'g'), '-?\d[\d,]*\.?\d*%?'),
+  lambda x: regexp_replace(regexp_replace(replace(x, ',', ''), '%+$', ''), '\.+$', '')), lambda x: x <> '' AND x <> '-')))"""
+
+
+@query(f"SELECT doc_id, array_to_string({_NUMERALS.format('text')}, ' ') AS numerals FROM documents")
+def numeral_inventory(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.numerals(F.col("text")), " ").alias("numerals"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\d+'), lambda x: regexp_full_match(x, '[12]\d{3}')))), ' ') AS years FROM documents""")
+def year_inventory(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.years(F.col("text")), " ").alias("years"))
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, text, left(text, 2000) AS sample FROM documents)
+SELECT doc_id, coalesce(length(text) >= 100
+  AND 1 - len(regexp_extract_all(sample, '[\p{C}\p{Z}]')) / length(sample) + len(regexp_extract_all(sample, '[ \n\r\t]')) / length(sample) >= 0.75
+  AND len(list_filter(regexp_extract_all(sample, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]{3,}'))) >= 10, false) AS valid FROM s
+""")
+def content_validity(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.content_valid(F.col("text")).alias("valid"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(left(text, 200) || chr(1) || 'x' || chr(31) || chr(9) || chr(127) || chr(150) || 'y', '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', ' ', 'g') AS clean FROM documents""")
+def control_char_scrub(spark, sf_dir):
+    dirty = F.concat(F.left("text", F.lit(200)), F.lit("\x01x\x1f\t\x7f\x96y"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.scrub_controls(dirty).alias("clean"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')) AS text
+FROM (SELECT page_id AS doc_id, html AS h FROM pages)""")
+def html_strip_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.trim(tx.strip_html(F.col("html"))).alias("text"))
+
+
+@query(r"""SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 120) AS title FROM pages""")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
+
+
+_TOKENS = "regexp_extract_all(lower(text), '[a-z]{3,}')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, list_transform({_TOKENS}[1:40], lambda x: CASE WHEN length(x) > 6 THEN upper(x) ELSE x END) AS items FROM documents),
+r AS (SELECT doc_id, unnest(items) AS x, generate_subscripts(items, 1) AS i FROM t),
+f AS (SELECT doc_id, lower(x) AS k, arg_min(x, i) AS x, min(i) AS i FROM r GROUP BY ALL)
+SELECT d.doc_id, coalesce(string_agg(x, ',' ORDER BY i), '') AS items FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+""")
+def keyword_order(spark, sf_dir):
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1), 1, 40)
+    mixed = F.transform(words, lambda x: F.when(F.length(x) > 6, F.upper(x)).otherwise(x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keep_order_distinct(mixed), ",").alias("items"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(b, '^(?:(?:He|She|It|They)(?:[^\p{L}\p{N}_]|$)|(?:This|These)\s)') THEN 'User: ' || b ELSE b END AS body,
+  CASE WHEN t LIKE '%?' THEN t ELSE regexp_replace(t, '[?. !]+$', '') || '?' END AS question
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'It ' WHEN 1 THEN 'This ' WHEN 2 THEN 'Item ' ELSE 'They, ' END || left(text, 60) AS b,
+  regexp_replace(left(text, 30), '^\s+|\s+$', '', 'g') AS t FROM conversations)""")
+def pronouns_and_questions(spark, sf_dir):
+    lead = F.when(F.col("turn") % 4 == 0, "It ").when(F.col("turn") % 4 == 1, "This ").when(F.col("turn") % 4 == 2, "Item ").otherwise("They, ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.subject_first(F.concat(lead, F.left("text", F.lit(60))), F.lit("User")).alias("body"), tx.question_shape(F.left("text", F.lit(30))).alias("question"))
+
+
+@query("""
+WITH d AS (SELECT *, doc_id % 10 AS k, DATE '2020-01-01' + CAST(doc_id % 2000 AS INTEGER) AS day FROM documents)
+SELECT doc_id, CASE WHEN k = 9 THEN 'soon' ELSE strftime(day, '%Y-%m-%d') END AS iso FROM d
+""")
+def date_normalise(spark, sf_dir):
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 2000).cast("int"))
+    k = F.col("doc_id") % 10
+    forms = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "MM/dd/yyyy", "'on' yyyy-MM-dd 'at noon'"]
+    raw = F.lit("soon")
+    for i, f in enumerate(forms):
+        raw = F.when(k == i, F.date_format(day, f)).otherwise(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", tx.iso_date(raw).alias("iso"))
+
+
+@query(r"""
+WITH f AS (SELECT orderkey, category, systemic, title FROM (SELECT event_id AS orderkey, CASE WHEN event_id % 2 = 0 THEN 'ordering' ELSE 'metadata' END AS category, event_id % 3 = 0 AS systemic,
+  'Chapter ' || event_id || ': "' || event_type || '" isn’t right (' || user_id || ' times)!' AS title FROM events))
+SELECT orderkey AS event_id, left(sha256(category || '|' || CASE WHEN systemic THEN 'True' ELSE 'False' END || '|' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '["''“”‘’]', '', 'g'), '\d+', '', 'g'), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g'))), 16) AS signature FROM f
+""")
+def finding_signature(spark, sf_dir):
+    title = F.concat(F.lit("Chapter "), "event_id", F.lit(': "'), "event_type", F.lit('" isn’t right ('), "user_id", F.lit(" times)!"))
+    return table(spark, sf_dir, "events").select("event_id", tx.signature(F.when(F.col("event_id") % 2 == 0, "ordering").otherwise("metadata"), F.col("event_id") % 3 == 0, title).alias("signature"))
+
+
+# -- urls and names ------------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(regexp_extract(url, '\?([^#]*)', 1), '(?:^|&)page=([0-9]+)(?:&|$)', 1) AS n FROM pages)
+SELECT page_id, CASE WHEN n <> '' THEN 'page' END AS param, nullif(n, '') AS page FROM p
+""")
+def url_pagination(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.page_param(F.col("url")).alias("param"), urls.page_number(F.col("url")).cast("string").alias("page"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, url, regexp_extract(regexp_extract(url, '\?([^#]*)', 1), '(?:^|&)page=([0-9]+)(?:&|$)', 1) AS n FROM pages)
+SELECT page_id, CAST(i AS BIGINT) AS page, regexp_replace(url, '([?&]page=)[0-9]+', '\1' || i) AS url FROM (SELECT page_id, url, unnest(range(CAST(n AS BIGINT) + 1, CAST(n AS BIGINT) + 3)) AS i FROM p WHERE n <> '')
+""")
+def page_expansion(spark, sf_dir):
+    start = urls.page_number(F.col("url"))
+    rows = table(spark, sf_dir, "pages").filter(start.isNotNull()).select("page_id", "url", urls.page_param(F.col("url")).alias("param"), F.explode(F.sequence(start + 1, start + 2)).alias("page"))
+    return rows.select("page_id", "page", urls.page_url(F.col("url"), F.col("param"), F.col("page")).alias("url"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://old.reddit.com/r/x' WHEN 1 THEN 'https://medium.com/@a/b' WHEN 2 THEN 'https://www.nytimes.com/a?unlocked_article_code=1' WHEN 3 THEN 'https://notwsj.com/?test=1' WHEN 4 THEN 'https://redd.it/z' ELSE url END AS url FROM pages),
+h AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '\?([^#]*)', 1)) AS q FROM u)
+SELECT page_id, host IN ('reddit.com', 'redd.it') OR host LIKE '%.reddit.com' OR host LIKE '%.redd.it' AS is_thread, host = 'medium.com' OR host LIKE '%.medium.com' AS is_blog,
+  regexp_matches(host, '(^|\.)(wsj|nytimes|ft|economist|washingtonpost|bloomberg|theathletic)\.com$') AS is_paywalled, regexp_matches(q, 'st=|unlocked_article_code=|gift=|share=|token=') AS is_gift FROM h
+""")
+def url_routing(spark, sf_dir):
+    k, u = F.col("page_id") % 6, F.col("url")
+    for i, x in enumerate(("https://old.reddit.com/r/x", "https://medium.com/@a/b", "https://www.nytimes.com/a?unlocked_article_code=1", "https://notwsj.com/?test=1", "https://redd.it/z")):
+        u = F.when(k == i, x).otherwise(u)
+    return table(spark, sf_dir, "pages").select("page_id", urls.is_thread(u).alias("is_thread"), urls.is_blog_post(u).alias("is_blog"), urls.is_paywalled(u).alias("is_paywalled"), urls.is_gift(u).alias("is_gift"))
+
+
+_STEM = r"""regexp_replace(regexp_replace({0}, '[<>:"/\\|?*]', '', 'g'), '[\s_]+', ' ', 'g')"""
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, trim({_STEM.format("left(text, 140)")}) AS t, doc_id % 3 AS k FROM documents),
+c AS (SELECT doc_id, k, CASE WHEN length(t) > 100 THEN regexp_replace(left(t, 100), ' [^ ]*$', '') ELSE t END AS t FROM t),
+n AS (SELECT doc_id, t || CASE WHEN k = 0 THEN ' - A Writer' ELSE '' END || CASE WHEN k < 2 THEN ' 2001' ELSE '' END || CASE WHEN k = 2 THEN ' 2nd Ed' ELSE '' END AS n FROM c),
+s AS (SELECT doc_id, trim({_STEM.format("regexp_replace(replace(n, '.md', ''), '[()\\[\\]]', '', 'g')")}) AS s FROM n)
+SELECT doc_id, CASE WHEN length(s) > 100 THEN regexp_replace(left(s, 100), ' [^ ]*$', '') ELSE s END || '.md' AS name FROM s
+""")
+def output_filename(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    name = tx.book_file_name(F.left("text", F.lit(140)), F.when(k == 0, "A Writer"), F.when(k < 2, "2001"), F.when(k == 2, "2nd Edition"), F.lit("x"))
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+
+
+@query("""
+WITH n AS (SELECT doc_id, 'book ' || doc_id % 50 || '.md' AS name FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS i FROM n)
+SELECT doc_id, CASE WHEN i > 0 THEN replace(name, '.md', '') || ' (' || i || ').md' ELSE name END AS made FROM r
+""")
+def filename_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("book "), F.col("doc_id") % 50, F.lit(".md")).alias("name"))
+    return files.distinct_names(rows, order="doc_id").select("doc_id", "made")
+
+
+# -- Markdown ------------------------------------------------------------------------------------------------
+
+
+def _book(key: str = "doc_id") -> Column:
+    """Text with the artefacts of converted books, some more than others."""
+    k = F.col(key) % 5
+    return F.concat(
+        F.lit("# Part "), F.col(key), F.lit(" {#p .x}\n\n"), "text", F.lit("\n"), F.when(k > 0, "``{=html}\n").otherwise(""), F.when(k > 1, "See [note]{.small} and ![a](b.png){width=3}\n").otherwise(""),
+        F.when(k > 2, "[[12](#c1){.biblioref}] [x](#3_a.xhtml#q)\n> ::: {}\n").otherwise(""), F.when(k > 3, "\n\n\n\n## [1.2] Next\n# []\n").otherwise(""),
+    )
+
+
+_BOOK = r"""('# Part ' || doc_id || ' {#p .x}' || chr(10) || chr(10) || text || chr(10) || CASE WHEN doc_id % 5 > 0 THEN '``{=html}' || chr(10) ELSE '' END || CASE WHEN doc_id % 5 > 1 THEN 'See [note]{.small} and ![a](b.png){width=3}' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 5 > 2 THEN '[[12](#c1){.biblioref}] [x](#3_a.xhtml#q)' || chr(10) || '> ::: {}' || chr(10) ELSE '' END || CASE WHEN doc_id % 5 > 3 THEN repeat(chr(10), 4) || '## [1.2] Next' || chr(10) || '# []' || chr(10) ELSE '' END)"""
+_COUNTS = r"""len(string_split(b, chr(10))) AS line_count, len(regexp_extract_all(b, '(?m)^#{1,6}\s+.*\{#[^}]*\}')) AS header_ids, (length(b) - length(replace(b, '``{=html}', ''))) // 9 AS html_blocks,
+  len(regexp_extract_all(b, '\[\[.*?\]\(#[^)]*\)\{\.biblioref[^}]*\}')) AS citations, len(regexp_extract_all(b, '!\[.*?\]\(.*?\)\{[^}]+\}')) AS image_attrs, len(regexp_extract_all(b, '\[[^\]]+\]\{[^}]+\}')) AS bracket_classes,
+  len(regexp_extract_all(b, '\[.*?\]\(#\d+_[^)]*\.xhtml[^)]*\)')) AS xhtml_links, len(regexp_extract_all(b, '(?m)^> ::: \{\}$')) AS blockquote_divs"""
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, b, {_COUNTS} FROM (SELECT doc_id, {_BOOK} AS b FROM documents))
+SELECT doc_id, CAST(line_count AS BIGINT) AS line_count, CAST(html_blocks AS BIGINT) AS html_blocks, CAST(header_ids AS BIGINT) AS header_ids, CAST(citations AS BIGINT) AS citations, CAST(image_attrs AS BIGINT) AS image_attrs,
+  CAST(bracket_classes AS BIGINT) AS bracket_classes, CAST(xhtml_links AS BIGINT) AS xhtml_links, CAST(blockquote_divs AS BIGINT) AS blockquote_divs,
+  CAST(len(regexp_extract_all(b, '(?m)^#{{1,6}}\\s+')) AS BIGINT) AS heading_count, CAST(length(b) AS BIGINT) AS md_char_count,
+  round(greatest(0.0, 100.0::DOUBLE - (header_ids * 0.5::DOUBLE + html_blocks * 2.0::DOUBLE + citations * 0.2::DOUBLE + image_attrs * 0.1::DOUBLE + bracket_classes * 0.3::DOUBLE + xhtml_links * 0.1::DOUBLE + blockquote_divs * 0.05::DOUBLE) / (line_count / 1000.0::DOUBLE)), 2) AS optimization_score
+FROM c
+""")
+def quality_signals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *md.quality_signals(_book()))
+
+
+@query(rf"""
+WITH b AS (SELECT doc_id, {_BOOK} AS b FROM documents),
+h AS (SELECT doc_id, regexp_replace(regexp_replace(b, '(?m)^(#{{1,6}})\s+\[\]\{{[^}}]*\}}(.+)$', '\1 \2', 'g'), '(?m)^(#{{1,6}}\s+.+?)\s*\{{[^}}]*\}}.*$', '\1', 'g') AS b FROM b),
+x AS (SELECT doc_id, array_to_string(list_filter(string_split(b, chr(10)), lambda l: trim(l) <> '``{{=html}}'), chr(10)) AS b FROM h),
+y AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '\[\[([^\]]*)\]\(#[^)]*\)\{{[^}}]*\}}\]', '[\1]', 'g'), '(!\[[^\]]*\]\([^)]*\))\{{[^}}]*\}}', '\1', 'g'), '(\[[^\]]+\])\{{[^}}]+\}}', '\1', 'g'), '\[([^\]]*)\]\(#\d+_[^)]*\.xhtml[^)]*\)', '[\1]', 'g') AS b FROM x),
+z AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(b, '(?m)^> ::: \{{\}}$', '', 'g'), '(?m)^> :::$', '', 'g'), '(?m)^#{{1,6}}[ \t]*\[\][ \t]*$', '', 'g') AS b FROM y)
+SELECT doc_id, regexp_replace(regexp_replace(b, '(?m)^(#{{1,6}}\s*)\[([\d.]+)\s*\]', '\1\2. ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM z
+""")
+def deep_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", md.deep_clean(_book()).alias("body"))
+
+
+@query()
+def cleanup_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", md.cleaned_book(_book()).alias("body"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, '**' || CASE doc_id % 4 WHEN 0 THEN 'CHAPTER ONE' WHEN 1 THEN 'A Title of the Part' WHEN 2 THEN 'lower case text' ELSE 'ALL IN CAPITALS, BUT RATHER LONG' END || '**' AS line FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# CHAPTER ONE' WHEN 1 THEN '## A Title of the Part' WHEN 2 THEN line ELSE '## ALL IN CAPITALS, BUT RATHER LONG' END || chr(10) || 'body' AS body FROM t
+""")
+def standard_clean(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    line = F.concat(F.lit("**"), F.when(k == 0, "CHAPTER ONE").when(k == 1, "A Title of the Part").when(k == 2, "lower case text").otherwise("ALL IN CAPITALS, BUT RATHER LONG"), F.lit("**"))
+    body = F.concat(line, F.lit("{.cls}\n<!-- note -->body[]{#a1}"))
+    return table(spark, sf_dir, "documents").select("doc_id", md.standard_clean(F.regexp_replace(body, r"\*\*\{\.cls\}", "**")).alias("body"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '# Chapter 12 x' WHEN 1 THEN '# Preface' WHEN 2 THEN '## A bold line of more than thirty-five characters' WHEN 3 THEN '### Short bold' WHEN 4 THEN '#### plain text' ELSE '[:]{.calibre3}' END || chr(10) || 'text' AS body FROM documents
+""")
+def styled_headings(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    line = F.when(k == 0, "[**Chapter 12**]{.calibre1} x").when(k == 1, "[Preface]{.calibre7}").when(k == 2, "[**A bold line of more than thirty-five characters**]{.calibre2}")
+    line = line.when(k == 3, "[**Short bold**]{.calibre2}").when(k == 4, "[plain text]{.calibre9}").otherwise("[:]{.calibre3}")
+    return table(spark, sf_dir, "documents").select("doc_id", md.styled_headings(F.concat(line, F.lit("\ntext"))).alias("body"))
+
+
+@query("""SELECT doc_id, '[**Part ' || doc_id || '** [sub]{.s}](#a1) [**B**](#b2)' || chr(10) || '# Part ' || doc_id || ': sub' || chr(10) || chr(10) || '[]{#a1}' || chr(10) || 'text' || chr(10) || '[]{#zz}' AS body FROM documents""")
+def anchor_headings(spark, sf_dir):
+    body = F.concat(F.lit("[**Part "), "doc_id", F.lit("** [sub]{.s}](#a1) [**B**](#b2)\n[]{#a1}\ntext\n[]{#zz}"))
+    return epub.anchor_headings(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")))
+
+
+@query("""
+WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2000 ELSE 500 END AS lines, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 5 ELSE 50 END AS headings, doc_id % 7 * 20 AS calibre, doc_id % 5 AS anchors, doc_id % 11 * 10 AS caps, doc_id % 13 * 20 AS html, doc_id % 17 * 5 AS roles, doc_id % 19 * 40 AS brackets FROM documents),
+s AS (SELECT doc_id, greatest(0.0, 100.0 - CASE WHEN lines > 1000 AND headings = 0 THEN CASE WHEN calibre > 50 THEN 15 WHEN anchors >= 3 THEN 15 WHEN caps > 30 THEN 30 ELSE 40 END WHEN lines > 1000 AND headings < 10 THEN 20 ELSE 0 END
+  - CASE WHEN html > 200 THEN 25 WHEN html > 100 THEN 15 ELSE 0 END - CASE WHEN roles > 50 THEN 10 ELSE 0 END - CASE WHEN brackets > 500 THEN 10 ELSE 0 END)::DOUBLE AS score FROM c)
+SELECT doc_id, score, CASE WHEN score >= 70 THEN 'proceed' ELSE 'skip' END AS recommendation FROM s
+""")
+def precheck_score(spark, sf_dir):
+    i = F.col("doc_id")
+    c = {
+        "lines": F.when(i % 2 == 0, 2000).otherwise(500), "headings": F.when(i % 3 == 0, 0).when(i % 3 == 1, 5).otherwise(50), "calibre_markers": i % 7 * 20, "anchor_markers": i % 5,
+        "caps_lines": i % 11 * 10, "html_blocks": i % 13 * 20, "role_attrs": i % 17 * 5, "bracket_classes": i % 19 * 40,
+    }
+    score, _, recommendation = md.precheck(c)
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), recommendation.alias("recommendation"))
+
+
+@query()
+def precheck_documents(spark, sf_dir):
+    counts = md.precheck_counts(_book())
+    score, issues, recommendation = md.precheck(counts)
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in counts.items()], score.alias("score"), F.size(issues).alias("n_issues"), recommendation.alias("recommendation"))
+
+
+_PROMO = "(text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '## Subscribe now' || chr(10) || 'please' ELSE 'end' END)"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, {_PROMO} AS b, string_split({_PROMO}, chr(10)) AS x FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND len(x) - 2 >= len(x) * 0.5 THEN array_to_string(x[1:len(x) - 2], chr(10)) ELSE b END AS body FROM l
+""")
+def marketing_truncate(spark, sf_dir):
+    body = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "## Subscribe now\nplease").otherwise("end"))
+    return table(spark, sf_dir, "documents").select("doc_id", md.without_promotion(body).alias("body"))
+
+
+_NOISY = "(text || chr(10) || '%%% ### &&& $$' || chr(10) || '~~')"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, string_split({_NOISY}, chr(10)) AS x FROM documents)
+SELECT doc_id, array_to_string(list_filter(x, lambda l: NOT (length(regexp_replace(l, '^\\s+|\\s+$', '', 'g')) >= 5 AND len(regexp_extract_all(l, '[a-zA-Z0-9]')) / length(regexp_replace(l, '^\\s+|\\s+$', '', 'g')) < 0.3)), chr(10)) AS body FROM l
+""")
+def line_noise_filter(spark, sf_dir):
+    body = F.concat("text", F.lit("\n%%% ### &&& $$\n~~"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~md.noise_line(x)), "\n").alias("body"))
+
+
+@query()
+def rag_clean(spark, sf_dir):
+    body = F.concat(F.lit("Intro line\n# Head\n"), "text", F.lit("\n\n\n\n\nxxxxxxxxxxxxxxxx &amp; [a]() [b](#c) ![](d.png)  \n## \n"))
+    return table(spark, sf_dir, "documents").select("doc_id", md.clean_for_retrieval(body).alias("body"))
+
+
+_PAGED = "(text || chr(10) || '12' || chr(10) || 'doi: 10.1/x' || chr(10) || 'B. Smith et al. / Journal of X' || chr(10) || 'last')"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, string_split({_PAGED}, chr(10)) AS x FROM documents)
+SELECT doc_id, array_to_string(list_filter(x, lambda l: NOT (regexp_full_match(trim(l), '#*\\s*\\d{{1,4}}\\s*') OR regexp_matches(trim(l), '^#*\\s*[A-Z]\\.\\s*[A-Z][a-z]+\\s+et\\s+al\\.\\s*/\\s*Journal') OR regexp_matches(trim(l), '^#*\\s*Journal\\s+of\\s+.+\\d{{4}}.+\\d+[–-]\\d+\\s*$')
+  OR regexp_matches(l, 'Elsevier Science|0092-6566') OR regexp_matches(trim(l), '^#*\\s*(?i:doi:)'))), chr(10)) AS body FROM l
+""")
+def page_artifact_filter(spark, sf_dir):
+    body = F.concat("text", F.lit("\n12\ndoi: 10.1/x\nB. Smith et al. / Journal of X\nlast"))
+    return table(spark, sf_dir, "documents").select("doc_id", md.without_page_lines(body).alias("body"))
+
+
+@query("""SELECT doc_id, CAST(3 AS INTEGER) AS n, '## Table of Contents' || chr(10) || chr(10) || '- Top ' || doc_id || chr(10) || '  - Inner' || chr(10) || '    - Deep' || chr(10) AS toc FROM documents""")
+def toc_outline(spark, sf_dir):
+    body = F.concat(F.lit("# Top "), "doc_id", F.lit("\n\n"), F.regexp_replace("text", "(?m)^#", ""), F.lit("\n## Inner\nx\n## Follow us\n### Deep\n# x\n"))
+    entries = md.outline(body)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(entries).alias("n"), md.render_outline(entries).alias("toc"))
+
+
+@query(r"""
+SELECT doc_id, '---' || chr(10) || 'title: "Doc \"' || doc_id || '\""' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'author: "A. Writer"' ELSE 'author: "Unknown"' END || chr(10) || 'source_name: "' || source || '"' || chr(10) || 'source_url: "http://x/' || doc_id || '"' || chr(10)
+  || 'publication_date: "2020-02-03"' || chr(10) || 'retrieved_date: "2024-01-01"' || chr(10) || 'reading_time_minutes: 7' || chr(10) || 'tags:' || chr(10) || '  - "a"' || chr(10) || '  - "' || lang || '"' || chr(10) || 'has_toc: true' || chr(10) || 'content_type: "web_article"' || chr(10) || 'converter_version: "1.0"' || chr(10) || '---' AS front
+FROM documents""")
+def frontmatter_render(spark, sf_dir):
+    front = md.article_frontmatter(
+        F.concat(F.lit('Doc "'), "doc_id", F.lit('"')), F.when(F.col("doc_id") % 2 == 0, "A. Writer"), F.col("source"), F.concat(F.lit("http://x/"), "doc_id"), F.lit("2020-02-03"), F.lit(TODAY), F.lit(7),
+        F.array(F.lit("a"), F.col("lang")), F.lit(None).cast("string"), F.lit(True), F.lit(VERSION),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", front.alias("front"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Doc ' || doc_id ELSE 'Name' END AS title, 'A. Writer' AS author, '2001' AS year, CAST(length(ltrim(text, chr(10))) AS INTEGER) AS n FROM documents""")
+def frontmatter_split(spark, sf_dir):
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('---\ntitle: "Doc '), "doc_id", F.lit('"\nauthor: "A. Writer"\nyear: 2001\n---\n\n'), "text")).otherwise(F.col("text"))
+    front, rest = md.split_frontmatter(body)
+    meta = md.document_meta(F.coalesce(front, F.lit("")), F.lit("Name - A. Writer 2001"))
+    return table(spark, sf_dir, "documents").select("doc_id", meta.alias("m"), F.length(F.regexp_replace(rest, r"\A\n+", "")).alias("n")).select("doc_id", "m.title", "m.author", "m.year", "n")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, '| ' || l_linenumber || ' | ' || l_returnflag || '\\|' || l_linestatus || ' |' AS line FROM lineitem)
+SELECT l_orderkey, '| no | flags |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) AS md FROM l GROUP BY l_orderkey
+""")
+def table_to_markdown(spark, sf_dir):
+    cells = F.array(F.col("l_linenumber").cast("string"), F.concat_ws("|", "l_returnflag", "l_linestatus"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", cells.alias("c")))), lambda x: x["c"]).alias("rows"))
+    return rows.select("l_orderkey", md.render_table(F.concat(F.array(F.array(F.lit("no"), F.lit("flags"))), F.col("rows"))).alias("md"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, text, CAST(doc_id % 40 + 1 AS BIGINT) AS pages, CAST(doc_id % 4 AS BIGINT) AS tables, CAST(doc_id % 7 * 3000 AS BIGINT) AS chars FROM documents),
+m AS (SELECT *, length(regexp_replace(text, '\\s+', '', 'g')) AS kept FROM a)
+SELECT doc_id, round(CASE WHEN chars > 0 THEN least(1.0::DOUBLE, kept / (chars * 0.8::DOUBLE)) ELSE 0.5::DOUBLE END, 6) AS completeness, CASE WHEN tables > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS table_integrity,
+  CASE WHEN chars / pages <= 100 AND doc_id % 5 > 0 THEN 'scanned' WHEN doc_id % 5 > pages * 0.5 THEN 'image_heavy' WHEN tables > pages * 0.3 THEN 'table_heavy' WHEN tables > 0 OR doc_id % 5 > 0 THEN 'mixed_layout' ELSE 'text_heavy' END AS kind
+FROM m
+""")
+def conversion_score(spark, sf_dir):
+    i = F.col("doc_id")
+    s = md.conversion_score(F.col("text"), i % 7 * 3000, i % 40 + 1, i % 4)
+    kind = md.document_kind(i % 7 * 3000, i % 40 + 1, i % 4, i % 5)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(s["completeness"], 6).alias("completeness"), s["table_integrity"].alias("table_integrity"), kind.alias("kind"))
+
+
+# -- lines and chunks ----------------------------------------------------------------------------------------
+
+
+def _headed(spark, sf_dir) -> DataFrame:
+    """Documents with headings, a fence and a table between their lines."""
+    body = F.concat(F.lit("# Book "), "doc_id", F.lit("\n"), F.left("text", F.lit(600)), F.lit("\n```\n# no heading\n| a |\n| b |\n```\n### Deep 1\n| n | 1,234.5 |\n| --- | --- |\n| m | 90% |\ntext 17\n---\n## Next\n"), F.left("text", F.lit(300)))
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+
+
+_HEADED = r"""('# Book ' || doc_id || chr(10) || left(text, 600) || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '| a |' || chr(10) || '| b |' || chr(10) || '```' || chr(10) || '### Deep 1' || chr(10) || '| n | 1,234.5 |' || chr(10) || '| --- | --- |' || chr(10)
+  || '| m | 90% |' || chr(10) || 'text 17' || chr(10) || '---' || chr(10) || '## Next' || chr(10) || left(text, 300))"""
+_LINES = f"""l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS line_no FROM (SELECT doc_id, string_split({_HEADED}, chr(10)) AS x FROM documents)),
+f AS (SELECT *, sum(CASE WHEN line = '```' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS fences FROM l),
+s AS (SELECT *, CASE WHEN fences % 2 = 1 OR line = '```' THEN 'fence' ELSE '' END AS state FROM f)"""
+
+
+@query(f"""WITH {_LINES},
+h AS (SELECT *, CASE WHEN state = '' AND regexp_full_match(line, '#{{1,4}}\\s+.+') THEN length(regexp_extract(line, '^(#+)', 1)) END AS level FROM s),
+t AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS n1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS n2, max(CASE WHEN level = 3 THEN line_no END) OVER w AS n3, sum(CASE WHEN state = '' AND trim(line) = '---' THEN 1 ELSE 0 END) OVER w AS rules FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, state, CAST(1 + rules AS INTEGER) AS page, concat_ws(' > ', CASE WHEN n1 IS NOT NULL THEN 'Book ' || doc_id END, CASE WHEN n2 > coalesce(n1, -1) THEN 'Next' END, CASE WHEN n3 > greatest(coalesce(n1, -1), coalesce(n2, -1)) THEN 'Deep 1' END) AS path FROM t
+""")
+def heading_breadcrumb(spark, sf_dir):
+    crumbs = lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir)))
+    return crumbs.select("doc_id", "line_no", "state", "page", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"""WITH {_LINES},
+p AS (SELECT doc_id, line_no, line, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM s WHERE state = '' AND trim(line) LIKE '|%'),
+r AS (SELECT doc_id, CAST(min(line_no) AS INTEGER) AS start, CAST(max(line_no) AS INTEGER) AS stop, string_agg(line, chr(10) ORDER BY line_no) AS raw FROM p GROUP BY doc_id, island HAVING count(*) > 1)
+SELECT doc_id, start, stop, 'pipe' AS kind, raw FROM r
+""")
+def verbatim_regions(spark, sf_dir):
+    return lines.regions(lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir)))).select("doc_id", "start", "stop", "kind", "raw")
+
+
+@query()
+def excise_regions(spark, sf_dir):
+    crumbs = lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir)))
+    return lines.excise(crumbs, lines.regions(crumbs))
+
+
+@query("""
+WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+'), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '') AS p FROM documents),
+w AS (SELECT doc_id, p, list_transform(p, lambda x: CAST(length(x) // 4 AS BIGINT)) AS w FROM p WHERE len(p) > 0),
+f AS (SELECT doc_id, p, w, list_reduce(list_transform(w, lambda x: {'held': x, 'bin': 0::BIGINT, 'out': [0::BIGINT]}), lambda a, x: CASE WHEN a.held + x.held > 500
+  THEN {'held': x.held, 'bin': a.bin + 1, 'out': list_append(a.out, a.bin + 1)} ELSE {'held': a.held + x.held, 'bin': a.bin, 'out': list_append(a.out, a.bin)} END).out AS bins FROM w),
+r AS (SELECT doc_id, unnest(p) AS p, unnest(w) AS w, unnest(bins) AS idx, generate_subscripts(p, 1) AS i FROM f)
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text, CAST(sum(w) AS BIGINT) AS tokens FROM r GROUP BY doc_id, idx
+""")
+def chunk_plan_flat(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"))
+    return chunks.pack(docs, 500)
+
+
+@query()
+def chunk_plan_overlap(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"))
+    return chunks.overlapping(docs, 500)
+
+
+@query()
+def chunk_plan_tree(spark, sf_dir):
+    return chunks.plan_chunks(_headed(spark, sf_dir), target=100, most=150, least=20, cap=8)
+
+
+# -- ledgers -------------------------------------------------------------------------------------------------
+
+_MODELS = ("gemini-3.6-flash", "gemini-2.5-pro", "unpriced")
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    i = F.col("event_id")
+    return ledger.priced(
+        table(spark, sf_dir, "events").select(
+            "event_id", (i % 97).alias("run"), i.alias("seq"), "ts", F.when(i % 29 == 0, _MODELS[2]).when(i % 3 == 0, _MODELS[1]).otherwise(_MODELS[0]).alias("model"),
+            (i * 7919 % 300_000).alias("prompt_tokens"), (i * 31 % 5000).alias("candidate_tokens"), (i % 100).alias("thought_tokens"), (i * 31 % 5000 + i % 100).alias("output_tokens"))
+    )
+
+
+_CALLS = """c AS (SELECT event_id, event_id % 97 AS run, event_id AS seq, ts, CASE WHEN event_id % 29 = 0 THEN 'unpriced' WHEN event_id % 3 = 0 THEN 'gemini-2.5-pro' ELSE 'gemini-3.6-flash' END AS model,
+  event_id * 7919 % 300000 AS prompt_tokens, event_id * 31 % 5000 AS candidate_tokens, event_id % 100 AS thought_tokens, event_id * 31 % 5000 + event_id % 100 AS output_tokens FROM events),
+k AS (SELECT *, CASE model WHEN 'gemini-3.6-flash' THEN (prompt_tokens * 1.5::DOUBLE + output_tokens * 7.5::DOUBLE) / 1e6
+  WHEN 'gemini-2.5-pro' THEN CASE WHEN prompt_tokens > 200000 THEN (prompt_tokens * 2.5::DOUBLE + output_tokens * 15.0::DOUBLE) / 1e6 ELSE (prompt_tokens * 1.25::DOUBLE + output_tokens * 10.0::DOUBLE) / 1e6 END END AS cost_usd FROM c)"""
+_RUNS = f"""{_CALLS}, r AS (SELECT run, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(thought_tokens) AS BIGINT) AS thought_tokens,
+  CASE WHEN count(*) FILTER (cost_usd IS NULL) = 0 THEN round(sum(cost_usd), 6) END AS cost_usd, bool_or(cost_usd IS NULL) AS estimate_only FROM k GROUP BY run)"""
+
+
+@query(f"WITH {_CALLS} SELECT event_id, model, round(cost_usd, 8) AS cost_usd FROM k")
+def call_cost(spark, sf_dir):
+    return _calls(spark, sf_dir).select("event_id", "model", F.round("cost_usd", 8).alias("cost_usd"))
+
+
+@query(f"WITH {_RUNS} SELECT run, calls, input_tokens, output_tokens, thought_tokens, cost_usd, estimate_only FROM r")
+def usage_ledger(spark, sf_dir):
+    return ledger.run_totals(_calls(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS} SELECT count(*) AS runs, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd,
+  CAST(coalesce(sum(CASE WHEN estimate_only THEN calls END), 0) AS BIGINT) AS uncosted_calls FROM r""")
+def usage_lifetime(spark, sf_dir):
+    return ledger.lifetime(ledger.run_totals(_calls(spark, sf_dir)))
+
+
+@query(f"""WITH {_RUNS} SELECT run, 'LLM usage: ' || calls || ' calls, ' || format('{{:,}}', input_tokens) || ' in / ' || format('{{:,}}', output_tokens) || ' out tok, '
+  || CASE WHEN cost_usd IS NULL THEN 'cost unknown (unpriced model) this run' ELSE printf('$%.4f', cost_usd) || ' this run' END || ' — lifetime $12.35 + 3 uncosted calls' AS line FROM r""")
+def usage_line(spark, sf_dir):
+    r = ledger.run_totals(_calls(spark, sf_dir))
+    return r.select("run", ledger.usage_line(F.col("calls"), F.col("input_tokens"), F.col("output_tokens"), F.col("cost_usd"), F.lit(12.3456), F.lit(3)).alias("line"))
+
+
+@query("""SELECT event_id AS run, CAST(user_id AS BIGINT) AS user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100""")
+def ledger_latest(spark, sf_dir):
+    return ledger.latest(table(spark, sf_dir, "events").withColumnRenamed("event_id", "run")).select("run", F.col("user_id").cast("long").alias("user_id"))
+
+
+@query(f"""WITH {_CALLS}, o AS (SELECT *, coalesce(sum(cost_usd) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(cost_usd) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM k)
+SELECT run, seq, coalesce(spent > 2.0, false) AS stopped FROM o WHERE b <= 2.0""")
+def cost_cap_running(spark, sf_dir):
+    return ledger.until_cap(_calls(spark, sf_dir), 2.0).select("run", "seq", "stopped")
+
+
+@query("""
+WITH s AS (SELECT source, count(*) AS chunks, CAST(sum(length(text) // 4) AS BIGINT) AS t FROM documents GROUP BY source),
+i AS (SELECT source, chunks, t + 400 * chunks AS est_input_tokens FROM s), o AS (SELECT *, greatest(CAST(floor(est_input_tokens * 0.25) AS BIGINT), 4000) AS est_output_tokens FROM i), r AS (SELECT *, greatest(CAST(floor(est_output_tokens * 0.25) AS BIGINT), 4000) AS red FROM o)
+SELECT source, chunks, est_input_tokens, est_output_tokens, round((est_input_tokens * 1.5::DOUBLE + est_output_tokens * 7.5::DOUBLE) / 1e6 + CASE WHEN est_output_tokens > 200000 THEN (est_output_tokens * 2.5::DOUBLE + red * 15.0::DOUBLE) / 1e6 ELSE (est_output_tokens * 1.25::DOUBLE + red * 10.0::DOUBLE) / 1e6 END, 4) AS est_cost_usd FROM r
+""")
+def cost_estimate(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", tx.token_estimate(F.col("text")).alias("tokens"))
+    return ledger.estimate(rows, _MODELS[0], _MODELS[1], key="source")
+
+
+# -- findings ------------------------------------------------------------------------------------------------
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        i.alias("seq"), F.element_at(F.array(*map(F.lit, (*findings.SEVERITIES, "odd"))), (i % 5 + 1).cast("int")).alias("severity"), F.element_at(F.array(*map(F.lit, findings.CATEGORIES)), (i % 8 + 1).cast("int")).alias("category"),
+        F.concat(F.lit("Broken "), "event_type", F.lit(" in part "), i).alias("title"), (i % 3 == 0).alias("is_systemic"), (i * 37 % 101 / F.lit(100.0)).alias("confidence"))
+
+
+@query("""
+WITH f AS (SELECT event_id AS seq, ['critical', 'major', 'minor', 'nit', 'odd'][event_id % 5 + 1] AS severity, ['missing_content', 'heading_structure', 'artifact_noise', 'ordering', 'formatting', 'metadata', 'encoding', 'other'][event_id % 8 + 1] AS category,
+  'Broken ' || event_type || ' in part ' || event_id AS title, event_id % 3 = 0 AS is_systemic, (event_id * 37 % 101) / 100.0::DOUBLE AS confidence FROM events),
+k AS (SELECT *, left(sha256(category || '|' || CASE WHEN is_systemic THEN 'True' ELSE 'False' END || '|' || trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\d+', '', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))), 16) AS signature FROM f
+  WHERE severity <> 'odd' AND confidence BETWEEN 0.6 AND 1 AND (severity IN ('critical', 'major') OR is_systemic)),
+r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY confidence DESC, seq) AS n FROM k)
+SELECT seq, signature, severity, confidence FROM r WHERE n = 1
+""")
+def finding_merge(spark, sf_dir):
+    return findings.merge(_findings(spark, sf_dir)).select("seq", "signature", "severity", "confidence")
+
+
+@query("""
+WITH m AS (SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS signature, event_id % 4 = 0 AS known, CAST(event_id % 3 AS INTEGER) AS occ FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY known ORDER BY seq) AS nth FROM m)
+SELECT seq, signature, CASE WHEN known THEN occ + 1 ELSE 1 END AS occurrences, CASE WHEN known THEN CASE WHEN occ + 1 >= 2 THEN 'escalated_hold' ELSE 'deduped' END WHEN nth > 2 THEN 'capped_day' ELSE 'filed' END AS outcome FROM n
+""")
+def finding_caps(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("signature"))
+    known = rows.filter(F.col("seq") % 4 == 0).select("signature", F.lit("open").alias("state"), F.lit("finding").alias("label"), (F.col("seq") % 3).cast("int").alias("occurrences"))
+    return findings.outcomes(rows, known, filed_today=6)
+
+
+@query("""
+WITH c AS (SELECT source, doc_id, length(text) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN pos = 1 OR pos = n THEN 0 ELSE 1 END, chars DESC, pos) AS place FROM c)
+SELECT source, CAST(pos AS INTEGER) AS pos FROM r WHERE place <= 12
+""")
+def chapter_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", F.length("text").alias("chars"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("pos"))
+    return findings.sample_chapters(rows, key="source").select("source", "pos")
+
+
+@query("""
+WITH c AS (SELECT doc_id, text, CAST(doc_id % 7 AS BIGINT) AS i, length(text) AS n FROM documents)
+SELECT doc_id, substr(text, CAST(greatest(0, floor(i * n / 7) - 1500) + 1 AS BIGINT), CAST(least(n, floor((i + 1) * n / 7) + 1500) - greatest(0, floor(i * n / 7) - 1500) AS BIGINT)) AS part FROM c
+""")
+def md_slice(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", findings.aligned_slice(F.col("text"), F.col("doc_id") % 7, F.lit(7)).alias("part"))
+
+
+@query("""
+WITH s AS (SELECT doc_id AS book, 60.0 + doc_id % 40 AS score, doc_id % 9 AS heads, length(text) AS chars FROM documents)
+SELECT book, 'optimization_score' AS metric, CAST(score AS DOUBLE) AS value, CAST(90 AS DOUBLE) AS floor FROM s WHERE score < 90 UNION ALL SELECT book, 'heading_count', heads, 3 FROM s WHERE heads < 3 UNION ALL SELECT book, 'md_char_count', chars, 500 FROM s WHERE chars < 500
+""")
+def quality_floors(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), (60.0 + F.col("doc_id") % 40).alias("optimization_score"), (F.col("doc_id") % 9).alias("heading_count"), F.length("text").alias("md_char_count"))
+    floors = s.select("book", F.lit(90.0).alias("min_optimization_score"), F.lit(3).alias("min_heading_count"), F.lit(500).alias("min_md_chars"))
+    return findings.below_floor(s, floors)
+
+
+# -- evidence ------------------------------------------------------------------------------------------------
+
+
+def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    body = F.concat(F.left("text", F.lit(500)), F.lit(" counted "), F.col("doc_id") * 3, F.lit(" and 5 in 1999, 12,5 and 77%"))
+    docs = table(spark, sf_dir, "documents")
+    source = docs.select("doc_id", F.concat("text", F.lit(" in 1999 with 77 "), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") * 3).otherwise(F.lit(0))).alias("text"))
+    inventory = source.select("doc_id", tx.numerals(F.col("text")).alias("numerals"), tx.years(F.col("text")).alias("years"))
+    units = docs.select("doc_id", F.lit(1).alias("sec_no"), F.lit(0).alias("unit_no"), F.lit(None).cast("string").alias("heading"), body.alias("body"), F.lit(True).alias("heading_llm"), F.lit(False).alias("placeholder"), F.lit(True).alias("llm"))
+    return units, inventory
+
+
+@query(f"""
+WITH u AS (SELECT doc_id, regexp_replace(chr(10) || left(text, 500) || ' counted ' || doc_id * 3 || ' and 5 in 1999, 12,5 and 77%', '(?m)^\\s*\\d+\\.\\s', '', 'g') AS b, text || ' in 1999 with 77 ' || CASE WHEN doc_id % 2 = 0 THEN doc_id * 3 ELSE 0 END AS s FROM documents),
+n AS (SELECT doc_id, unnest({_NUMERALS.format("b")}) AS n, {_NUMERALS.format("s")} AS have, regexp_extract_all(s, '\\d+') AS runs FROM u)
+SELECT doc_id, n FROM n WHERE NOT list_contains(have, n) AND NOT coalesce(TRY_CAST(n AS DOUBLE) = floor(TRY_CAST(n AS DOUBLE)) AND TRY_CAST(n AS DOUBLE) BETWEEN 0 AND 12, false) AND NOT (regexp_full_match(n, '[12]\\d{{3}}') AND list_contains(runs, n))
+""")
+def unsupported_numerals(spark, sf_dir):
+    units, inventory = _claims(spark, sf_dir)
+    return evidence.firewall(units, inventory).filter(F.col("flagged").isNotNull()).select("doc_id", F.explode("flagged").alias("n"))
+
+
+@query("""
+SELECT doc_id, CAST(2 AS BIGINT) AS total, CAST(2 AS BIGINT) AS present, doc_id % 3 = 0 AS mended FROM documents
+""")
+def table_numeral_survival(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tables = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("pipe").alias("kind"), F.lit("here").alias("near"), F.concat(F.lit("| 9"), "doc_id", F.lit("1.5 |\n| 70"), "doc_id", F.lit("% |")).alias("raw"))
+    text = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("has 9"), "doc_id", F.lit("1.5 and 70"), "doc_id", F.lit("%"))).alias("text"))
+    done = evidence.surviving_tables(text, tables)
+    return done.select("doc_id", F.col("table_numerals_total").alias("total"), F.col("table_numerals_present").alias("present"), F.contains("text", F.lit("re-appended")).alias("mended"))
+
+
+# -- threads and layouts -------------------------------------------------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS body FROM conversations), s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY lpad(CAST(turn AS VARCHAR), 6, '0')) AS place, repeat('> ', CAST(least(turn, 4) + 1 AS INTEGER)) AS p FROM t WHERE body <> '')
+SELECT conv_id AS doc_id, string_agg(p || '**u/' || role || '**' || chr(10) || p || chr(10) || p || replace(body, chr(10), chr(10) || p), chr(10) || chr(10) ORDER BY place) AS comments FROM s WHERE place <= 40 GROUP BY conv_id
+""")
+def thread_render(spark, sf_dir):
+    return threads.render_comments(threads.turns_as_comments(table(spark, sf_dir, "conversations")))
+
+
+@query()
+def thread_json(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    node = lambda x: F.struct(F.lit("t1").alias("kind"), F.struct(x["text"].alias("body"), x["role"].alias("author"), x["turn"].alias("score"), F.lit("").alias("replies")).alias("data"))
+    listing = lambda kids: F.concat(F.lit('{"data":{"children":'), F.to_json(kids), F.lit("}}"))
+    post = F.array(F.struct(F.struct(F.concat(F.lit("Talk "), "conv_id").alias("title"), F.lit("someone").alias("author"), F.lit(1700000000).alias("created_utc"), F.lit(7).alias("score")).alias("data")))
+    json = F.concat(F.lit("["), listing(post), F.lit(","), listing(F.transform("t", node)), F.lit("]"))
+    return threads.render_threads(turns.select(F.col("conv_id").alias("doc_id"), json.alias("json"))).select("doc_id", "title", "author", "publication_date", "markdown")
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    q, d = F.col("l_quantity").cast("double"), F.col("l_suppkey") % 7 * 60.0
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_linenumber").alias("pos"), d.alias("x0"), q.alias("y0"), (d + 40.0).alias("x1"), (q + 12.0).alias("y1"))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_suppkey % 7 * 60.0::DOUBLE AS x0, CAST(l_quantity AS DOUBLE) AS y0, l_suppkey % 7 * 60.0::DOUBLE + 40 AS x1, CAST(l_quantity AS DOUBLE) + 12 AS y1 FROM lineitem)
+SELECT a.doc_id, a.pos FROM b a WHERE EXISTS (SELECT 1 FROM b c WHERE c.doc_id = a.doc_id AND a.pos < c.pos AND a.y0 < c.y1 AND c.y0 < a.y1 AND (a.x1 < c.x0 - 50 OR a.x0 > c.x1 + 50))
+""")
+def block_overlap(spark, sf_dir):
+    return layout.side_by_side(_boxes(spark, sf_dir)).select("doc_id", "pos")
+
+
+def _layouts(spark, sf_dir) -> DataFrame:
+    """Pages whose first block is a heading in large type; every other page has a picture."""
+    span = lambda text, size, flags: F.struct(text.alias("text"), F.lit(float(size)).alias("size"), F.lit(flags).alias("flags"), F.lit("Serif").alias("font"))
+    block = lambda kind, x, y, s: F.struct(F.lit(kind).alias("type"), F.array(*[F.lit(float(v)) for v in (x, y, x + 200, y + 150)]).alias("bbox"), F.array(F.struct(F.array(*s).alias("spans"))).alias("lines"))
+    head = block(0, 0, 0, [span(F.concat(F.lit("Head "), "doc_id"), 20, 0)])
+    text = block(0, 0, 200, [span(F.left("text", F.lit(80)), 10, 0), span(F.lit("bold"), 10, 16)])
+    side = block(0, 300, 200, [span(F.lit("aside"), 10, 0)])
+    picture = F.struct(F.lit(1).alias("type"), F.array(*[F.lit(float(v)) for v in (0, 400, 150, 600)]).alias("bbox"), F.lit(None).cast("array<struct<spans:array<struct<text:string,size:double,flags:int,font:string>>>>").alias("lines"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("page"))
+    return pages.select("doc_id", "page", F.when(F.col("page") % 2 == 1, F.array(head, text, side, picture)).otherwise(F.array(head, text, side)).alias("blocks"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, text, unnest(range(0, doc_id % 3 + 1)) AS page FROM documents)
+SELECT doc_id, CAST(page AS INTEGER) AS page, '# Head ' || doc_id || chr(10) || chr(10) || regexp_replace(left(text, 80) || '**bold**', '^\\s+', '') || chr(10) || chr(10) || 'aside' AS markdown FROM p
+""")
+def layout_headings(spark, sf_dir):
+    return layout.page_markdown(_layouts(spark, sf_dir))
+
+
+@query("""
+SELECT doc_id, CAST(doc_id % 3 + 1 AS BIGINT) AS page_count, CAST(CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 0 END AS BIGINT) AS figures, CAST(1 AS INTEGER) AS fonts, CAST(doc_id % 3 + 1 AS BIGINT) AS column_votes, true AS multi_column FROM documents
+""")
+def layout_analysis(spark, sf_dir):
+    return layout.analysis(_layouts(spark, sf_dir)).select("doc_id", "page_count", "figures", "fonts", "column_votes", "multi_column")
+
+
+@query("""
+WITH a AS (SELECT doc_id, 0 AS ord, 'marker' AS tool, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 0.8 + doc_id % 5 * 0.02 END AS score, 0.85 AS th FROM documents UNION ALL SELECT doc_id, 1, 'pymupdf', 0.7 + doc_id % 7 * 0.03, 0.85 FROM documents UNION ALL SELECT doc_id, 2, 'pdfplumber', 0.5 + doc_id % 2 * 0.2, 0.85 FROM documents),
+s AS (SELECT doc_id, min(ord) FILTER (score >= th) AS stop FROM a GROUP BY doc_id), t AS (SELECT a.*, stop FROM a JOIN s USING (doc_id) WHERE stop IS NULL OR ord <= stop),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN score >= th THEN 0 ELSE 1 END, score DESC, ord) AS n, max(ord) OVER (PARTITION BY doc_id) AS m FROM t WHERE score IS NOT NULL)
+SELECT doc_id, tool, round(CAST(score AS DOUBLE), 4) AS score, CASE m WHEN 0 THEN 'marker' WHEN 1 THEN 'pymupdf' ELSE 'pdfplumber' END AS last_tool FROM r WHERE n = 1
+""")
+def tool_cascade(spark, sf_dir):
+    i = F.col("doc_id")
+    row = lambda n, tool, score: F.struct(F.lit(n).alias("ord"), F.lit(tool).alias("tool"), score.cast("double").alias("score"))
+    tries = F.array(row(0, "marker", F.when(i % 3 != 0, F.round(0.8 + i % 5 * 0.02, 4))), row(1, "pymupdf", F.round(0.7 + i % 7 * 0.03, 4)), row(2, "pdfplumber", F.round(0.5 + i % 2 * 0.2, 4)))
+    attempts = table(spark, sf_dir, "documents").select("doc_id", F.explode(tries).alias("x")).select("doc_id", "x.*", F.lit(0.85).alias("threshold"))
+    return layout.cascade(attempts)
+
+
+# -- pages ---------------------------------------------------------------------------------------------------
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    return html.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "markdown")
+
+
+@query(r"""SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title, replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), 'www.', '') AS source_name FROM pages""")
+def metadata_merge(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html.metadata(html.parse_pages(pages).join(pages.select("page_id", "url"), "page_id")).select("page_id", "title", "source_name")
+
+
+@query()
+def page_images(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit('<img src="/a.png" alt="A"><img src="/a.png"><img src="/pixel.gif"><img data-src="b.jpg" width="20">')))
+    return html.parse_pages(pages).select("page_id", F.array_join(F.transform(html.content_images(), lambda i: i["url"]), " ").alias("urls"))
+
+
+# -- books and companions ------------------------------------------------------------------------------------
+
+
+def _books(spark, sf_dir) -> DataFrame:
+    """Archives of three chapters each, zipped from documents."""
+    @F.pandas_udf("binary")
+    def zipped(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(i, t):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
+                items = "".join(f'<item id="c{k}" href="c{k}.xhtml" media-type="application/xhtml+xml"/>' for k in (1, 2, 3))
+                z.writestr("OEBPS/content.opf", f'<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Book {i}, 2nd Edition</dc:title><dc:creator>A. Writer</dc:creator><dc:date>2020-05-01</dc:date></metadata><manifest>{items}<item id="css" href="x.css" media-type="text/css"/></manifest><spine><itemref idref="c2"/><itemref idref="c1"/><itemref idref="c3"/></spine></package>')
+                for k in (1, 2, 3):
+                    z.writestr(f"OEBPS/c{k}.xhtml", f"<html><body><h1>Chapter {k}</h1><p>{'x' * k} {i} {len(t or '')}</p></body></html>")
+            return out.getvalue()
+
+        return pd.Series([one(i, t) for i, t in zip(ids, texts)])
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("book-"), "doc_id", F.lit(".epub")).alias("path"), zipped("doc_id", "text").alias("content"))
+
+
+@query("""SELECT 'book-' || doc_id || '.epub' AS path, 'Book ' || doc_id || ', 2nd Edition' AS title, 'A. Writer' AS author, '2020' AS year, '2nd Edition' AS edition FROM documents""")
+def epub_metadata(spark, sf_dir):
+    return epub.metadata(epub.packages(epub.members(_books(spark, sf_dir))))
+
+
+@query("""
+WITH c AS (SELECT doc_id, length(coalesce(text, '')) AS n, unnest([0, 1, 2]) AS pos, unnest([2, 1, 3]) AS k FROM documents)
+SELECT 'book-' || doc_id || '.epub' AS path, pos, 'Chapter ' || k AS title, 'Chapter ' || k || ' ' || repeat('x', k) || ' ' || doc_id || ' ' || n AS text FROM c
+""")
+def epub_spine(spark, sf_dir):
+    parts = epub.members(_books(spark, sf_dir))
+    return epub.chapters(parts, epub.packages(parts)).select("path", "pos", "title", "text")
+
+
+@query("""
+WITH c AS (SELECT source, doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) SELECT source, doc_id FROM c WHERE b < 50000
+""")
+def char_budget_cutoff(spark, sf_dir):
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return table(spark, sf_dir, "documents").withColumn("before", before).filter(F.col("before") < 50_000).select("source", "doc_id")
+
+
+def _distilled(spark, sf_dir):
+    docs = _headed(spark, sf_dir)
+    planned = chunks.plan_chunks(docs, target=100, most=150, least=20, cap=8)
+    return docs, planned, companion.digests(planned)
+
+
+@query()
+def keyword_rollup(spark, sf_dir):
+    return companion.keywords(_distilled(spark, sf_dir)[2]).select("doc_id", F.array_join("items", ",").alias("items"))
+
+
+@query()
+def glossary(spark, sf_dir):
+    return companion.glossary(_distilled(spark, sf_dir)[2])
+
+
+@query()
+def entity_index(spark, sf_dir):
+    return companion.entities(_distilled(spark, sf_dir)[2]).select("doc_id", "name", "kind", "one_liner")
+
+
+@query()
+def split_block(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(companion.split_block(F.col("text"))).alias("pos", "piece"))
+
+
+@query()
+def companion_document(spark, sf_dir):
+    docs, planned, _ = _distilled(spark, sf_dir)
+    found = lines.regions(lines.breadcrumbs(lines.to_lines(docs)))
+    inventory = docs.select("doc_id", tx.numerals(F.col("body")).alias("numerals"), tx.years(F.col("body")).alias("years"))
+    meta = F.struct(F.concat(F.lit("Book "), "doc_id").alias("title"), F.lit("A. Writer").alias("author"), F.lit("2001").alias("year"))
+    rows = docs.select("doc_id", meta.alias("meta"), F.concat("doc_id", F.lit(".md")).alias("source"), F.lit("epub").alias("kind"), F.col("body").alias("text"))
+    return companion.companions(rows, planned, found, inventory, TODAY, VERSION)
+
+
+# -- streams -------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    folder, name = path.rsplit("/", 1)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _checkpoint(spark) -> str:
+    """In the folder that the cluster shares; a local one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docmill-stream-")
+    return f"{root.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+
+
+@query("SELECT count(*) AS runs, CAST(sum(event_id % 5) AS BIGINT) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(CAST(event_id % 100 AS DOUBLE) / 100), 6) AS cost_usd FROM events")
+def stream_usage(spark, sf_dir):
+    runs = _event_stream(spark, sf_dir).select((F.col("event_id") % 5).alias("calls"), F.col("user_id").cast("long").alias("tokens"), (F.col("event_id") % 100 / 100).alias("cost_usd"))
+    return streams.drain(streams.running_totals(runs), f"usage_{abs(hash(sf_dir))}", _checkpoint(spark), "complete")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_counts(spark, sf_dir):
+    return streams.drain(streams.daily_counts(_event_stream(spark, sf_dir)), f"daily_{abs(hash(sf_dir))}", _checkpoint(spark), "complete").select(F.col("day").cast("string").alias("day"), "n")
+
+
+@query("""
+WITH f AS (SELECT event_type AS signature, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS occurrences FROM events)
+SELECT signature, occurrences, CASE WHEN occurrences = 1 THEN 'filed' WHEN occurrences = 2 THEN 'escalated_hold' ELSE 'deduped' END AS outcome FROM f
+""")
+def stream_occurrences(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select(F.col("event_type").alias("signature"))
+    return streams.drain(streams.occurrences(rows), f"occurrences_{abs(hash(sf_dir))}", _checkpoint(spark))
