@@ -44,6 +44,7 @@ CELLS, FINER_CELLS = 65_536, 1024
 DATE = "1970-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
 
+MANIFEST = "shard int, name string, n_records long, n_bytes long, sha1 string"
 ATTEMPTS = "shard int, name string, temporary string, n_records long, n_bytes long, sha1 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string"
 
@@ -213,7 +214,7 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
 
     manifest = f"{folder}/_manifest"
     attempts.mapInArrow(committed, ATTEMPTS).drop("temporary").write.mode("overwrite").parquet(manifest)
-    return spark.read.parquet(manifest)
+    return spark.read.schema(MANIFEST).parquet(manifest)
 
 
 def _members(stream: BinaryIO) -> Iterator[bytes]:
@@ -259,7 +260,7 @@ def parse_record(member: bytes) -> tuple | None:
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """A row of ``RECORDS`` for each page record of the files that the manifest names."""
-    files = spark.read.parquet(f"{folder}/_manifest").select("name").repartition("name")
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name").repartition("name")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_system, path = pafs.FileSystem.from_uri(folder)
