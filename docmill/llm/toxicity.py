@@ -21,8 +21,6 @@ doc_id null is not held out; labels that differ for one doc_id count as toxic; f
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.llm.shared import release, trimmed
 from docmill.llm.textvec import ALNUM, hash_words, slices, words
 
 #: Labelled documents of each class that training takes at most, and the longest text among them.
@@ -45,7 +44,7 @@ GAINS = np.array([1, 2, 3, 4, 5, 6, 8])
 LEAST_WINDOWS = 20
 THRESHOLD = 0.7
 #: Gains remembered by a worker.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,28 +102,40 @@ class Gains:
         return np.concatenate(out) if out else np.zeros((0, 2 * len(GAINS) + 1))
 
 
-def likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
-    """How far a of n_a exceeds b of n_b; 0 if it doesn't."""
+def likelihood_ratios(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """How far each a of n_a exceeds its b of n_b; 0 where it doesn't."""
     expected = (a + b) * n_a / (n_a + n_b)
-    if a <= expected:
-        return 0.0
-    return 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0.0))
+    rest = np.where(b > 0, b * np.log(np.maximum(b, 1) / np.maximum(a + b - expected, 1e-12)), 0.0)
+    return np.where(a > expected, 2 * (a * np.log(np.maximum(a, 1) / np.maximum(expected, 1e-12)) + rest), 0.0)
 
 
 def build_dictionaries(texts: pa.Array, toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """Contents of the ordinary dictionary and of the toxic text that follows it."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """Contents of the ordinary dictionary and of the toxic text that follows it.
+
+    Words are counted by their hashes; only those chosen are looked up again as text.
+    """
+    seen: tuple[list, list] = ([], [])
     done = 0
     for nth, distinct, rows, n in _word_lists(texts):
+        keys = np.array([k for k, _ in distinct], dtype=np.uint64)
         for i in range(n):
-            seen[int(toxic[done + i])].update(distinct[j][1] for j in np.unique(nth[rows[i] : rows[i + 1]]))
+            seen[int(toxic[done + i])].append(keys[np.unique(nth[rows[i] : rows[i + 1]])])
         done += n
-    n_toxic = int(toxic.sum())
-    weight = {w: likelihood_ratio(c, seen[0][w], n_toxic, len(toxic) - n_toxic) for w, c in seen[1].items()}
-    telling = sorted((w for w, x in weight.items() if x > TELLING), key=lambda w: (weight[w], w))
-    chosen = set(telling)
-    common = sorted((w for w in seen[0] if w not in chosen), key=lambda w: (seen[0][w], w))[-ORDINARY_WORDS:]
-    return b"".join(b" " + w for w in common) + b" ", b"".join((b" " + w) * REPEATS for w in telling) + b" "
+    counts = [np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True) for x in seen]
+    every = np.union1d(counts[0][0], counts[1][0])
+    ordinary, harmful = (np.zeros(len(every), dtype=np.int64) for _ in range(2))
+    ordinary[np.searchsorted(every, counts[0][0])], harmful[np.searchsorted(every, counts[1][0])] = counts[0][1], counts[1][1]
+    weight = likelihood_ratios(harmful, ordinary, int(toxic.sum()), int(len(toxic) - toxic.sum()))
+    telling = weight > TELLING
+    common = ~telling & (ordinary > 0)
+    if common.sum() > ORDINARY_WORDS:  # the most widespread; of equals those of the larger hash
+        keep = np.lexsort((every, np.where(common, ordinary, -1)))[-ORDINARY_WORDS:]
+        common = np.zeros(len(every), dtype=bool)
+        common[keep] = True
+    wanted = {int(every[i]): i for i in np.flatnonzero(telling | common)}
+    spelt = {wanted[k]: w for _, distinct, _, _ in _word_lists(texts) for k, w in distinct if k in wanted}
+    of = lambda chosen, by: sorted((by[i], spelt[i]) for i in np.flatnonzero(chosen))
+    return b"".join(b" " + w for _, w in of(common, ordinary)) + b" ", b"".join((b" " + w) * REPEATS for _, w in of(telling, weight)) + b" "
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> np.ndarray:
@@ -162,18 +173,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def train(texts: list[str], toxic: list[int], calibrates: list[bool]) -> Model:
+def train(texts: pa.Array, toxic: np.ndarray, calibrates: np.ndarray) -> Model:
     """From a sample; rows that ``calibrates`` marks set the weights, all others the dictionaries."""
-    y, late = np.array(toxic, dtype=np.int64), np.array(calibrates, dtype=bool)
-    if len(y) == 0 or y.min() == y.max():
-        return Model(float(y.mean()) if len(y) else 0.0)
-    column = pa.array(texts, pa.string())
-    early = column.filter(pa.array(~late))
-    if y[~late].sum() in (0, (~late).sum()) or y[late].sum() in (0, late.sum()):
-        return Model(float(y.mean()))
-    contents = build_dictionaries(early, y[~late])
-    x = Gains(*contents).features(column.filter(pa.array(late)))
-    return Model(float(y.mean()), contents, fit_logistic(x, y[late]))
+    prior = float(toxic.mean()) if len(toxic) else 0.0
+    parts = [toxic[~calibrates], toxic[calibrates]]
+    if any(len(y) == 0 or y.min() == y.max() for y in parts):
+        return Model(prior)
+    contents = build_dictionaries(texts.filter(pa.array(~calibrates)), parts[0])
+    x = Gains(*contents).features(texts.filter(pa.array(calibrates)))
+    return Model(prior, contents, fit_logistic(x, parts[1]))
 
 
 def train_on(documents: DataFrame, labels: DataFrame) -> Model:
@@ -190,8 +198,14 @@ def train_on(documents: DataFrame, labels: DataFrame) -> Model:
         for c, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))
     ]
     sample = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
-    rows = short.join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy("digest").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], [int(r["digest"][0], 16) % 4 == 0 for r in rows])
+    rows = short.join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy("digest").select("text", "toxic", (F.conv(F.left("digest", F.lit(1)), 16, 10).cast("int") % 4 == 0).alias("late")).toArrow()
+    model = train(
+        rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()),
+        rows.column("toxic").to_numpy().astype(np.int64), np.array(rows.column("late").to_pylist(), dtype=bool),
+    )
+    del rows
+    release()
+    return model
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,7 +222,7 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     schema = T.StructType(
         [documents.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     )
-    found = documents.select("doc_id", "text").mapInArrow(scored, schema)
+    found = documents.select("doc_id", "text").mapInArrow(trimmed(scored), schema)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -221,4 +235,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
             score = model.value.score(batch.column(batch.schema.names.index("text")))
             yield batch.filter(pc.less(pa.array(score), THRESHOLD))
 
-    return documents.mapInArrow(clean, documents.schema)
+    return documents.mapInArrow(trimmed(clean), documents.schema)
