@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.llm.shared import trimmed
 from docmill.llm.textvec import ALNUM, hash_runs, hash_words, slices, words
 
 WINDOW = 10
@@ -213,7 +214,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, most: int = B
             yield pa.RecordBatch.from_arrays([batch.column(0), *scan(batch.column(1), load)], ["doc_id", *FOUND.names])
 
     schema = T.StructType([documents.schema["doc_id"], *FOUND])
-    return documents.select("doc_id", "text").mapInArrow(found, schema)
+    return documents.select("doc_id", "text").mapInArrow(trimmed(found), schema)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
@@ -226,4 +227,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_
             hit = scan(batch.column(batch.schema.names.index("text")), load)[4]
             yield batch.filter(pc.invert(hit))
 
-    return documents.mapInArrow(clean, documents.schema)
+    return documents.mapInArrow(trimmed(clean), documents.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm.graphs import components
-from docmill.llm.shared import save
+from docmill.llm.shared import release, save, trimmed
 from docmill.llm.textvec import SPACED, hash_runs, hash_words, slices, words
 
 BANDS, ROWS = 32, 5
@@ -124,7 +124,7 @@ def features(documents: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "print", "minima"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(found, T.StructType([documents.schema["doc_id"], *FEATURES]))
+    return documents.select("doc_id", "text").mapInArrow(trimmed(found), T.StructType([documents.schema["doc_id"], *FEATURES]))
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -179,7 +179,7 @@ def _prune(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return (
         joined.filter(fits)
         .select("a", "b", "a_minima", "b_minima")
-        .mapInArrow(keep, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        .mapInArrow(trimmed(keep), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     )
 
 
@@ -214,7 +214,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     kind = texts.schema["doc_id"].dataType
     return (
         pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
-        .mapInArrow(linked, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        .mapInArrow(trimmed(linked), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     )
 
 
@@ -302,6 +302,7 @@ def _open_links(members: DataFrame, labels: DataFrame, found: DataFrame, texts:
                 shared = _intersections(sets[:n_left], sets[n_left:], open_).astype(np.int64)
                 linked = open_ & (100 * shared >= percent * (size[:n_left, None] + size[None, n_left:] - shared))
                 found_links = _spanning(ids[:n_left], ids[n_left:], parts, linked)
+        release()
         return pa.table({"a": [a for a, _ in found_links], "b": [b for _, b in found_links]}, schema=schema)
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

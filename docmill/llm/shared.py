@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,18 @@ def release() -> None:
         trim(0)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives memory back after each."""
+
+    def each(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            release()
+
+    return each
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_root(spark)}/docmill/{name}-{uuid.uuid4().hex}"
