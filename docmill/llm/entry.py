@@ -208,3 +208,38 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
 FROM named
 """
+
+
+def _url_sql() -> str:
+    """The URL filters in SQL: the rules by cases, and a step for each level of the tree."""
+    rules = sorted(urls.RULES, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0])))
+    fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
+    case = lambda nth: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[nth]}'" for f in fits) + " END"
+    shape = "CASE WHEN regexp_full_match({0}, '[0-9]+') THEN '*' WHEN regexp_matches({0}, '^[0-9]+\\.') THEN '*' || regexp_extract({0}, '^[0-9]+(\\..*)$', 1) ELSE {0} END"
+    segments = ", ".join(f"{shape.format(f'parts[{i + 2}]')} AS s{i}" for i in range(urls.DEPTH))
+    steps = ""
+    for i in range(urls.DEPTH):
+        steps += f"""
+v{i} AS (SELECT host, t, s{i}, count(*) AS n FROM t{i} WHERE s{i} IS NOT NULL GROUP BY ALL),
+w{i} AS (SELECT host, t FROM v{i} GROUP BY ALL HAVING count(*) >= {urls.VARIABLE_DISTINCT} AND count(*) >= {urls.VARIABLE_SHARE} * sum(n)),
+t{i + 1} AS (SELECT x.* REPLACE (CASE WHEN s{i} IS NULL THEN x.t ELSE x.t || '/' || CASE WHEN w{i}.t IS NOT NULL THEN '*' ELSE s{i} END END AS t) FROM t{i} x LEFT JOIN w{i} ON x.host = w{i}.host AND x.t = w{i}.t),"""
+    share = lambda good, n, parent: (
+        f"CASE WHEN {n} > 0 AND abs({good} / greatest({n}, 1) - {parent}) > {urls.MERGE_Z}::DOUBLE * sqrt({parent} * (1 - {parent}) / greatest({n}, 1))"
+        f" THEN ({good} + {urls.SMOOTHING}::DOUBLE * {parent}) / ({n} + {urls.SMOOTHING}::DOUBLE) ELSE {parent} END"
+    )
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruling, string_split(path, '/') AS parts FROM parts),
+t0 AS (SELECT page_id, host, path, rule, ruling, parts, '' AS t, {segments} FROM ruled),{steps}
+done AS (SELECT page_id, host, path, rule, ruling, t || CASE WHEN len(parts) > {urls.DEPTH + 1} THEN '/{urls.DEEP}' ELSE '' END AS template FROM t{urls.DEPTH}),
+counts AS (SELECT host, template, count(ruling)::DOUBLE AS n, (count(*) FILTER (ruling = 'allow'))::DOUBLE AS good FROM done GROUP BY ALL),
+wide AS (SELECT template, sum(n) AS t_n, sum(good) AS t_good FROM counts GROUP BY ALL),
+overall AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 1.0::DOUBLE) AS o FROM counts),
+shares AS (SELECT c.*, {share("t_good", "t_n", "o")} AS p FROM counts c JOIN wide USING (template), overall),
+pure AS (SELECT host, template, round({share("good", "n", "p")}, 9) AS purity FROM shares)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN purity < {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM done JOIN pure USING (host, template)
+"""
+
+
+ORACLE_SQL["op8_url_filters"] = _url_sql()
