@@ -137,7 +137,8 @@ def bold_heading(line: Column) -> Column:
 
 def standard_clean(md: Column, compat: bool = False) -> Column:
     """The clean-up of a converted book. ``compat``: a navigation section goes up to the next top heading, and
-    divs go with their content; otherwise sections end at the next heading of their level and divs are unwrapped."""
+    divs go with their content, and closing tags of tables go; otherwise sections end at the next heading of their
+    level, divs are unwrapped and tables stay whole."""
     until = r"(?=^#[^#]|\z)" if compat else r"(?=^#{1,2}[^#]|\z)"
     md = _rewrite(
         md,
@@ -160,7 +161,7 @@ def standard_clean(md: Column, compat: bool = False) -> Column:
         _without_html_blocks(md),
         (r"\n{3,}", "\n\n"),
         (r"(?md)[ \t]+$", ""),
-        (r"<(?!table|tr|td|th|thead|tbody)[^>]+>", ""),
+        (r"<(?!table|tr|td|th|thead|tbody)[^>]+>" if compat else r"<(?!/?(?:table|tr|td|th|thead|tbody)\b)[^>]+>", ""),
         (r"(?md)^#{1,6}[ \t]*$", ""),
         (r"\n{3,}", "\n\n"),
     )
@@ -217,10 +218,10 @@ def noise_line(line: Column) -> Column:
 
 def clean_for_retrieval(md: Column, keep_tables: bool = True) -> Column:
     """Promotion, garbage characters, runs and lines, blank runs, heading spacing, empty links and images, entities.
-    ``keep_tables``: rows that rule a table aren't noise."""
+    ``keep_tables``: rows of tables aren't noise."""
     md = F.regexp_replace(without_promotion(md), r"[^\n\r\t\x20-\x7E\x{A0}-\x{1FFF}\x{2010}-\x{FFFF}]", "")
     md = F.regexp_replace(md, r"(.)\1{10,}", "$1$1$1")
-    noise = lambda x: noise_line(x) & ~x.rlike(r"\A\s*\|?[\s:|-]*---[\s:|-]*\z") if keep_tables else noise_line(x)
+    noise = lambda x: noise_line(x) & ~x.rlike(r"\A\s*(?:\|.*\||[\s:|-]*---[\s:|-]*)\s*\z") if keep_tables else noise_line(x)
     md = F.array_join(F.filter(F.split(md, "\n", -1), lambda x: ~noise(x)), "\n")
     md = F.regexp_replace(md, r"\n{3,}", "\n\n")
     md = F.array_join(F.transform(F.split(md, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")), "\n")

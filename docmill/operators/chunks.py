@@ -10,11 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import strip, token_estimate
-from docmill.operators.lines import NAVIGATION
+from docmill.operators.lines import NAVIGATION, to_lines
 
 TARGET, MOST, LEAST, CAP = 24_000, 32_000, 1_500, 40
 
@@ -24,7 +24,7 @@ def bins(weights: Column, target: int) -> Column:
     start = F.struct(F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, w):
-        new = (acc["bin"] < 0) | ((acc["held"] > 0) & (acc["held"] + w > target)) & (F.size(acc["out"]) > 0)
+        new = (acc["bin"] < 0) | (acc["held"] + w > target)
         number = F.when(new, acc["bin"] + 1).otherwise(acc["bin"])
         return F.struct(number.alias("bin"), F.when(new, w).otherwise(acc["held"] + w).cast("long").alias("held"), F.concat(acc["out"], F.array(number)).alias("out"))
 
@@ -51,8 +51,6 @@ def overlapping(documents: DataFrame, target: int = TARGET, body: str = "body",
     Paragraphs end at blank lines and page rules; each window repeats the last paragraph of the one before; windows
     are named by their pages if there is a rule, else by their number.
     """
-    from docmill.operators.lines import to_lines  # local: lines has no need of chunks, this has of lines
-
     start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("last"), F.lit(False).alias("some"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, w):
@@ -61,8 +59,6 @@ def overlapping(documents: DataFrame, target: int = TARGET, body: str = "body",
         held = F.when(new, acc["last"] + w).otherwise(acc["held"] + w).cast("long")
         return F.struct(number.alias("bin"), held.alias("held"), w.cast("long").alias("last"), F.lit(True).alias("some"), F.concat(acc["out"], F.array(number)).alias("out"))
 
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key).orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     lines = to_lines(documents, body, key)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
 from docmill.operators import evidence
+from docmill.operators.chunks import bins
+from docmill.operators.lineage import cut
 
 Distiller = Callable[[list[str], str], str]
 
@@ -138,8 +140,6 @@ def merged_groups(d: DataFrame, above: int = GROUP_ABOVE_TOKENS, key: str = "doc
 
 def split_block(text: Column, most: int = MOST_WORDS) -> Column:
     """Pieces of at most so many words, at lines if there are several, else at sentences; a longer sentence is cut."""
-    from docmill.operators.chunks import bins
-
     words = lambda x: F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")).cast("long")
     lines = F.size(F.split(text, "\n", -1)) > 1
     parts = F.when(lines, F.split(text, "\n", -1)).otherwise(F.split(text, r"(?<=[.!?])\s+", -1))
@@ -272,17 +272,19 @@ def rollup(d: DataFrame) -> DataFrame:
 def companions(documents: DataFrame, chunks: DataFrame, regions: DataFrame, inventory: DataFrame, generated: str, version: str, accuracy_critical: bool = False, distiller: Distiller = extractive) -> DataFrame:
     """doc_id, text, outcome, table_numerals_total, table_numerals_present: documents (doc_id, meta struct, source, kind, text)
     through digests, rollup, assembly, firewall, rendering and the check of tables."""
-    d = digests(chunks, distiller)
+    # Each section reads the digests anew, and the distiller is the costly part: it runs once.
+    d = cut(digests(chunks, distiller))
     failed = too_many_failures(d, accuracy_critical=accuracy_critical)
     meta = documents.select("doc_id", "meta.title", "meta.author", "meta.year", "source", "kind", tx.token_estimate(F.col("text")).alias("tokens"))
-    kept = meta.join(failed, "doc_id", "left_anti")
-    tables = appendix(regions, accuracy_critical)
-    titles, units = sections(kept, d.join(failed, "doc_id", "left_anti"), rollup(d), tables)
-    checked = evidence.firewall(units, inventory, accuracy_critical)
+    kept = cut(meta.join(failed, "doc_id", "left_anti"))
+    tables = cut(appendix(regions, accuracy_critical))
+    good = d.join(failed, "doc_id", "left_anti")
+    titles, units = sections(kept, good, cut(rollup(good)), tables)
+    checked = cut(evidence.firewall(cut(units), inventory, accuracy_critical))
     field = lambda n, c: F.when(c != "", F.concat(F.lit(f'{n}: "'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"')))
     front = F.concat_ws(
         "\n", F.lit("---"), field("title", F.col("title")), field("author", F.col("author")), F.concat(F.lit("year: "), "year"), F.lit('document_type: "rag_distillate"'),
         field("source_document", F.col("source")), field("source_kind", F.col("kind")), F.lit(f"accuracy_critical: {str(accuracy_critical).lower()}"),
         F.concat(F.lit("source_tokens_estimate: "), "tokens"), field("converter_version", F.lit(version)), field("generated", F.lit(generated)), F.lit("---"))
-    done = evidence.surviving_tables(render(kept, titles, checked, front), tables).withColumn("outcome", F.lit("ok"))
+    done = evidence.surviving_tables(cut(render(kept, titles, checked, front)), tables).withColumn("outcome", F.lit("ok"))
     return done.unionByName(failed.select("doc_id", F.lit("too_many_failures").alias("outcome")), allowMissingColumns=True)

@@ -18,6 +18,7 @@ from docmill.functions import markdown as md
 from docmill.functions import text as tx
 from docmill.functions import urls
 from docmill.operators import chunks, companion, evidence, findings, layout, ledger, lines, threads
+from docmill.operators.lineage import cut
 from docmill.sources import epub, files, html
 from docmill.streaming import ledger as streams
 
@@ -42,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to scored, chunk-planned articles."""
-    found = html.articles(table(spark, sf_dir, "pages"), TODAY, VERSION)
+    found = cut(html.articles(table(spark, sf_dir, "pages"), TODAY, VERSION))
     planned = chunks.plan_chunks(found.select(F.col("page_id").alias("doc_id"), "body"))
     sizes = planned.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
     score = md.optimization_score(md.artifact_counts(F.col("body")))

@@ -10,7 +10,7 @@ COMPANION = ".rag.md"
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """path, body of whole Markdown files; companions are not sources."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     return files.filter(~F.col("path").endswith(COMPANION))
 
 
@@ -22,8 +22,10 @@ def gather(paths: DataFrame, suffix: str = ".epub") -> tuple[DataFrame, DataFram
 
 def json_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows that parse, and the text of those that don't."""
-    rows = spark.read.schema(f"{schema}, _damaged string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_damaged").json(path)
-    return rows.filter(F.col("_damaged").isNull()).drop("_damaged"), rows.filter(F.col("_damaged").isNotNull()).select(F.col("_damaged").alias("text"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"}
+    rows = spark.read.text(path).select("value", F.from_json("value", f"{schema}, _damaged string", options).alias("x"))
+    damaged = F.col("x._damaged").isNotNull() | F.col("x").isNull()
+    return rows.filter(~damaged).select("x.*").drop("_damaged"), rows.filter(damaged).select(F.col("value").alias("text"))
 
 
 def distinct_names(files: DataFrame, name: str = "name", order: str = "pos") -> DataFrame:

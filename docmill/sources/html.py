@@ -27,6 +27,8 @@ ASIDE = frozenset("nav footer aside form header".split())
 CLUTTER = re.compile(r"\b(ad|ads|advert|promo|comments?|responses?|related|share|social|newsletter|subscribe|sidebar|cookie|author-card)\b", re.I)
 IMAGE_SOURCES = ("src", "data-src", "data-lazy-src", "data-original", "data-lazy", "data-image", "data-url")
 CHOSEN = ("article", "main", "role=main", "post-content", "entry-content", "article-body", "content")
+#: Elements nested deeper than this become siblings.
+DEEPEST = 150
 LEAST_CHOSEN, LEAST_PARAGRAPHS, LEAST_PARAGRAPH = 500, 3, 50
 
 PARSED = (
@@ -77,9 +79,15 @@ class _Tree(HTMLParser):
             self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
-        if tag not in VOID:
+        if tag not in VOID and self.depth() < DEEPEST:
             self.at = node
 
+    def depth(self) -> int:
+        n, d = self.at, 0
+        while n.parent is not None:
+            n, d = n.parent, d + 1
+        return d
+
     def handle_startendtag(self, tag, attrs):
         self.at.kids.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
@@ -287,9 +295,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 # -- columns over a parse ------------------------------------------------------------------------------------
 
 
+def _named(name: str):
+    return lambda m: m["name"] == name
+
+
 def meta_value(*names: str) -> Column:
     """The first of the names that the page has, in the order given."""
-    return F.coalesce(*[tx.missing_to_null(F.get(F.filter("meta", lambda m, n=n: m["name"] == n), F.lit(0))["value"]) for n in names])
+    return F.coalesce(*[tx.missing_to_null(F.get(F.filter("meta", _named(n)), F.lit(0))["value"]) for n in names])
 
 
 #: Types of JSON-LD items that are articles.
@@ -298,13 +310,9 @@ ARTICLES = ("Article", "NewsArticle", "BlogPosting", "TechArticle", "ScholarlyAr
 
 def ld_item() -> Column:
     """The first article among JSON-LD scripts, their arrays and graphs, as a variant."""
-    parsed = F.transform("ld", F.try_parse_json)
-    lists = F.flatten(
-        F.transform(
-            parsed,
-            lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v)),
-        )
-    )
+    several = lambda path: lambda v: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array(v))
+    items = F.flatten(F.transform(F.transform("ld", F.try_parse_json), several("$")))
+    lists = F.flatten(F.transform(items, several("$['@graph']")))
     kinds = lambda v: F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
     return F.get(F.filter(lists, lambda v: F.arrays_overlap(kinds(v), F.array(*map(F.lit, ARTICLES)))), F.lit(0))
 
