@@ -92,6 +92,22 @@ def read_digest(reply: Column) -> list[Column]:
     return [F.struct(*parts).cast(DIGEST).alias("digest"), failed.alias("failed")]
 
 
+def chunk_prompt(title: Column, path: Column, text: Column) -> Column:
+    """What a model is asked about a chunk."""
+    return F.concat(
+        F.lit("Summarise this part of the document for retrieval. Reply with one JSON object with the fields summary, keywords, claims, facts_numeric, terms, qa and entities. Copy numbers exactly; add none.\n\nDocument: "),
+        F.coalesce(title, F.lit("unknown")), F.lit("\nPart: "), F.array_join(path, " > "), F.lit("\n\n"), text,
+    )
+
+
+def rollup_prompt(title: Column, digests_json: Column) -> Column:
+    """What a model is asked about all digests of a document."""
+    return F.concat(
+        F.lit("Combine these digests of one document. Reply with one JSON object with the fields executive_summary, thesis, themes, glossary, question_bank and entity_index. Use only what the digests say.\n\nDocument: "),
+        F.coalesce(title, F.lit("unknown")), F.lit("\n\n"), digests_json,
+    )
+
+
 def too_many_failures(d: DataFrame, key: str = "doc_id", accuracy_critical: bool = False) -> DataFrame:
     """doc_id of documents to give up: more than 30 % of their chunks failed, or one where accuracy is critical."""
     share = F.count_if("failed") / F.count(F.lit(1))

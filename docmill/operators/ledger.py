@@ -79,6 +79,12 @@ def latest(runs: DataFrame, time: str = "ts", most: int = RUNS_KEPT) -> DataFram
     return newest
 
 
+def append_runs(runs: DataFrame, path: str, keep: int = RUNS_KEPT) -> DataFrame:
+    """Append runs to the ledger at ``path``; returns the newest of all. Earlier rows are never rewritten."""
+    runs.write.mode("append").parquet(path)
+    return latest(runs.sparkSession.read.parquet(path), most=keep)
+
+
 def until_cap(calls: DataFrame, cap: float, run: str = "run", seq: str = "seq") -> DataFrame:
     """Calls up to and with the first that takes its run's cost above the cap, with spent and stopped."""
     order = Window.partitionBy(run).orderBy(seq)

@@ -19,7 +19,7 @@ from docmill.functions import text as tx
 from docmill.functions import urls
 from docmill.operators import chunks, companion, evidence, findings, layout, ledger, lines, threads
 from docmill.operators.lineage import cut
-from docmill.sources import epub, files, html
+from docmill.sources import epub, extras, files, html
 from docmill.streaming import ledger as streams
 
 VERSION, TODAY = "1.0", "2024-01-01"
@@ -732,6 +732,47 @@ def page_images(spark, sf_dir):
     return html.parse_pages(pages).select("page_id", F.array_join(F.transform(html.content_images(), lambda i: i["url"]), " ").alias("urls"))
 
 
+@query("""
+WITH p AS (SELECT regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])page=[0-9]+(&|$)', '\\1'), '[?&]$', '') AS base_url, coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS BIGINT), 1) AS page, CAST(page_id AS VARCHAR) AS m FROM pages),
+g AS (SELECT base_url, page, min(m) AS m FROM p GROUP BY ALL)
+SELECT base_url, string_agg(m, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) AS markdown, count(*) AS pages FROM g GROUP BY base_url
+""")
+def page_union(spark, sf_dir):
+    return extras.paginated(table(spark, sf_dir, "pages").select("url", F.col("page_id").cast("string").alias("markdown")))
+
+
+@query("""
+SELECT page_id, '![A](img/1.png) and text' || CASE WHEN page_id % 2 = 0 THEN ' <img src="img/2.png">' ELSE chr(10) || chr(10) || '![Two](img/2.png)' || chr(10) END AS body FROM pages
+""")
+def image_placement(spark, sf_dir):
+    one = lambda u, alt, local: F.struct(F.lit(u).alias("url"), F.lit(alt).alias("alt"), F.lit(local).alias("local"))
+    body = F.concat(F.lit("![A](http://x/1.png) and text"), F.when(F.col("page_id") % 2 == 0, ' <img src="http://x/2.png">').otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", extras.place_images(body, F.array(one("http://x/1.png", "A", "img/1.png"), one("http://x/2.png", "Two", "img/2.png"))).alias("body"))
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Shown Name' WHEN 1 THEN 'Mikael' WHEN 2 THEN 'Plain Name' ELSE 'https://medium.com/@mikael' END AS author, 'Base - Figure ' || page_id || CASE WHEN page_id % 2 = 0 THEN '.png' ELSE '.jpg' END AS name FROM pages
+""")
+def author_and_figure_names(spark, sf_dir):
+    k = F.col("page_id") % 4
+    author = F.when(k == 2, "Plain Name").otherwise("https://medium.com/@mikael")
+    shown, url = F.when(k == 0, "Shown Name"), F.when(k == 3, "http://other.org/").otherwise("https://medium.com/x")
+    kind = F.when(F.col("page_id") % 2 == 0, "image/png; q=1").otherwise("text/x")
+    return table(spark, sf_dir, "pages").select("page_id", extras.display_author(author, shown, url).alias("author"), extras.figure_name(F.lit("Base"), F.col("page_id"), kind).alias("name"))
+
+
+@query("SELECT page_id, html FROM pages WHERE page_id % 4 < 3")
+def content_decoding(spark, sf_dir):
+    import gzip
+
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series, pages: pd.Series) -> pd.Series:
+        return pd.Series([gzip.compress(h.encode()) if i % 4 == 1 else b"broken" if i % 4 == 3 else h.encode() for i, h in zip(ids, pages)])
+
+    rows = table(spark, sf_dir, "pages").select("page_id", packed("page_id", "html").alias("body"), F.when(F.col("page_id") % 2 == 1, "gzip").otherwise("identity").alias("encoding"))
+    return extras.decode_bodies(rows)[0]
+
+
 # -- books and companions ------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -53,6 +53,25 @@ def upserts(findings: DataFrame, merge: Callable[[DataFrame, int], None], checkp
     return findings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Progress(StreamingQueryListener):
+    """Collects a line for each batch and for the end of each query; pass ``print`` or a logger."""
+
+    def __init__(self, say: Callable[[str], None]):
+        self.say = say
+
+    def onQueryStarted(self, event):
+        self.say(f"{event.name or event.id}: started")
+
+    def onQueryProgress(self, event):
+        self.say(f"{event.progress.name or event.progress.id}: batch {event.progress.batchId}, {event.progress.numInputRows} rows")
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.say(f"{event.id}: {'failed' if event.exception else 'ended'}")
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, and return its result as a table in memory (for totals, which are small)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

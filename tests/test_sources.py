@@ -126,3 +126,47 @@ def test_text_functions_take_nulls(spark):
     df = spark.createDataFrame([(None,)], "s string")
     for f in (tx.numerals, tx.years, tx.token_estimate, tx.iso_date, tx.html_title, tx.tidy, tx.unescape):
         assert df.select(f(F.col("s")).alias("x")).first()["x"] is None
+
+
+def test_bodies_decode(spark):
+    import gzip
+    import zlib
+
+    import zstandard
+
+    from docmill.sources.extras import decoded
+
+    raw = b"<p>x</p>" * 50
+    assert decoded(gzip.compress(raw), "gzip") == decoded(zlib.compress(raw), "deflate") == decoded(zlib.compress(raw, wbits=-15), "deflate") == raw
+    assert decoded(zstandard.compress(raw), "zstd") == decoded(raw, None) == decoded(gzip.compress(zlib.compress(raw)), "deflate, gzip") == raw
+    assert decoded(b"broken", "gzip") is decoded(b"broken", "zstd") is decoded(raw, "br") is decoded(None, "gzip") is None
+
+
+def test_images_and_frontmatter(spark):
+    from docmill.sources import extras
+
+    image = lambda u, a: F.struct(F.lit(u).alias("url"), F.lit(a).alias("alt"))
+    images = F.array(image("http://x/lead-logo.png", "Logo"), image("http://x/icon.png", "an icon"), image("http://x/1x1.gif", ""), image("http://x/a.png", "A"))
+    got = spark.range(1).select(F.transform(extras.article_images(images, F.lit("http://x/lead-logo.png")), lambda i: i["url"])).first()[0]
+    assert got == ["http://x/lead-logo.png", "http://x/a.png"]
+    front = extras.layout_frontmatter(*map(F.lit, ("", "", "/d/My File.pdf", "D:20200102", "2024-01-01", 3, 9, 1, 2, 0.876, "marker", "pymupdf")), F.lit(False), F.lit("mixed_layout"), F.lit("1"))
+    text = spark.range(1).select(front).first()[0]
+    assert 'title: "My File"' in text and 'publication_date: "2020-01-02"' in text and "extraction_confidence: 0.88" in text and "ocr_applied: false" in text
+    tables = spark.createDataFrame([(1, 0, 1, "| a |\n| - |\n| b |"), (1, 0, 2, "| x |")], "doc_id int, page int, seq int, md string")
+    texts = spark.createDataFrame([(1, 0, "text")], "doc_id int, page int, md string")
+    assert extras.pages_with_tables(texts, tables).first()["markdown"] == "| a |\n| - |\n| b |\n\ntext"
+
+
+def test_progress_and_appended_runs(spark, tmp_path):
+    from docmill.operators import ledger
+
+    said = []
+    listener = streams.Progress(said.append)
+    spark.streams.addListener(listener)
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "1.json").write_text('{"n": 1}')
+    streams.drain(spark.readStream.schema("n int").json(str(tmp_path / "s")), "progress", str(tmp_path / "c"))
+    spark.streams.removeListener(listener)
+    runs = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "run int, ts int")
+    ledger.append_runs(runs, str(tmp_path / "ledger"))
+    assert sorted(r["run"] for r in ledger.append_runs(runs.selectExpr("run + 3 AS run", "ts + 30 AS ts"), str(tmp_path / "ledger"), keep=4).collect()) == [3, 4, 5, 6]
