@@ -7,9 +7,10 @@ with the strongest words last, where offsets are cheapest; the toxic dictionary
 one, so that the two lengths differ by the toxic text alone.
 
 A window is one word, repeated as it stands in the toxic dictionary. Its gain is its compressed length under
-the ordinary dictionary less that under the toxic one. A document's windows are counted by thresholds of the
-gain, absolutely and against their number; a logistic regression on the other quarter of the sample turns
-the counts into a score.
+the ordinary dictionary less that under the toxic one; it is whole if the latter is no longer than the
+windows of the toxic text itself come to, that is, if one match covers it. A document's windows are counted by
+thresholds of the gain, whole ones and all, absolutely and against their number; a logistic regression on the
+other quarter of the sample turns the counts into a score.
 
 Scoring reads whole texts, in one pass without a shuffle; a window is compressed once for each slice.
 
@@ -38,8 +39,11 @@ from docmill.llm.textvec import ALNUM, hash_words, slices, words
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2500, 4000, 20_000
 #: Likelihood ratio above which a word is toxic text, and the ordinary words kept.
 TELLING, ORDINARY_WORDS = 20.0, 9000
-REPEATS, LEVEL = 3, 12
-GAINS = np.array([1, 2, 3, 4, 5, 6, 8])
+WINDOW_BYTES, LEVEL = 40, 12
+#: Gains at which whole windows, and windows of any kind, are counted.
+WHOLE_GAINS, GAINS = np.array([1, 3, 5, 7, 9, 11, 14]), np.array([2, 4, 6])
+#: The part of the toxic text's own windows that count as whole.
+WHOLE_SHARE = 0.98
 #: Windows by which a count is divided at least.
 LEAST_WINDOWS = 20
 THRESHOLD = 0.7
@@ -61,10 +65,15 @@ def _word_lists(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], np.n
         yield nth, [(int(k), raw[starts[i] : ends[i]]) for k, i in zip(keys, at)], rows, s.last - s.first
 
 
+def window(word: bytes) -> bytes:
+    """A word, repeated to a length that compression has an effect on."""
+    return (b" " + word) * max(2, -(-WINDOW_BYTES // (len(word) + 1)))
+
+
 class Gains:
     """Window gains under two dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, toxic: bytes, whole: int | None = None):
         settings = zstandard.ZstdCompressionParameters.from_level(
             LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
@@ -74,32 +83,37 @@ class Gains:
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=settings)
             self.lengths.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress)
+        if whole is None:
+            own = sorted(len(self.lengths[1](window(w) + b" ")) for w in set(toxic.split()))
+            whole = own[int(WHOLE_SHARE * (len(own) - 1))] if own else 0
+        self.whole = whole
 
     def of(self, key: int, word: bytes) -> int:
-        gain = self.known.get(key)
-        if gain is None:
+        """Twice the gain, and one more if the window is whole."""
+        code = self.known.get(key)
+        if code is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            window = (b" " + word) * REPEATS + b" "
-            gain = self.known[key] = len(self.lengths[0](window)) - len(self.lengths[1](window))
-        return gain
+            text = window(word) + b" "
+            own = len(self.lengths[1](text))
+            code = self.known[key] = 2 * (len(self.lengths[0](text)) - own) + (own <= self.whole)
+        return code
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """A row of counts for each text."""
         out = []
-        for nth, distinct, rows, n in _word_lists(texts):
-            gain = np.array([self.of(k, w) for k, w in distinct] or [0], dtype=np.int32)
-            gain = gain[nth] if len(nth) else np.zeros(0, np.int32)
-            hot = np.zeros((len(gain) + 1, len(GAINS)), dtype=np.int64)
-            np.cumsum(gain[:, None] >= GAINS, axis=0, out=hot[1:])
+        for nth, distinct, rows, _ in _word_lists(texts):
+            code = np.array([self.of(k, w) for k, w in distinct] or [0], dtype=np.int32)
+            code = code[nth] if len(nth) else np.zeros(0, np.int32)
+            gain, whole = code >> 1, code & 1 == 1
+            marks = np.concatenate([(gain[:, None] >= WHOLE_GAINS) & whole[:, None], gain[:, None] >= GAINS], axis=1)
+            hot = np.zeros((len(gain) + 1, marks.shape[1]), dtype=np.int64)
+            np.cumsum(marks, axis=0, out=hot[1:])
             counts = (hot[rows[1:]] - hot[rows[:-1]]).astype(np.float64)
-            most = np.zeros(n)
-            full = np.flatnonzero(np.diff(rows))
-            if len(full):
-                most[full] = np.maximum(np.maximum.reduceat(gain, rows[full]), 0)
             size = np.maximum(np.diff(rows), LEAST_WINDOWS).astype(np.float64)
-            out.append(np.concatenate([np.log1p(counts), counts / np.sqrt(size)[:, None], most[:, None]], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 2 * len(GAINS) + 1))
+            out.append(np.concatenate([np.log1p(counts), counts / np.sqrt(size)[:, None], counts[:, : len(WHOLE_GAINS)] > 1], axis=1))
+        width = 2 * (len(WHOLE_GAINS) + len(GAINS)) + len(WHOLE_GAINS)
+        return np.concatenate(out) if out else np.zeros((0, width))
 
 
 def likelihood_ratios(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
@@ -135,7 +149,7 @@ def build_dictionaries(texts: pa.Array, toxic: np.ndarray) -> tuple[bytes, bytes
     wanted = {int(every[i]): i for i in np.flatnonzero(telling | common)}
     spelt = {wanted[k]: w for _, distinct, _, _ in _word_lists(texts) for k, w in distinct if k in wanted}
     of = lambda chosen, by: sorted((by[i], spelt[i]) for i in np.flatnonzero(chosen))
-    return b"".join(b" " + w for _, w in of(common, ordinary)) + b" ", b"".join((b" " + w) * REPEATS for _, w in of(telling, weight)) + b" "
+    return b"".join(b" " + w for _, w in of(common, ordinary)) + b" ", b"".join(window(w) for _, w in of(telling, weight)) + b" "
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> np.ndarray:
