@@ -161,7 +161,8 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
         {"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")}
     )
     narrow = save(wide.select("page_id", "digest", "n_bytes"), "warc-narrow")
-    first = spark.sparkContext.broadcast(borders(narrow, shard_bytes))
+    starts = borders(narrow, shard_bytes)
+    first = spark.sparkContext.broadcast(starts)
 
     @F.pandas_udf("int")
     def shard(ids):
@@ -175,7 +176,7 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
         marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     )
     order = ["shard", F.col("page_id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first()]
-    sorted_ = both.withColumn("shard", shard("page_id")).repartition("shard").sortWithinPartitions(*order)
+    sorted_ = both.withColumn("shard", shard("page_id")).repartition(len(starts) + 1, "shard").sortWithinPartitions(*order)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_system, path = pafs.FileSystem.from_uri(folder)
