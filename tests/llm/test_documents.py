@@ -178,6 +178,26 @@ def test_toxicity_learns_words_and_spares_clean(spark):
     assert kept.columns == documents(spark, []).columns and kept.count() == sum(r["predicted"] == 0 for r in out.values())
 
 
+def test_toxicity_learns_from_a_sample_far_below_the_labels(spark, monkeypatch):
+    """The smallest digests of many labels all begin with the same digit; either part still holds both classes."""
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 60)
+    rng = random.Random(7)
+    rows = [(k, sentence(rng, 60, 200) + (" vile grotty scummer dolt" * 2 if k % 2 else ""), k % 2) for k in range(4000)]
+    labels = spark.createDataFrame([(k, 1, t) for k, _, t in rows], "doc_id long, quality int, toxic int")
+    some = [(k, t) for k, t, _ in rows]
+    out = {r["doc_id"]: r for r in toxicity.score_documents(documents(spark, some), labels).collect()}
+    held = [(out[k]["predicted"], t) for k, _, t in rows if out[k]["held_out"]]
+    assert sum(p == t for p, t in held) / len(held) > 0.97
+
+
+def test_toxicity_calibrates_on_a_quarter_of_each_class():
+    toxic = np.array([0] * 40 + [1] * 20 + [0] * 4)
+    late = toxicity.calibration_rows(toxic)
+    assert late[toxic == 0].sum() == 11 and late[toxic == 1].sum() == 5
+    assert toxicity.calibration_rows(np.array([], dtype=int)).sum() == 0
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.score_documents(documents(spark, [(1, "a"), (2, None)]), labels).collect()
