@@ -1,6 +1,7 @@
 """Toxicity by compression distance: window lengths under an ordinary and a toxic zstandard dictionary.
 
-Training takes a bounded sample of labelled documents. In three quarters of it, words are compared by the
+Training takes a bounded sample of labelled documents of any length: by digest, until a class has its number of
+documents or of bytes. In three quarters of it, words are compared by the
 documents of either class that hold them (a likelihood-ratio test): words over-represented in toxic documents
 are the toxic text, the most widespread other words the ordinary text. Each becomes a raw-content dictionary,
 with the strongest words last, where offsets are cheapest; the toxic dictionary goes on from the ordinary
@@ -16,7 +17,8 @@ Scoring reads whole texts, in one pass without a shuffle; a window is compressed
 
 Defined cases: a null or wordless text scores as a document without toxic windows; without labels of both
 classes every document gets the share of toxic labels, 0 if there are none; repeated rows score alike;
-doc_id null is not held out; labels that differ for one doc_id count as toxic; further columns are kept by
+doc_id null is not held out; a text that alone has
+more bytes than the sample of its class is scored but can't train; labels that differ for one doc_id count as toxic; further columns are kept by
 :func:`drop_toxic`; an empty table gives no rows.
 """
 
@@ -28,15 +30,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm.shared import release, trimmed
 from docmill.llm.textvec import ALNUM, hash_words, slices, words
 
-#: Labelled documents of each class that training takes at most, and the longest text among them.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2500, 4000, 20_000
+#: Labelled documents of each class that training takes at most, and the bytes of text that it takes of either class.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 3000, 5000, 16 << 20
 #: Likelihood ratio above which a word is toxic text, and the ordinary words kept.
 TELLING, ORDINARY_WORDS = 20.0, 9000
 WINDOW_BYTES, LEVEL = 40, 12
@@ -199,7 +201,7 @@ def train(texts: pa.Array, toxic: np.ndarray, calibrates: np.ndarray) -> Model:
 
 
 def calibration_rows(toxic: np.ndarray) -> np.ndarray:
-    """Every fourth row of each class, by place: the digests that order the rows are the smallest of many labels, so their digits say nothing."""
+    """Every fourth row of each class, by place: the digests that rows are drawn by are the smallest of many labels, so their digits say nothing."""
     late = np.zeros(len(toxic), dtype=bool)
     for c in (0, 1):
         late[np.flatnonzero(toxic == c)[1::4]] = True
@@ -213,14 +215,19 @@ def train_on(documents: DataFrame, labels: DataFrame) -> Model:
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("digest", digest)
     )
-    # Texts too long for the sample are out before it is drawn, so that it is as large as it may be.
-    short = documents.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    # Labels meet their documents before the draw, so that it is as large as it may be.
+    there = documents.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    labelled = known.join(there, "doc_id").filter(F.col("size") <= SAMPLE_BYTES)
     drawn = [
-        known.filter(F.col("toxic") == c).orderBy("digest").limit(most)
+        labelled.filter(F.col("toxic") == c).orderBy("digest").limit(most)
         for c, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))
     ]
-    sample = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
-    rows = short.join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy("digest").select("text", "toxic").toArrow()
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0))
+    sample = drawn[0].unionByName(drawn[1]).withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES)
+    sample = F.broadcast(sample.drop("so_far"))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    # By length, so that the calibration rows are of all lengths.
+    rows = texts.join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.desc("size"), "digest").select("text", "toxic").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
     model = train(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), toxic, calibration_rows(toxic))
     del rows

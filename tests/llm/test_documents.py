@@ -191,6 +191,29 @@ def test_toxicity_learns_from_a_sample_far_below_the_labels(spark, monkeypatch):
     assert sum(p == t for p, t in held) / len(held) > 0.97
 
 
+def test_toxicity_learns_from_long_texts_and_labels_that_have_a_document(spark, monkeypatch):
+    """Toxic texts beyond 20,000 characters, and most of the labels for documents that the table lacks."""
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 60)
+    rng = random.Random(11)
+    rows = [(k, sentence(rng, 6000 if k % 2 else 60, 200) + " vile grotty scummer dolt" * (k % 2 * 30), k % 2) for k in range(240)]
+    assert min(len(t) for _, t, toxic in rows if toxic) > 20_000
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(6000)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.score_documents(documents(spark, [r[:2] for r in rows]), labels).collect()}
+    assert np.mean([out[k]["predicted"] == t for k, _, t in rows if out[k]["held_out"]]) > 0.97
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, late: seen.append((texts.to_pylist(), toxic.tolist())))
+    rows = [(k, "ä" * (600 if k == 3 else 50)) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in rows], "doc_id long, quality int, toxic int")
+    toxicity.train_on(documents(spark, rows), labels)
+    (texts, toxic), = seen
+    assert set(texts) == {"ä" * 50} and sorted(toxic) == [0] * 10 + [1] * 10
+
+
 def test_toxicity_calibrates_on_a_quarter_of_each_class():
     toxic = np.array([0] * 40 + [1] * 20 + [0] * 4)
     late = toxicity.calibration_rows(toxic)
