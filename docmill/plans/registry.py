@@ -10,6 +10,7 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Callable
+from html import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -803,8 +804,14 @@ _whole(layout_headings, most=None)
 # -- books and companions ------------------------------------------------------------------------------------
 
 
-def _books(spark, sf_dir) -> DataFrame:
-    """Archives of three chapters each, zipped from documents."""
+def _thirds(text: str) -> list[str]:
+    """A text in three parts of about the same length."""
+    a, b = len(text) // 3, 2 * len(text) // 3
+    return [text[:a], text[a:b], text[b:]]
+
+
+def _books(spark, sf_dir, whole=False) -> DataFrame:
+    """Archives of three chapters each, zipped from documents: their lengths, or their whole texts in three parts."""
     @F.pandas_udf("binary")
     def zipped(ids: pd.Series, texts: pd.Series) -> pd.Series:
         def one(i, t):
@@ -813,8 +820,9 @@ def _books(spark, sf_dir) -> DataFrame:
                 z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
                 items = "".join(f'<item id="c{k}" href="c{k}.xhtml" media-type="application/xhtml+xml"/>' for k in (1, 2, 3))
                 z.writestr("OEBPS/content.opf", f'<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Book {i}, 2nd Edition</dc:title><dc:creator>A. Writer</dc:creator><dc:date>2020-05-01</dc:date></metadata><manifest>{items}<item id="css" href="x.css" media-type="text/css"/></manifest><spine><itemref idref="c2"/><itemref idref="c1"/><itemref idref="c3"/></spine></package>')
+                parts = [f"<p>{escape(p)}</p>" for p in _thirds(t or "")] if whole else [f"<p>{'x' * k} {i} {len(t or '')}</p>" for k in (1, 2, 3)]
                 for k in (1, 2, 3):
-                    z.writestr(f"OEBPS/c{k}.xhtml", f"<html><body><h1>Chapter {k}</h1><p>{'x' * k} {i} {len(t or '')}</p></body></html>")
+                    z.writestr(f"OEBPS/c{k}.xhtml", f"<html><body><h1>Chapter {k}</h1>{parts[k - 1]}</body></html>")
             return out.getvalue()
 
         return pd.Series([one(i, t) for i, t in zip(ids, texts)])
@@ -837,6 +845,17 @@ def epub_spine(spark, sf_dir):
     return epub.chapters(parts, epub.packages(parts)).select("path", "pos", "title", "text")
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) // 3 AS a, 2 * length(coalesce(text, '')) // 3 AS b, unnest([0, 1, 2]) AS pos, unnest([2, 1, 3]) AS k FROM documents),
+c AS (SELECT doc_id, pos, k, trim(regexp_replace('Chapter ' || k || ' ' || CASE k WHEN 1 THEN substr(t, 1, a) WHEN 2 THEN substr(t, a + 1, b - a) ELSE substr(t, b + 1) END, '\s+', ' ', 'g')) AS text FROM d)
+SELECT 'book-' || doc_id || '.epub' AS path, pos, CASE WHEN length(text) > 24000 THEN left(text, 24000) || chr(10) || '[… cut …]' ELSE text END AS text FROM c
+""")
+def epub_text(spark, sf_dir):
+    """The whole texts of documents, as they are read back from archives."""
+    parts = epub.members(_books(spark, sf_dir, whole=True))
+    return epub.chapters(parts, epub.packages(parts)).select("path", "pos", "text")
+
+
 @query("""
 WITH c AS (SELECT source, doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) SELECT source, doc_id FROM c WHERE b < 50000
 """)
