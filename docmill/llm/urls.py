@@ -5,7 +5,7 @@ The longest rule that fits gives the verdict.
 
 For all other urls the method decides. Per host, paths form a tree of segments. Level by level a segment
 becomes a wildcard where the values under its parent vary: numbers always, other values where distinct
-ones are many for the rows seen. A template is the path with its wildcards. Labelled urls then count for
+ones are many for the distinct paths seen. A template is the path with its wildcards. Labelled urls then count for
 their template, for the same template over all hosts, and for the whole table; a branch whose labelled
 share doesn't differ from its parent's by ``MERGE_Z`` standard errors is merged with the parent and takes
 its share, and each share is smoothed by the parent's. A template whose share of good labels falls below
@@ -15,7 +15,8 @@ Labels are the verdicts of the rules unless other ones are passed in.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; urls with no label near them
 keep the share of the whole table, and 1 if there is no label at all; ties between equally long rules go
-to the longer host; repeated rows count as often as they occur; an empty table gives no rows; segments
+to the longer host; repeated rows count as often as they occur
+as labels, and once for templates; an empty table gives no rows; segments
 below the ``DEPTH`` th are one wildcard; further columns are ignored.
 """
 
@@ -65,8 +66,9 @@ def _segment(nth: int) -> Column:
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
-    """``urls`` (with host and path) and a template for each row."""
-    rows = urls.select("*", *[_segment(i + 1).alias(f"segment_{i}") for i in range(DEPTH)]).withColumn("template", F.lit(""))
+    """``urls`` (with host and path) and a template for each row; how often a path occurs makes no difference."""
+    rows = urls.select("host", "path").distinct()
+    rows = rows.select("*", *[_segment(i + 1).alias(f"segment_{i}") for i in range(DEPTH)]).withColumn("template", F.lit(""))
     for i in range(DEPTH):
         values = rows.filter(F.col(f"segment_{i}").isNotNull()).groupBy("host", "template", f"segment_{i}").agg(F.count(F.lit(1)).alias("n"))
         variable = (
@@ -81,9 +83,11 @@ def path_templates(urls: DataFrame) -> DataFrame:
             "template", F.when(F.col(f"segment_{i}").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), value))
         ).drop("v_host", "v_template", "varies")
     deep = F.size(F.split("path", "/")) > DEPTH + 1
-    return rows.withColumn("template", F.when(deep, F.concat("template", F.lit("/" + DEEP))).otherwise(F.col("template"))).drop(
-        *[f"segment_{i}" for i in range(DEPTH)]
-    )
+    found = rows.select(
+        F.col("host").alias("t_host"), F.col("path").alias("t_path"),
+        F.when(deep, F.concat("template", F.lit("/" + DEEP))).otherwise(F.col("template")).alias("template"),
+    )
+    return urls.join(found, (F.col("host") == F.col("t_host")) & (F.col("path") == F.col("t_path"))).drop("t_host", "t_path")
 
 
 def _share(good: Column, n: Column, parent: Column) -> Column:

@@ -167,3 +167,9 @@ def test_url_templates_generalise_and_reject(spark):
 def test_urls_empty_and_unlabelled(spark):
     assert judged(spark, []) == {}
     assert {r["verdict"] for r in judged(spark, ["http://a.org/1", "http://a.org/1", None]).values()} == {"allow"}
+
+
+def test_url_templates_dont_depend_on_repeats(spark):
+    given = [f"http://m.com/blog/post-{i}x" for i in range(20)]
+    once, often = judged(spark, given), judged(spark, given * 6)
+    assert {r["template"] for r in once.values()} == {r["template"] for r in often.values()} == {"/blog/*"}
