@@ -1,22 +1,24 @@
 """Toxicity by compression distance: window lengths under an ordinary and a toxic zstandard dictionary.
 
+A window is one word of the running text (A-Z lower-cased), as a code of ``CODE`` bytes made from its hash, so that
+each word weighs alike, however it is spelt, and no part of one word matches another. A document gives training each
+of its windows once. Both dictionaries are trained
+by zstandard's own trainer (COVER), each on text of its own: the ordinary one on ordinary documents, the toxic one on
+toxic documents. A window is toxic if its compressed length under the ordinary dictionary exceeds that under the
+toxic one by ``GAIN`` bytes.
+
 Training takes a bounded sample of labelled documents of any length: by digest, until a class has its number of
-documents or of bytes. In three quarters of it, words are compared by the
-documents of either class that hold them (a likelihood-ratio test): words over-represented in toxic documents
-are the toxic text, the most widespread other words the ordinary text. Each becomes a raw-content dictionary,
-with the strongest words last, where offsets are cheapest; the toxic dictionary goes on from the ordinary
-one, so that the two lengths differ by the toxic text alone.
-
-A window is one word, repeated as it stands in the toxic dictionary. Its gain is its compressed length under
-the ordinary dictionary less that under the toxic one; it is whole if the latter is no longer than the
-windows of the toxic text itself come to, that is, if one match covers it. A document's windows are counted by
-thresholds of the gain, whole ones and all, absolutely and against their number; a logistic regression on the
-other quarter of the sample turns the counts into a score.
+documents or of bytes. Three quarters of it train the dictionaries, in two steps. First, a pair of dictionaries is
+trained on either half of these documents and tells toxic windows in the other half. Then the toxic dictionary is
+trained on the toxic documents' toxic windows alone, and the ordinary one on the ordinary text with the windows
+that looked toxic in it once more. The last quarter calibrates: how often ordinary windows exceed the gain, and
+which excess of a document's toxic windows over that stands for which share of toxic documents.
 
 Scoring reads whole texts, in one pass without a shuffle; a window is compressed once for each slice.
 
 Defined cases: a null or wordless text scores as a document without toxic windows; without labels of both
-classes every document gets the share of toxic labels, 0 if there are none; repeated rows score alike;
+classes every document gets the share of toxic labels, 0 if there are none; repeated rows score alike, and train
+once: of texts that share a doc_id, the longest, of equals the last by code point;
 doc_id null is not held out; a text that alone has
 more bytes than the sample of its class is scored but can't train; labels that differ for one doc_id count as toxic; further columns are kept by
 :func:`drop_toxic`; an empty table gives no rows.
@@ -34,170 +36,181 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.shared import release, trimmed
-from docmill.llm.textvec import ALNUM, hash_words, slices, words
+from docmill.llm.shared import release, save, trimmed
+from docmill.llm.textvec import ALNUM, hash_words, mix64, slices, words
 
 #: Labelled documents of each class that training takes at most, and the bytes of text that it takes of either class.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 3000, 5000, 16 << 20
-#: Likelihood ratio above which a word is toxic text, and the ordinary words kept.
-TELLING, ORDINARY_WORDS = 20.0, 9000
-WINDOW_BYTES, LEVEL = 40, 12
-#: Gains at which whole windows, and windows of any kind, are counted.
-WHOLE_GAINS, GAINS = np.array([1, 3, 5, 7, 9, 11, 14]), np.array([2, 4, 6])
-#: The part of the toxic text's own windows that count as whole.
-WHOLE_SHARE = 0.98
-#: Windows by which a count is divided at least.
-LEAST_WINDOWS = 20
+#: Bytes of a window, the saved bytes that make it toxic, the compression level, and tables in which a dictionary's places hardly collide.
+CODE, GAIN, LEVEL, TABLE_BITS = 16, 7, 3, 21
+#: Bytes of either dictionary at most. The toxic one holds the more frequent words alone, most of which the ordinary one holds too.
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 20, 64 << 10
+#: COVER's pieces, their hashed parts and the bits of the hash, and windows that make room for a header.
+PIECE, PART, PART_BITS, FILLER = CODE, 8, 22, 64
+#: Rows of the overall share that smooth a step of the calibration.
+PRIOR = 1.0
 THRESHOLD = 0.7
-#: Gains remembered by a worker.
-REMEMBERED = 150_000
+#: Windows remembered by a worker.
+REMEMBERED = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _word_lists(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, int]]:
-    """For each slice: gain index of each word, the distinct words, where rows begin, and the rows."""
+def _word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slice: the hash of each word, and where rows begin."""
     for s in slices(texts):
         starts, ends, rows = words(s, ALNUM)
-        h = hash_words(s.data, starts, ends)
-        keys, at, nth = np.unique(h, return_index=True, return_inverse=True)
-        raw = s.data.tobytes()
-        yield nth, [(int(k), raw[starts[i] : ends[i]]) for k, i in zip(keys, at)], rows, s.last - s.first
+        yield hash_words(s.data, starts, ends), rows
+
+
+def codes(hashes: np.ndarray) -> bytes:
+    """The windows of words, one after the other."""
+    return np.stack([hashes, mix64(hashes + np.uint64(CODE))], axis=1).astype("<u8").tobytes()
 
 
-def window(word: bytes) -> bytes:
-    """A word, repeated to a length that compression has an effect on."""
-    return (b" " + word) * max(2, -(-WINDOW_BYTES // (len(word) + 1)))
+def train_dictionary(hashes: np.ndarray, most: int) -> bytes:
+    """Dictionary of the windows of words; of fewer than the trainer takes, the windows themselves.
+
+    Each window is a sample of its own, and they are shuffled, as the trainer takes one piece from each stretch in
+    turn and stops after some that add nothing, such as copies. What it takes first it puts last, where it then cuts
+    off as much as its header needs; ``FILLER`` windows, more frequent than any word, are there to be cut.
+    """
+    _, times = np.unique(hashes, return_counts=True)
+    filler = np.repeat(mix64(np.arange(1, FILLER + 1, dtype=np.uint64)), int(times.max(initial=0)) * 3 // 2 + 16)
+    every = np.random.default_rng(len(hashes)).permutation(np.concatenate([hashes, filler]))
+    windows = codes(every)
+    samples = [windows[i : i + CODE] for i in range(0, len(windows), CODE)]
+    try:
+        return zstandard.train_dictionary(most, samples, k=PIECE, d=PART, f=PART_BITS, accel=1).as_bytes()
+    except zstandard.ZstdError:
+        return codes(hashes)[-most:]
 
 
 class Gains:
-    """Window gains under two dictionaries."""
+    """Toxic windows, by two dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, whole: int | None = None):
+    def __init__(self, ordinary: bytes, toxic: bytes):
         settings = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+            LEVEL, hash_log=TABLE_BITS, chain_log=TABLE_BITS, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
-        self.known: dict[int, int] = {}
-        self.lengths = []
-        for content in (ordinary, ordinary + toxic):
+        self.known: dict[int, bool] = {}
+        self.compress = []
+        for content in (ordinary, toxic):  # as content alone: entropy tables of either text would blur the lengths
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=settings)
-            self.lengths.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress)
-        if whole is None:
-            own = sorted(len(self.lengths[1](window(w) + b" ")) for w in set(toxic.split()))
-            whole = own[int(WHOLE_SHARE * (len(own) - 1))] if own else 0
-        self.whole = whole
-
-    def of(self, key: int, word: bytes) -> int:
-        """Twice the gain, and one more if the window is whole."""
-        code = self.known.get(key)
-        if code is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            text = window(word) + b" "
-            own = len(self.lengths[1](text))
-            code = self.known[key] = 2 * (len(self.lengths[0](text)) - own) + (own <= self.whole)
-        return code
-
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """A row of counts for each text."""
+            self.compress.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress)
+
+    def toxic(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each word's window is toxic."""
+        distinct, nth = np.unique(hashes, return_inverse=True)
+        raw, known, out = codes(distinct), self.known, np.zeros(len(distinct), dtype=bool)
+        if len(known) > REMEMBERED:
+            known.clear()
+        ordinary, toxic = self.compress
+        for i, key in enumerate(distinct.tolist()):
+            found = known.get(key)
+            if found is None:
+                window = raw[i * CODE : (i + 1) * CODE]
+                found = known[key] = len(ordinary(window)) - len(toxic(window)) >= GAIN
+            out[i] = found
+        return out[nth]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Toxic windows and all windows of each text."""
         out = []
-        for nth, distinct, rows, _ in _word_lists(texts):
-            code = np.array([self.of(k, w) for k, w in distinct] or [0], dtype=np.int32)
-            code = code[nth] if len(nth) else np.zeros(0, np.int32)
-            gain, whole = code >> 1, code & 1 == 1
-            marks = np.concatenate([(gain[:, None] >= WHOLE_GAINS) & whole[:, None], gain[:, None] >= GAINS], axis=1)
-            hot = np.zeros((len(gain) + 1, marks.shape[1]), dtype=np.int64)
-            np.cumsum(marks, axis=0, out=hot[1:])
-            counts = (hot[rows[1:]] - hot[rows[:-1]]).astype(np.float64)
-            size = np.maximum(np.diff(rows), LEAST_WINDOWS).astype(np.float64)
-            out.append(np.concatenate([np.log1p(counts), counts / np.sqrt(size)[:, None], counts[:, : len(WHOLE_GAINS)] > 1], axis=1))
-        width = 2 * (len(WHOLE_GAINS) + len(GAINS)) + len(WHOLE_GAINS)
-        return np.concatenate(out) if out else np.zeros((0, width))
-
-
-def likelihood_ratios(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
-    """How far each a of n_a exceeds its b of n_b; 0 where it doesn't."""
-    expected = (a + b) * n_a / (n_a + n_b)
-    rest = np.where(b > 0, b * np.log(np.maximum(b, 1) / np.maximum(a + b - expected, 1e-12)), 0.0)
-    return np.where(a > expected, 2 * (a * np.log(np.maximum(a, 1) / np.maximum(expected, 1e-12)) + rest), 0.0)
+        for hashes, rows in _word_hashes(texts):
+            so_far = np.r_[0, np.cumsum(self.toxic(hashes))]
+            out.append(np.stack([so_far[rows[1:]] - so_far[rows[:-1]], np.diff(rows)], axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
 
 
 def build_dictionaries(texts: pa.Array, toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """Contents of the ordinary dictionary and of the toxic text that follows it.
-
-    Words are counted by their hashes; only those chosen are looked up again as text.
-    """
-    seen: tuple[list, list] = ([], [])
+    """Contents of the ordinary and of the toxic dictionary."""
+    place = np.zeros(len(toxic), dtype=np.int64)
+    for c in (0, 1):
+        place[toxic == c] = np.arange((toxic == c).sum())
+    found: dict[tuple[int, int], list[np.ndarray]] = {(c, h): [] for c in (0, 1) for h in (0, 1)}
     done = 0
-    for nth, distinct, rows, n in _word_lists(texts):
-        keys = np.array([k for k, _ in distinct], dtype=np.uint64)
-        for i in range(n):
-            seen[int(toxic[done + i])].append(keys[np.unique(nth[rows[i] : rows[i + 1]])])
-        done += n
-    counts = [np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True) for x in seen]
-    every = np.union1d(counts[0][0], counts[1][0])
-    ordinary, harmful = (np.zeros(len(every), dtype=np.int64) for _ in range(2))
-    ordinary[np.searchsorted(every, counts[0][0])], harmful[np.searchsorted(every, counts[1][0])] = counts[0][1], counts[1][1]
-    weight = likelihood_ratios(harmful, ordinary, int(toxic.sum()), int(len(toxic) - toxic.sum()))
-    telling = weight > TELLING
-    common = ~telling & (ordinary > 0)
-    if common.sum() > ORDINARY_WORDS:  # the most widespread; of equals those of the larger hash
-        keep = np.lexsort((every, np.where(common, ordinary, -1)))[-ORDINARY_WORDS:]
-        common = np.zeros(len(every), dtype=bool)
-        common[keep] = True
-    wanted = {int(every[i]): i for i in np.flatnonzero(telling | common)}
-    spelt = {wanted[k]: w for _, distinct, _, _ in _word_lists(texts) for k, w in distinct if k in wanted}
-    of = lambda chosen, by: sorted((by[i], spelt[i]) for i in np.flatnonzero(chosen))
-    return b"".join(b" " + w for _, w in of(common, ordinary)) + b" ", b"".join(window(w) for _, w in of(telling, weight)) + b" "
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Weights for x with a column of ones behind."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    scaled = np.c_[(x - mean) / spread, np.ones(len(x))]
-    w = np.zeros(scaled.shape[1])
-    keep = np.r_[np.full(x.shape[1], penalty), 0.0]
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(scaled @ w, -30, 30)))
-        hessian = (scaled * (p * (1 - p))[:, None]).T @ scaled + np.diag(keep) + 1e-9 * np.eye(len(w))
-        w = w - np.linalg.solve(hessian, scaled.T @ (p - y) + keep * w)
-    return np.r_[w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()]
+    for hashes, rows in _word_hashes(texts):
+        for i in range(len(rows) - 1):
+            found[int(toxic[done]), int(place[done]) % 2].append(np.unique(hashes[rows[i] : rows[i + 1]]))
+            done += 1
+    text = {key: np.concatenate([np.zeros(0, np.uint64), *parts]) for key, parts in found.items()}
+    del found
+    halves = [Gains(train_dictionary(text[0, h], ORDINARY_BYTES), train_dictionary(text[1, h], TOXIC_BYTES)) for h in (0, 1)]
+    told = {(c, h): text[c, h][halves[1 - h].toxic(text[c, h])] for c, h in text}
+    ordinary = np.concatenate([text[0, 0], text[0, 1], told[0, 0], told[0, 1]])
+    harmful = np.concatenate([told[1, 0], told[1, 1]])
+    if not len(harmful):  # nothing toxic that documents share
+        harmful = np.concatenate([text[1, 0], text[1, 1]])
+    del text, told, halves
+    return train_dictionary(ordinary, ORDINARY_BYTES), train_dictionary(harmful, TOXIC_BYTES)
+
+
+def excess(counts: np.ndarray, rate: float) -> np.ndarray:
+    """How far toxic windows exceed those that the rate of ordinary text lets expect."""
+    expected = rate * counts[:, 1]
+    return np.maximum(counts[:, 0] - expected, 0) / np.sqrt(expected + 1)
+
+
+def calibrate(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds of x and the share of toxic weight from each on, which never falls: pooled adjacent violators.
+
+    A step counts ``PRIOR`` rows more, of the overall share.
+    """
+    share = float((weight * toxic).sum() / weight.sum())
+    at, nth = np.unique(x, return_inverse=True)
+    steps: list[list[float]] = []
+    for lowest, every, bad in zip(at, np.bincount(nth, weight), np.bincount(nth, weight * toxic)):
+        steps.append([lowest, every, bad])
+        while len(steps) > 1 and steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]:
+            _, more, worse = steps.pop()
+            steps[-1] = [steps[-1][0], steps[-1][1] + more, steps[-1][2] + worse]
+    lowest, every, bad = np.array(steps).T
+    return lowest, np.maximum.accumulate((bad + PRIOR * share) / (every + PRIOR))
 
 
 class Model:
-    """Dictionaries and weights; ``prior`` alone where there was nothing to learn."""
+    """Dictionaries, the rate of toxic windows in ordinary text and thresholds with their scores; ``prior`` alone where there was nothing to learn."""
 
-    def __init__(self, prior: float, contents: tuple[bytes, bytes] | None = None, weights: np.ndarray | None = None):
-        self.prior, self.contents, self.weights = prior, contents, weights
+    def __init__(self, prior: float, contents: tuple[bytes, bytes] | None = None, rate: float = 0.0, steps: tuple[np.ndarray, np.ndarray] | None = None):
+        self.prior, self.contents, self.rate, self.steps = prior, contents, rate, steps
         self.gains: Gains | None = None
 
     def __getstate__(self):
-        return (self.prior, self.contents, self.weights)
+        return (self.prior, self.contents, self.rate, self.steps)
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        if self.contents is None or self.weights is None:
+        if self.contents is None or self.steps is None:
             return np.full(len(texts), self.prior)
         if self.gains is None:
             self.gains = Gains(*self.contents)
-        x = self.gains.features(texts)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        thresholds, shares = self.steps
+        x = excess(self.gains.counts(texts), self.rate)
+        return shares[np.maximum(np.searchsorted(thresholds, x, "right") - 1, 0)]
 
 
-def train(texts: pa.Array, toxic: np.ndarray, calibrates: np.ndarray) -> Model:
-    """From a sample; rows that ``calibrates`` marks set the weights, all others the dictionaries."""
-    prior = float(toxic.mean()) if len(toxic) else 0.0
+def train(texts: pa.Array, toxic: np.ndarray, calibrates: np.ndarray, odds: float | None = None) -> Model:
+    """From a sample; rows that ``calibrates`` marks set the scores, all others the dictionaries.
+
+    ``odds``: toxic labels for each ordinary one among all labels, where the sample's are others.
+    """
+    prior = float(toxic.mean()) if odds is None and len(toxic) else odds / (1 + odds) if odds else 0.0
     parts = [toxic[~calibrates], toxic[calibrates]]
     if any(len(y) == 0 or y.min() == y.max() for y in parts):
         return Model(prior)
     contents = build_dictionaries(texts.filter(pa.array(~calibrates)), parts[0])
-    x = Gains(*contents).features(texts.filter(pa.array(calibrates)))
-    return Model(prior, contents, fit_logistic(x, parts[1]))
+    counts = Gains(*contents).counts(texts.filter(pa.array(calibrates)))
+    ordinary = counts[parts[1] == 0]
+    rate = (ordinary[:, 0].sum() + 1) / (ordinary[:, 1].sum() + 1)
+    sampled = parts[1].mean() / (1 - parts[1].mean())
+    weight = np.where(parts[1] == 1, (odds or sampled) / sampled, 1.0)
+    return Model(prior, contents, float(rate), calibrate(excess(counts, rate), parts[1], weight))
 
 
 def calibration_rows(toxic: np.ndarray) -> np.ndarray:
@@ -217,7 +230,8 @@ def train_on(documents: DataFrame, labels: DataFrame) -> Model:
     )
     # Labels meet their documents before the draw, so that it is as large as it may be.
     there = documents.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
-    labelled = known.join(there, "doc_id").filter(F.col("size") <= SAMPLE_BYTES)
+    labelled = save(known.join(there, "doc_id").filter(F.col("size") <= SAMPLE_BYTES), "labelled")
+    many = {r["toxic"]: r["count"] for r in labelled.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     drawn = [
         labelled.filter(F.col("toxic") == c).orderBy("digest").limit(most)
         for c, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))
@@ -225,11 +239,13 @@ def train_on(documents: DataFrame, labels: DataFrame) -> Model:
     so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0))
     sample = drawn[0].unionByName(drawn[1]).withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES)
     sample = F.broadcast(sample.drop("so_far"))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
-    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(sample, "doc_id")
+    one = texts.filter(F.octet_length("text") == F.col("size")).groupBy("doc_id", "toxic", "size", "digest").agg(F.max("text").alias("text"))
     # By length, so that the calibration rows are of all lengths.
-    rows = texts.join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.desc("size"), "digest").select("text", "toxic").toArrow()
+    rows = one.orderBy(F.desc("size"), "digest").select("text", "toxic").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
-    model = train(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), toxic, calibration_rows(toxic))
+    odds = many[True] / many[False] if len(many) == 2 else None
+    model = train(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), toxic, calibration_rows(toxic), odds)
     del rows
     release()
     return model

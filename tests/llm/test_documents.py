@@ -8,10 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from docmill.llm import decontamination, katz, neardup, topk, toxicity, warc
 from docmill.llm.shared import new_path
+from docmill.llm.textvec import hash_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, rep int"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -206,7 +209,7 @@ def test_toxicity_learns_from_long_texts_and_labels_that_have_a_document(spark,
 def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
     seen = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, late: seen.append((texts.to_pylist(), toxic.tolist())))
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, late, odds: seen.append((texts.to_pylist(), toxic.tolist())))
     rows = [(k, "ä" * (600 if k == 3 else 50)) for k in range(60)]
     labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in rows], "doc_id long, quality int, toxic int")
     toxicity.train_on(documents(spark, rows), labels)
@@ -221,6 +224,43 @@ def test_toxicity_calibrates_on_a_quarter_of_each_class():
     assert toxicity.calibration_rows(np.array([], dtype=int)).sum() == 0
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Counts word by word under freshly opened dictionaries, and thresholds one by one."""
+    rng = random.Random(23)
+    texts = [sentence(rng, rng.randrange(0, 90), 250) + (" Vile, GROTTY!" if k % 3 == 0 else "") for k in range(300)]
+    toxic = np.array([int(k % 3 == 0) for k in range(300)])
+    model = toxicity.train(pa.array(texts), toxic, toxicity.calibration_rows(toxic), 0.25)
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        toxicity.LEVEL, hash_log=toxicity.TABLE_BITS, chain_log=toxicity.TABLE_BITS,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    squeeze = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=settings) for c in model.contents]
+
+    def score(text):
+        n = bad = 0
+        for word in spelt(text):
+            raw = np.frombuffer(word.encode() + b"\0" * 8, np.uint8)
+            window = toxicity.codes(hash_words(raw, np.array([0]), np.array([len(raw) - 8])))
+            n += 1
+            bad += len(squeeze[0].compress(window)) - len(squeeze[1].compress(window)) >= toxicity.GAIN
+        x = max(bad - model.rate * n, 0) / math.sqrt(model.rate * n + 1)
+        return max((share for least, share in zip(*model.steps) if x >= least), default=model.steps[1][0])
+
+    cases = [*texts[:60], None, "", "...", "vile " * 500, "GROTTY"]
+    assert np.allclose(model.score(pa.array(cases, pa.string())), [score(t) for t in cases])
+    assert list(model.steps[1]) == sorted(model.steps[1])
+
+
+def test_toxicity_of_repeated_ids_does_not_depend_on_order(spark):
+    rng = random.Random(29)
+    rows = [(k, sentence(rng, 50, 100) + (" vile grotty" if k % 2 else "")) for k in range(200)]
+    rows += [(k, sentence(rng, 20 + k % 50, 100)) for k in range(0, 200, 3)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    models = [toxicity.train_on(documents(spark, some), labels) for some in (rows, rows[::-1])]
+    assert models[0].contents == models[1].contents and models[0].rate == models[1].rate
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].steps, models[1].steps))
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.score_documents(documents(spark, [(1, "a"), (2, None)]), labels).collect()
