@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
 from docmill.operators import evidence
-from docmill.operators.chunks import bins
+from docmill.operators.chunks import bin_starts, slices
 from docmill.operators.lineage import cut
 
 Distiller = Callable[[list[str], str], str]
@@ -159,11 +159,8 @@ def split_block(text: Column, most: int = MOST_WORDS) -> Column:
     words = lambda x: F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")).cast("long")
     lines = F.size(F.split(text, "\n", -1)) > 1
     parts = F.when(lines, F.split(text, "\n", -1)).otherwise(F.split(text, r"(?<=[.!?])\s+", -1))
-    pair = F.arrays_zip(parts.alias("part"), bins(F.transform(parts, words), most).alias("bin"))
-    numbers = F.sequence(F.lit(0), F.array_max(F.transform(pair, lambda p: p["bin"])))
-    glue = F.when(lines, "\n").otherwise(" ")
-    pieces = F.transform(numbers, lambda n: F.array_join(F.transform(F.filter(pair, lambda p: p["bin"] == n), lambda p: p["part"]), "\x00"))
-    pieces = F.transform(pieces, lambda p: F.replace(p, F.lit("\x00"), glue))
+    bins = slices(parts, bin_starts(F.transform(parts, words), most))
+    pieces = F.transform(bins, lambda some: F.when(lines, F.array_join(some, "\n")).otherwise(F.array_join(some, " ")))
 
     def cut(p: Column) -> Column:
         w = F.filter(F.split(p, r"(?U)\s+"), lambda x: x != "")

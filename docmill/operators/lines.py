@@ -13,38 +13,44 @@ PLACEHOLDER_CHARS = 60
 NAVIGATION = ("toc", "pages", "guide", "landmarks", "figures", "index")
 
 
-def states(lines: Column) -> Column:
-    """For each line what it stands in: "" (nothing), ``fence``, ``table`` or ``figure``.
+#: What a line stands in, with the lines that open and close it: a fence, a table or a figure, up to the end if none closes it.
+_BLANK = r"[\s&&[^\n]]*+"
+REGION = (
+    rf"(?Uids)(?m:^){_BLANK}(?:(?:```|~~~).*?(?:\n{_BLANK}(?:```|~~~)[^\n]*|\z)"
+    r"|<table.*?(?:</table>[^\n]*|\z)|<figure.*?(?:</figure>[^\n]*|\z))"
+)
 
-    The three exclude each other, and the lines that open and close one belong to it. The fold carries one state and
-    emits one per line.
+
+def _line_breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def states(body: Column) -> Column:
+    """For each line of a text what it stands in: "" (nothing), ``fence``, ``table`` or ``figure``.
+
+    The three exclude each other, as a lexer finds them from left to right. The text is cut at them once, and each
+    part gives its state as often as it has lines.
     """
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, line):
-        text = F.lower(strip(line))
-        opens = (
-            F.when(text.rlike(r"\A(?:```|~~~)"), "fence")
-            .when(text.startswith("<table"), "table")
-            .when(text.startswith("<figure"), "figure")
-            .otherwise("")
-        )
-        within = F.when(acc["open"] != "", acc["open"]).otherwise(opens)
-        closes = (
-            F.when(within == "fence", (acc["open"] == "fence") & text.rlike(r"\A(?:```|~~~)"))
-            .when(within == "table", F.contains(text, F.lit("</table>")))
-            .when(within == "figure", F.contains(text, F.lit("</figure>")))
-            .otherwise(True)
-        )
-        return F.struct(F.when(closes, "").otherwise(within).alias("open"), F.concat(acc["out"], F.array(within)).alias("out"))
-
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+    between = F.split(body, REGION, -1).alias("between")
+    parts = F.arrays_zip(between, F.regexp_extract_all(body, F.lit(REGION), F.lit(0)).alias("region"))
+
+    def kind(region):
+        head = F.lower(F.left(strip(region), F.lit(7)))
+        return F.when(head.startswith("<table"), "table").when(head.startswith("<figure"), "figure").otherwise("fence")
+
+    def part(x, nth):
+        text, region = x["between"], x["region"]
+        free = _line_breaks(text) + 1 - (nth > 0).cast("int") - region.isNotNull().cast("int")
+        own = F.when(region.isNotNull(), F.array_repeat(kind(region), _line_breaks(region) + 1))
+        return F.concat(F.array_repeat(F.lit(""), free), F.coalesce(own, F.array().cast("array<string>")))
+
+    return F.flatten(F.transform(parts, part))
 
 
 def to_lines(documents: DataFrame, body: str = "body", key: str = "doc_id") -> DataFrame:
     """doc_id, line_no (from 0), line, state."""
     lines = F.split(F.col(body), "\n", -1)
-    rows = documents.select(key, lines.alias("lines")).withColumn("states", states(F.col("lines")))
+    rows = documents.select(key, lines.alias("lines"), states(F.col(body)).alias("states"))
     return rows.select(key, F.posexplode(F.arrays_zip("lines", "states")).alias("line_no", "x")).select(
         key, "line_no", F.col("x.lines").alias("line"), F.col("x.states").alias("state")
     )

@@ -1,7 +1,10 @@
 """DataFrame operators on hand-computed cases and small models."""
 
 import json
+import math
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,12 +46,39 @@ def test_breadcrumbs_equal_a_stack(spark):
             assert got[i, n] == [s for _, s in stack]
 
 
-def test_states_equal_the_planner_mask(spark):
+def line_states(text):
+    """One line after the other, with what is open."""
+    out, inside = [], ""
+    for line in text.split("\n"):
+        x = line.strip().lower()
+        fence, now = x.startswith(("```", "~~~")), inside
+        if not now:
+            now = "fence" if fence else "table" if x.startswith("<table") else "figure" if x.startswith("<figure") else ""
+        out.append(now)
+        if now == "fence":
+            inside = "" if inside and fence else "fence"
+        else:
+            inside = "" if not now or f"</{now}>" in x else now
+    return out
+
+
+def test_states_equal_a_loop(spark):
     rng = random.Random(3)
-    texts = ["\n".join(rng.choice(["x", "```", "<table>", "</table>", "<figure>", "</figure>", "~~~", "<table></table>"]) for _ in range(20)) for _ in range(80)]
-    got = {r["doc_id"]: r["s"] for r in bodies(spark, *texts).select("doc_id", lines.states(F.split("body", "\n")).alias("s")).collect()}
+    some = ["x", "", "```", "  ```py", "<table>", "</table>", " <Figure a>", "</figure>", "~~~", "<table></table>", "a <table>", "\u00a0<table>", "b</TABLE> c", "\r"]
+    texts = ["\n".join(rng.choice(some) for _ in range(rng.randrange(1, 20))) for _ in range(300)] + ["", "\n", "```", "\n```\n"]
+    got = {r["doc_id"]: r["s"] for r in bodies(spark, *texts).select("doc_id", lines.states(F.col("body")).alias("s")).collect()}
     for i, t in enumerate(texts):
-        assert [s != "" for s in got[i]] == chunks.masked(t.split("\n"))
+        assert got[i] == line_states(t), t
+
+
+def test_a_long_document_stays_linear(spark):
+    text = "\n".join(["# A", "x" * 30, "", "```", "# no", "```", "<table>", "</table>"] * 12_500)
+    began = time.monotonic()
+    assert lines.breadcrumbs(lines.to_lines(bodies(spark, text))).count() == 100_000
+    assert chunks.pack(bodies(spark, text), 100).count() > 1000
+    assert chunks.plan_chunks(bodies(spark, text), target=100).count() == chunks.CAP
+    assert chunks.overlapping(bodies(spark, text), 100).count() > 1000
+    assert time.monotonic() - began < 60
 
 
 def test_regions_and_excision(spark):
@@ -65,12 +95,23 @@ def test_regions_and_excision(spark):
 # -- chunks
 
 
+def packed(text, target):
+    held, size = [], 0
+    for p in [p for p in re.split("\n\n+", text) if p.strip()]:
+        if held and size + len(p) // 4 > target:
+            yield "\n\n".join(held), size
+            held, size = [], 0
+        held, size = [*held, p], size + len(p) // 4
+    if held:
+        yield "\n\n".join(held), size
+
+
 def test_packing_equals_a_loop(spark):
     rng = random.Random(4)
-    texts = ["\n\n".join("p" * rng.randrange(1, 900) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    texts = ["\n\n".join("p" * rng.randrange(1, 900) for _ in range(rng.randrange(1, 30))) for _ in range(40)] + ["", "\n\n \n\n", None]
     got = chunks.pack(bodies(spark, *texts), 150).collect()
     for i, t in enumerate(texts):
-        assert [(r["text"], r["tokens"]) for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["idx"])] == list(chunks._packed(t, 150))
+        assert [(r["text"], r["tokens"]) for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["idx"])] == list(packed(t or "", 150))
 
 
 def test_overlapping_windows(spark):
@@ -83,21 +124,113 @@ def test_overlapping_windows(spark):
     assert [r["heading_path"] for r in got if r["doc_id"] == 2] == [["Section 1"]] and not [r for r in got if r["doc_id"] == 1]
 
 
+def nested(text):
+    """The outline as nested dicts, line by line."""
+    root = {"level": 0, "title": "", "own": [], "sub": []}
+    open_, count = [root], 0
+    for line, state in zip(text.split("\n"), line_states(text)):
+        m = None if state else re.fullmatch(r"(#{1,4})\s+(.+)", line)
+        if m is None:
+            open_[-1]["own"].append(line)
+            continue
+        count += 1
+        open_ = [n for n in open_ if n["level"] < len(m[1])]
+        node = {"level": min(len(m[1]), open_[-1]["level"] + 1), "title": m[2].strip(), "own": [], "sub": []}
+        open_[-1]["sub"].append(node)
+        open_.append(node)
+    return root, count
+
+
+def modelled(text, target, most, least, cap):
+    """The plan from its rules, on nested dicts and strings, all of it made again after every change."""
+    root, count = nested(text)
+
+    def prune(n):
+        n["sub"] = [prune(s) for s in n["sub"] if s["title"].strip("*_`:#").strip().lower() not in lines.NAVIGATION]
+        return n
+
+    def render(n):
+        return "\n\n".join(x for x in ["\n".join(n["own"]).strip(), *(y for s in n["sub"] for y in ("#" * s["level"] + " " + s["title"], render(s)))] if x)
+
+    def spread(n, path, lead):
+        whole = "\n\n".join(x for x in (lead, render(n)) if x)
+        if len(whole) // 4 > target and n["sub"]:
+            lead = "\n\n".join(x for x in (lead, "\n".join(n["own"]).strip()) if x)
+            return [c for k, s in enumerate(n["sub"]) for c in spread(s, [*path, s["title"]], lead if k == 0 else "")]
+        name = path or ["Document"]
+        if not whole:
+            return []
+        if len(whole) // 4 <= most:
+            return [(name, whole, len(whole) // 4)]
+        return [([*name[:-1], f"{name[-1]} (part {k + 1})"], t, size) for k, (t, size) in enumerate(packed(whole, target))]
+
+    def flat():
+        paras, now, page, ruled = [], [], 1, False
+        for line, state in [*zip(text.split("\n"), line_states(text)), ("", "")]:
+            if state == "" and line.strip() in ("", "---"):
+                if "\n".join(now).strip():
+                    paras.append(("\n".join(now).strip(), page))
+                now, ruled, page = [], ruled or line.strip() == "---", page + (line.strip() == "---")
+            else:
+                now.append(line)
+        out, held = [], []
+        for p in paras:
+            if held and sum(len(t) // 4 for t, _ in held) + len(p[0]) // 4 > target:
+                out.append(held)
+                held = held[-1:]
+            held = [*held, p]
+        out += [held] if held else []
+        texts = ["\n\n".join(t for t, _ in h) for h in out]
+        return [([f"Pages ~{h[0][1]}–{h[-1][1]}" if ruled else f"Section {k + 1}"], t, len(t) // 4) for k, (h, t) in enumerate(zip(out, texts))]
+
+    join = lambda a, b: ([*a[0][:-1], f"{a[0][-1]} + {b[0][-1]}"], a[1] + "\n\n" + b[1], a[2] + b[2])
+    prune(root)
+    for tries in range(6):
+        got = []
+        for c in spread(root, [], "") if count >= 3 else flat():
+            got[-1:] = [join(got[-1], c)] if got and count >= 3 and got[-1][2] + c[2] < least else [*got[-1:], c]
+        if len(got) <= cap or tries == 5:
+            break
+        target = max(target + 1, math.ceil(max(1, sum(c[2] for c in got)) / cap))
+        most = max(most, target * 4 // 3)
+    while len(got) > cap:
+        sums = [a[2] + b[2] for a, b in zip(got, got[1:])]
+        k = sums.index(min(sums))
+        got[k : k + 2] = [join(got[k], got[k + 1])]
+    return got
+
+
+def test_plans_equal_a_model(spark):
+    rng = random.Random(8)
+    some = ["# A", "## B", "### C", "#### D", "# *Toc*", "##  Index:", "#none", "##### five", "x" * 90, "word " * 30, "", "", "---", "```", "# in", "<table>", "</table>", "| a |"]
+    texts = ["\n".join(rng.choice(some) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    for limits in (dict(target=60, most=90, least=25, cap=5), dict(target=20, most=25, least=1, cap=40), dict(target=5, most=8, least=0, cap=3), dict(target=400, most=500, least=100, cap=40)):
+        for t in texts:
+            assert [tuple(c) for c in chunks.plan(t, **limits)] == modelled(t, **limits), (limits, t)
+    limits = dict(target=60, most=90, least=25, cap=5)
+    got = chunks.plan_chunks(bodies(spark, *texts[:60]), **limits).collect()
+    for i, t in enumerate(texts[:60]):
+        assert [(r["heading_path"], r["text"], r["tokens"]) for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["idx"])] == modelled(t, **limits)
+
+
 def test_heading_plan():
     text = "lead\n# A\n" + "a" * 400 + "\n## A1\n" + "b" * 400 + "\n#### Deep\n" + "c" * 400 + "\n## Toc\nnav\n# B\nshort\n# C\ntiny"
-    plan = chunks.plan(text, target=150, most=300, least=20, cap=40)
-    assert [c[0] for c in plan] == [["A"], ["A", "A1"], ["B + C"]] or plan[-1][0] == ["B + C"]
-    joined = "\n".join(c[1] for c in plan)
+    plan = chunks.plan(text, target=150, most=400, least=20, cap=40)
+    assert [c.path for c in plan] == [["A", "A1", "Deep"], ["B + C"]]
+    joined = "\n".join(c.text for c in plan)
     assert "nav" not in joined and "a" * 400 in joined and "c" * 400 in joined and "lead" in joined
-    assert chunks.plan("# A\n# B\nx") is None
-    assert len(chunks.plan("\n".join(f"# H{i}\n" + "x" * 100 for i in range(60)), target=20, most=40, least=1, cap=10)) <= 10
+    assert chunks.plan("# A\n# B\nx") == [(["Section 1"], "# A\n# B\nx", 2)]
     long = chunks.plan("# A\n" + "\n\n".join("y" * 400 for _ in range(6)) + "\n# B\nz\n# C\nz", target=200, most=250, least=1, cap=40)
-    assert [c[0] for c in long[:3]] == [["A (part 1)"], ["A (part 2)"], ["A (part 3)"]]
+    assert [c.path for c in long[:3]] == [["A (part 1)"], ["A (part 2)"], ["A (part 3)"]]
 
 
 def test_plan_takes_all_documents(spark):
-    got = chunks.plan_chunks(bodies(spark, "# A\nx\n# B\ny\n# C\nz", "flat text", "```\n# a\n# b\n# c\n```", None), least=0)
-    assert {r["doc_id"]: r["heading_path"] for r in got.filter("idx = 0").collect()} == {0: ["A"], 1: ["Section 1"], 2: ["Section 1"]} or got.count() >= 3
+    rows = [(0, "# A\nx\n# B\ny\n# C\nz"), (1, "flat text"), (2, "```\n# a\n# b\n# c\n```"), (3, None), (None, "one"), (None, "two"), (1, "flat text"), (4, "# Toc\n# Index\n# Guide")]
+    got = chunks.plan_chunks(spark.createDataFrame(rows, "doc_id long, body string"), least=0, target=1).collect()
+    assert sorted((str(r["doc_id"]), r["heading_path"], r["idx"]) for r in got) == [
+        ("0", ["A"], 0), ("0", ["B"], 1), ("0", ["C"], 2), ("1", ["Section 1"], 0), ("1", ["Section 1"], 0), ("2", ["Section 1"], 0), ("None", ["Section 1"], 0), ("None", ["Section 1"], 0),
+    ]
+    assert chunks.plan_chunks(bodies(spark).limit(0)).count() == 0
 
 
 # -- ledgers
