@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -289,6 +290,18 @@ def plan_chunks(documents: DataFrame, body: str = "body", key: str = "doc_id", *
     return _each(documents, body, key, lambda text: plan(text, **limits))
 
 
+def plan_totals(body: Column, **limits) -> Column:
+    """How many chunks the plan of a body has and their tokens, as a struct; null without a chunk."""
+
+    @F.pandas_udf("chunks long, tokens long")
+    def totals(texts: pd.Series) -> pd.DataFrame:
+        plans = [plan(t or "", **limits) for t in texts]
+        return pd.DataFrame({"chunks": [len(p) for p in plans], "tokens": [sum(c.tokens for c in p) for p in plans]})
+
+    found = totals(body)
+    return F.when(found["chunks"] > 0, found)
+
+
 def pack(documents: DataFrame, target: int = TARGET, body: str = "body", key: str = "doc_id") -> DataFrame:
     """doc_id, idx, text, tokens: paragraphs packed up to the target; tokens are the paragraphs' sum."""
     return _each(documents, body, key, lambda text: [Chunk([], *p) for p in packed(text, target)]).drop("heading_path")

@@ -45,11 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to scored, chunk-planned articles."""
-    found = cut(html.articles(table(spark, sf_dir, "pages"), TODAY, VERSION))
-    planned = chunks.plan_chunks(found.select(F.col("page_id").alias("doc_id"), "body"))
-    sizes = planned.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
+    found = html.articles(table(spark, sf_dir, "pages"), TODAY, VERSION).withColumn("plan", chunks.plan_totals(F.col("body")))
     score = md.optimization_score(md.artifact_counts(F.col("body")))
-    return found.join(sizes, "page_id", "left").select("page_id", "title", "author", "file_name", "minutes", "valid", F.round(score, 2).alias("score"), "chunks", "tokens")
+    return found.select("page_id", "title", "author", "file_name", "minutes", "valid", F.round(score, 2).alias("score"), "plan.chunks", "plan.tokens")
 
 
 @query()
@@ -731,7 +729,7 @@ def html_markdown(spark, sf_dir):
 @query(r"""SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title, replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), 'www.', '') AS source_name FROM pages""")
 def metadata_merge(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return html.metadata(html.parse_pages(pages).join(pages.select("page_id", "url"), "page_id")).select("page_id", "title", "source_name")
+    return html.metadata(html.parse_pages(pages)).select("page_id", "title", "source_name")
 
 
 @query()

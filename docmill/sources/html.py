@@ -32,7 +32,7 @@ DEEPEST = 150
 LEAST_CHOSEN, LEAST_PARAGRAPHS, LEAST_PARAGRAPH = 500, 3, 50
 
 PARSED = (
-    "page_id long, meta array<struct<name:string,value:string>>, ld array<string>, title_tag string, h1 string, authors array<string>, times array<string>, "
+    "page_id long, url string, meta array<struct<name:string,value:string>>, ld array<string>, title_tag string, h1 string, authors array<string>, times array<string>, "
     "tags array<string>, images array<struct<url:string,alt:string,title:string,width:int,height:int>>, markdown string, text string"
 )
 
@@ -269,14 +269,14 @@ def parse(page_id: int | None, url: str | None, html: str | None) -> tuple:
             tags.append(n.plain())
     text = root.plain()
     body = to_markdown(main_content(root), base)
-    return page_id, meta, ld, title_tag, h1, authors, times, tags, images, body, text
+    return page_id, url, meta, ld, title_tag, h1, authors, times, tags, images, body, text
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """A row of ``PARSED`` for each of pages (page_id, url, html)."""
     schema = pa.schema(
         [
-            ("page_id", pa.int64()), ("meta", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("ld", pa.list_(pa.string())), ("title_tag", pa.string()),
+            ("page_id", pa.int64()), ("url", pa.string()), ("meta", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("ld", pa.list_(pa.string())), ("title_tag", pa.string()),
             ("h1", pa.string()), ("authors", pa.list_(pa.string())), ("times", pa.list_(pa.string())), ("tags", pa.list_(pa.string())),
             ("images", pa.list_(pa.struct([("url", pa.string()), ("alt", pa.string()), ("title", pa.string()), ("width", pa.int32()), ("height", pa.int32())]))),
             ("markdown", pa.string()), ("text", pa.string()),
@@ -322,18 +322,22 @@ def _ld(*paths: str) -> Column:
 
 
 def metadata(parsed: DataFrame) -> DataFrame:
-    """page_id and merged metadata: JSON-LD before OpenGraph, Twitter and standard tags, before the page's structure.
+    """page_id, url and merged metadata, a row for each of ``parsed``."""
+    return _with_item(parsed).select("page_id", "url", *metadata_columns())
 
-    ``parsed`` with url.
-    """
-    rows = parsed.withColumn("ld_item", ld_item())
+
+def _with_item(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumn("ld_item", ld_item())
+
+
+def metadata_columns() -> list[Column]:
+    """Over a parse with its ld_item: JSON-LD before OpenGraph, Twitter and standard tags, before the page's structure."""
     host_label = F.replace(urls.host(F.col("url")), F.lit("www."))
     author = F.get(F.filter("authors", tx.name_like), F.lit(0))
     title = F.coalesce(F.when(F.length("h1").between(6, 299), F.col("h1")), tx.longest_title_part(F.col("title_tag")))
     minutes = tx.missing_to_null(F.regexp_extract("text", r"(?i)\b(\d{1,2})\s*(?:-\s*)?min(?:ute)?s?\s+read", 1)).try_cast("int")
     clean = lambda c: tx.unescape(tx.strip(c))
-    return rows.select(
-        "page_id", "url",
+    return [
         clean(F.coalesce(_ld("$.headline", "$.name"), meta_value("og:title", "twitter:title"), title)).alias("title"),
         clean(F.coalesce(_ld("$.author.name", "$.author[0].name", "$.author"), meta_value("article:author", "author", "twitter:creator"), author)).alias("author"),
         tx.iso_date(F.coalesce(_ld("$.datePublished"), meta_value("article:published_time", "date", "publish-date"), F.get("times", F.lit(0)))).alias("publication_date"),
@@ -344,7 +348,7 @@ def metadata(parsed: DataFrame) -> DataFrame:
         F.coalesce(_ld("$.image.url", "$.image[0].url", "$.image[0]", "$.image"), meta_value("og:image", "twitter:image")).alias("main_image"),
         F.when(minutes.between(1, 60), minutes).alias("page_minutes"),
         tag_list().alias("tags"),
-    )
+    ]
 
 
 def tag_list() -> Column:
@@ -369,10 +373,13 @@ def content_images() -> Column:
 
 
 def articles(pages: DataFrame, retrieved: str, version: str) -> DataFrame:
-    """page_id, title, author, markdown (with frontmatter and outline), reading minutes, images: pages as documents."""
-    parsed = parse_pages(pages).join(pages.select("page_id", "url"), "page_id")
-    body = parsed.select("page_id", md.clean_for_retrieval(F.col("markdown")).alias("body"), content_images().alias("images"))
-    rows = metadata(parsed).join(body, "page_id")
+    """page_id, title, author, markdown (with frontmatter and outline), reading minutes, images: pages as documents.
+
+    A row for each page, in one pass: rows that repeat a page_id or have none are articles of their own; a null page is
+    an empty article; further columns are ignored.
+    """
+    body = md.clean_for_retrieval(F.col("markdown")).alias("body")
+    rows = _with_item(parse_pages(pages)).select("page_id", "url", *metadata_columns(), body, content_images().alias("images"))
     rows = rows.withColumn("minutes", tx.reading_minutes(F.col("body"), F.col("page_minutes"))).withColumn("outline", md.outline(F.col("body")))
     front = md.article_frontmatter(
         F.col("title"), F.col("author"), F.col("source_name"), F.col("url"), F.col("publication_date"), F.lit(retrieved), F.col("minutes"), F.col("tags"),

@@ -20,7 +20,7 @@ PAGE = """<html><head><title>Site | A good long title</title><meta property="og:
 
 
 def test_markdown_of_a_page():
-    row = dict(zip(("page_id", "meta", "ld", "title_tag", "h1", "authors", "times", "tags", "images", "markdown", "text"), html.parse(1, "http://s.org/d/", PAGE)))
+    row = dict(zip(("page_id", "url", "meta", "ld", "title_tag", "h1", "authors", "times", "tags", "images", "markdown", "text"), html.parse(1, "http://s.org/d/", PAGE)))
     m = row["markdown"]
     assert "# Head" in m and "Some **bold [link](http://s.org/x)** text" in m and "- one\n  - in\n- two" in m and "```py\na\n  b\n```" in m and "> q" in m
     assert "| h | i |\n| --- | --- |\n| 1\\|2 |  |" in m and "**unclosed**" in m and "nav" not in m and "foot" not in m and "\nad" not in m
@@ -29,12 +29,12 @@ def test_markdown_of_a_page():
 
 @pytest.mark.parametrize("text", [None, "", "<", "<p>a<p>b</i></div>c", "<table><tr><td>x", "&amp; plain", "<a " * 500, "<b>" * 3000])
 def test_any_page_parses(text):
-    assert isinstance(html.parse(1, None, text)[9], str)
+    assert isinstance(html.parse(1, None, text)[10], str)
 
 
 def test_metadata_priority(spark):
     pages = spark.createDataFrame([(1, "http://www.s.org/d/", PAGE), (2, "http://t.org/", PAGE.replace("ld+json", "x")), (3, "http://t.org/", "<title>A | The longest part</title>")], "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in html.metadata(html.parse_pages(pages).join(pages.select("page_id", "url"), "page_id")).collect()}
+    got = {r["page_id"]: r for r in html.metadata(html.parse_pages(pages)).collect()}
     assert (got[1]["title"], got[1]["author"], got[1]["publication_date"], got[1]["source_name"]) == ("LD", "Bo", "2020-03-04", "s.org")
     assert (got[2]["title"], got[2]["author"]) == ("OG & title", "Ann Lee") and got[2]["tags"] == ["alpha", "beta"]
     assert (got[3]["title"], got[3]["author"]) == ("The longest part", None)
@@ -42,6 +42,20 @@ def test_metadata_priority(spark):
     assert out["n_images"] == 1 and out["valid"] and out["document"].startswith('---\ntitle: "LD"\nauthor: "Bo"') and out["file_name"] == "Bo - LD - s.org.md"
 
 
+def test_articles_of_repeated_and_null_ids(spark):
+    rows = [(1, "http://a.org/", PAGE), (1, "http://a.org/", PAGE), (1, "http://b.org/", "<h1>Another head</h1>"), (None, "http://c.org/", PAGE), (None, None, None)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, body string, title string")
+    out = html.articles(pages, "2024-01-01", "1")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
+    got = [(r["page_id"], r["title"], r["n_images"]) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "LD", 1), (1, "LD", 1), (1, "Another head", 0), (None, "LD", 1), (None, None, 0)]))
+
+
+def test_articles_of_no_pages(spark):
+    assert html.articles(spark.createDataFrame([], "page_id long, url string, html string"), "d", "1").count() == 0
+
+
 def book(path, spine="c2 c1", extra=""):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("META-INF/container.xml", '<?xml version="1.0"?><container xmlns="u"><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
