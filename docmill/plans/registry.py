@@ -6,8 +6,8 @@ The tables hold no Markdown, so most queries derive their input from them by an
 from __future__ import annotations
 
 import io
-import re
 import tempfile
+import zlib
 import zipfile
 from collections.abc import Callable
 from html import escape
@@ -95,14 +95,9 @@ def content_validity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.content_valid(F.col("text")).alias("valid"))
 
 
-def _lead(name: str, most: int | None):
-    """A text column, or its first characters."""
-    return F.col(name) if most is None else F.left(name, F.lit(most))
-
-
-@query(r"""SELECT doc_id, regexp_replace(left(text, 200) || chr(1) || 'x' || chr(31) || chr(9) || chr(127) || chr(150) || 'y', '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', ' ', 'g') AS clean FROM documents""")
-def control_char_scrub(spark, sf_dir, most=200):
-    dirty = F.concat(_lead("text", most), F.lit("\x01x\x1f\t\x7f\x96y"))
+@query(r"""SELECT doc_id, regexp_replace(text || chr(1) || 'x' || chr(31) || chr(9) || chr(127) || chr(150) || 'y', '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', ' ', 'g') AS clean FROM documents""")
+def control_char_scrub(spark, sf_dir):
+    dirty = F.concat(F.col("text"), F.lit("\x01x\x1f\t\x7f\x96y"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.scrub_controls(dirty).alias("clean"))
 
 
@@ -121,25 +116,24 @@ _TOKENS = "regexp_extract_all(lower(text), '[a-z]{3,}')"
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, list_transform({_TOKENS}[1:40], lambda x: CASE WHEN length(x) > 6 THEN upper(x) ELSE x END) AS items FROM documents),
+WITH t AS (SELECT doc_id, list_transform({_TOKENS}, lambda x: CASE WHEN length(x) > 6 THEN upper(x) ELSE x END) AS items FROM documents),
 r AS (SELECT doc_id, unnest(items) AS x, generate_subscripts(items, 1) AS i FROM t),
 f AS (SELECT doc_id, lower(x) AS k, arg_min(x, i) AS x, min(i) AS i FROM r GROUP BY ALL)
 SELECT d.doc_id, coalesce(string_agg(x, ',' ORDER BY i), '') AS items FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
 """)
-def keyword_order(spark, sf_dir, most=40):
+def keyword_order(spark, sf_dir):
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)
-    words = words if most is None else F.slice(words, 1, most)
     mixed = F.transform(words, lambda x: F.when(F.length(x) > 6, F.upper(x)).otherwise(x))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keep_order_distinct(mixed), ",").alias("items"))
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(b, '^(?:(?:He|She|It|They)(?:[^\p{L}\p{N}_]|$)|(?:This|These)\s)') THEN 'User: ' || b ELSE b END AS body,
   CASE WHEN t LIKE '%?' THEN t ELSE regexp_replace(t, '[?. !]+$', '') || '?' END AS question
-FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'It ' WHEN 1 THEN 'This ' WHEN 2 THEN 'Item ' ELSE 'They, ' END || left(text, 60) AS b,
-  regexp_replace(left(text, 30), '^\s+|\s+$', '', 'g') AS t FROM conversations)""")
-def pronouns_and_questions(spark, sf_dir, body=60, question=30):
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'It ' WHEN 1 THEN 'This ' WHEN 2 THEN 'Item ' ELSE 'They, ' END || text AS b,
+  regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)""")
+def pronouns_and_questions(spark, sf_dir):
     lead = F.when(F.col("turn") % 4 == 0, "It ").when(F.col("turn") % 4 == 1, "This ").when(F.col("turn") % 4 == 2, "Item ").otherwise("They, ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.subject_first(F.concat(lead, _lead("text", body)), F.lit("User")).alias("body"), tx.question_shape(_lead("text", question)).alias("question"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.subject_first(F.concat(lead, F.col("text")), F.lit("User")).alias("body"), tx.question_shape(F.col("text")).alias("question"))
 
 
 @query("""
@@ -204,7 +198,7 @@ _STEM = r"""regexp_replace(regexp_replace({0}, '[<>:"/\\|?*]', '', 'g'), '[\s_]+
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, trim({_STEM.format("left(text, 140)")}) AS t, doc_id % 3 AS k FROM documents),
+WITH t AS (SELECT doc_id, trim({_STEM.format("text")}) AS t, doc_id % 3 AS k FROM documents),
 c AS (SELECT doc_id, k, CASE WHEN length(t) > 100 THEN regexp_replace(left(t, 100), ' [^ ]*$', '') ELSE t END AS t FROM t),
 n AS (SELECT doc_id, t || CASE WHEN k = 0 THEN ' - A Writer' ELSE '' END || CASE WHEN k < 2 THEN ' 2001' ELSE '' END || CASE WHEN k = 2 THEN ' 2nd Ed' ELSE '' END AS n FROM c),
 s AS (SELECT doc_id, trim({_STEM.format("regexp_replace(replace(n, '.md', ''), '[()\\[\\]]', '', 'g')")}) AS s FROM n)
@@ -212,7 +206,7 @@ SELECT doc_id, CASE WHEN length(s) > 100 THEN regexp_replace(left(s, 100), ' [^
 """)
 def output_filename(spark, sf_dir):
     k = F.col("doc_id") % 3
-    name = tx.book_file_name(F.left("text", F.lit(140)), F.when(k == 0, "A Writer"), F.when(k < 2, "2001"), F.when(k == 2, "2nd Edition"), F.lit("x"))
+    name = tx.book_file_name(F.col("text"), F.when(k == 0, "A Writer"), F.when(k < 2, "2001"), F.when(k == 2, "2nd Edition"), F.lit("x"))
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
 
 
@@ -421,14 +415,14 @@ def conversion_score(spark, sf_dir):
 # -- lines and chunks ----------------------------------------------------------------------------------------
 
 
-def _headed(spark, sf_dir, first=None, last=None) -> DataFrame:
+def _headed(spark, sf_dir) -> DataFrame:
     """Documents with headings, a fence and a table between their lines."""
-    body = F.concat(F.lit("# Book "), "doc_id", F.lit("\n"), _lead("text", first), F.lit("\n```\n# no heading\n| a |\n| b |\n```\n### Deep 1\n| n | 1,234.5 |\n| --- | --- |\n| m | 90% |\ntext 17\n---\n## Next\n"), _lead("text", last))
+    body = F.concat(F.lit("# Book "), "doc_id", F.lit("\n"), F.col("text"), F.lit("\n```\n# no heading\n| a |\n| b |\n```\n### Deep 1\n| n | 1,234.5 |\n| --- | --- |\n| m | 90% |\ntext 17\n---\n## Next\n"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
 
 
-_HEADED = r"""('# Book ' || doc_id || chr(10) || left(text, 600) || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '| a |' || chr(10) || '| b |' || chr(10) || '```' || chr(10) || '### Deep 1' || chr(10) || '| n | 1,234.5 |' || chr(10) || '| --- | --- |' || chr(10)
-  || '| m | 90% |' || chr(10) || 'text 17' || chr(10) || '---' || chr(10) || '## Next' || chr(10) || left(text, 300))"""
+_HEADED = r"""('# Book ' || doc_id || chr(10) || text || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '| a |' || chr(10) || '| b |' || chr(10) || '```' || chr(10) || '### Deep 1' || chr(10) || '| n | 1,234.5 |' || chr(10) || '| --- | --- |' || chr(10)
+  || '| m | 90% |' || chr(10) || 'text 17' || chr(10) || '---' || chr(10) || '## Next' || chr(10) || text)"""
 _LINES = f"""l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS line_no FROM (SELECT doc_id, string_split({_HEADED}, chr(10)) AS x FROM documents)),
 f AS (SELECT *, sum(CASE WHEN line = '```' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS fences FROM l),
 s AS (SELECT *, CASE WHEN fences % 2 = 1 OR line = '```' THEN 'fence' ELSE '' END AS state FROM f)"""
@@ -439,8 +433,8 @@ h AS (SELECT *, CASE WHEN state = '' AND regexp_full_match(line, '#{{1,4}}\\s+.+
 t AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS n1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS n2, max(CASE WHEN level = 3 THEN line_no END) OVER w AS n3, sum(CASE WHEN state = '' AND trim(line) = '---' THEN 1 ELSE 0 END) OVER w AS rules FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, state, CAST(1 + rules AS INTEGER) AS page, concat_ws(' > ', CASE WHEN n1 IS NOT NULL THEN 'Book ' || doc_id END, CASE WHEN n2 > coalesce(n1, -1) THEN 'Next' END, CASE WHEN n3 > greatest(coalesce(n1, -1), coalesce(n2, -1)) THEN 'Deep 1' END) AS path FROM t
 """)
-def heading_breadcrumb(spark, sf_dir, first=600, last=300):
-    crumbs = lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir, first, last)))
+def heading_breadcrumb(spark, sf_dir):
+    crumbs = lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir)))
     return crumbs.select("doc_id", "line_no", "state", "page", F.array_join("path", " > ").alias("path"))
 
 
@@ -449,8 +443,8 @@ p AS (SELECT doc_id, line_no, line, line_no - row_number() OVER (PARTITION BY do
 r AS (SELECT doc_id, CAST(min(line_no) AS INTEGER) AS start, CAST(max(line_no) AS INTEGER) AS stop, string_agg(line, chr(10) ORDER BY line_no) AS raw FROM p GROUP BY doc_id, island HAVING count(*) > 1)
 SELECT doc_id, start, stop, 'pipe' AS kind, raw FROM r
 """)
-def verbatim_regions(spark, sf_dir, first=600, last=300):
-    return lines.regions(lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir, first, last)))).select("doc_id", "start", "stop", "kind", "raw")
+def verbatim_regions(spark, sf_dir):
+    return lines.regions(lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir)))).select("doc_id", "start", "stop", "kind", "raw")
 
 
 @query()
@@ -613,8 +607,8 @@ def quality_floors(spark, sf_dir):
 # -- evidence ------------------------------------------------------------------------------------------------
 
 
-def _claims(spark, sf_dir, most) -> tuple[DataFrame, DataFrame]:
-    body = F.concat(_lead("text", most), F.lit(" counted "), F.col("doc_id") * 3, F.lit(" and 5 in 1999, 12,5 and 77%"))
+def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    body = F.concat(F.col("text"), F.lit(" counted "), F.col("doc_id") * 3, F.lit(" and 5 in 1999, 12,5 and 77%"))
     docs = table(spark, sf_dir, "documents")
     source = docs.select("doc_id", F.concat("text", F.lit(" in 1999 with 77 "), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") * 3).otherwise(F.lit(0))).alias("text"))
     inventory = source.select("doc_id", tx.numerals(F.col("text")).alias("numerals"), tx.years(F.col("text")).alias("years"))
@@ -623,12 +617,12 @@ def _claims(spark, sf_dir, most) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""
-WITH u AS (SELECT doc_id, regexp_replace(chr(10) || left(text, 500) || ' counted ' || doc_id * 3 || ' and 5 in 1999, 12,5 and 77%', '(?m)^\\s*\\d+\\.\\s', '', 'g') AS b, text || ' in 1999 with 77 ' || CASE WHEN doc_id % 2 = 0 THEN doc_id * 3 ELSE 0 END AS s FROM documents),
+WITH u AS (SELECT doc_id, regexp_replace(chr(10) || text || ' counted ' || doc_id * 3 || ' and 5 in 1999, 12,5 and 77%', '(?m)^\\s*\\d+\\.\\s', '', 'g') AS b, text || ' in 1999 with 77 ' || CASE WHEN doc_id % 2 = 0 THEN doc_id * 3 ELSE 0 END AS s FROM documents),
 n AS (SELECT doc_id, unnest({_NUMERALS.format("b")}) AS n, {_NUMERALS.format("s")} AS have, regexp_extract_all(s, '\\d+') AS runs FROM u)
 SELECT doc_id, n FROM n WHERE NOT list_contains(have, n) AND NOT coalesce(TRY_CAST(n AS DOUBLE) = floor(TRY_CAST(n AS DOUBLE)) AND TRY_CAST(n AS DOUBLE) BETWEEN 0 AND 12, false) AND NOT (regexp_full_match(n, '[12]\\d{{3}}') AND list_contains(runs, n))
 """)
-def unsupported_numerals(spark, sf_dir, most=500):
-    units, inventory = _claims(spark, sf_dir, most)
+def unsupported_numerals(spark, sf_dir):
+    units, inventory = _claims(spark, sf_dir)
     return evidence.firewall(units, inventory).filter(F.col("flagged").isNotNull()).select("doc_id", F.explode("flagged").alias("n"))
 
 
@@ -677,12 +671,12 @@ def block_overlap(spark, sf_dir):
     return layout.side_by_side(_boxes(spark, sf_dir)).select("doc_id", "pos")
 
 
-def _layouts(spark, sf_dir, most=None) -> DataFrame:
+def _layouts(spark, sf_dir) -> DataFrame:
     """Pages whose first block is a heading in large type; every other page has a picture."""
     span = lambda text, size, flags: F.struct(text.alias("text"), F.lit(float(size)).alias("size"), F.lit(flags).alias("flags"), F.lit("Serif").alias("font"))
     block = lambda kind, x, y, s: F.struct(F.lit(kind).alias("type"), F.array(*[F.lit(float(v)) for v in (x, y, x + 200, y + 150)]).alias("bbox"), F.array(F.struct(F.array(*s).alias("spans"))).alias("lines"))
     head = block(0, 0, 0, [span(F.concat(F.lit("Head "), "doc_id"), 20, 0)])
-    text = block(0, 0, 200, [span(_lead("text", most), 10, 0), span(F.lit("bold"), 10, 16)])
+    text = block(0, 0, 200, [span(F.col("text"), 10, 0), span(F.lit("bold"), 10, 16)])
     side = block(0, 300, 200, [span(F.lit("aside"), 10, 0)])
     picture = F.struct(F.lit(1).alias("type"), F.array(*[F.lit(float(v)) for v in (0, 400, 150, 600)]).alias("bbox"), F.lit(None).cast("array<struct<spans:array<struct<text:string,size:double,flags:int,font:string>>>>").alias("lines"))
     pages = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("page"))
@@ -691,10 +685,10 @@ def _layouts(spark, sf_dir, most=None) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT doc_id, text, unnest(range(0, doc_id % 3 + 1)) AS page FROM documents)
-SELECT doc_id, CAST(page AS INTEGER) AS page, '# Head ' || doc_id || chr(10) || chr(10) || regexp_replace(left(text, 80) || '**bold**', '^\\s+', '') || chr(10) || chr(10) || 'aside' AS markdown FROM p
+SELECT doc_id, CAST(page AS INTEGER) AS page, '# Head ' || doc_id || chr(10) || chr(10) || regexp_replace(text || '**bold**', '^\\s+', '') || chr(10) || chr(10) || 'aside' AS markdown FROM p
 """)
-def layout_headings(spark, sf_dir, most=80):
-    return layout.page_markdown(_layouts(spark, sf_dir, most))
+def layout_headings(spark, sf_dir):
+    return layout.page_markdown(_layouts(spark, sf_dir))
 
 
 @query("""
@@ -779,26 +773,6 @@ def content_decoding(spark, sf_dir):
     return extras.decode_bodies(rows)[0]
 
 
-# -- whole texts ---------------------------------------------------------------------------------------------
-# The queries above whose SQL reads a prefix, over whole texts.
-
-
-def _whole(of, **most):
-    """Registers ``of`` without its prefixes, against its SQL without them."""
-    name, sql = f"{of.__name__}_whole", re.sub(r"left\(text, \d+\)", "text", ORACLE_SQL[of.__name__]).replace("[1:40]", "")
-    QUERIES[name] = lambda spark, sf_dir: of(spark, sf_dir, **most)
-    ORACLE_SQL[name] = sql
-
-
-_whole(control_char_scrub, most=None)
-_whole(keyword_order, most=None)
-_whole(pronouns_and_questions, body=None, question=None)
-_whole(heading_breadcrumb, first=None, last=None)
-_whole(verbatim_regions, first=None, last=None)
-_whole(unsupported_numerals, most=None)
-_whole(layout_headings, most=None)
-
-
 # -- books and companions ------------------------------------------------------------------------------------
 
 
@@ -918,12 +892,12 @@ def _checkpoint(spark) -> str:
 @query("SELECT count(*) AS runs, CAST(sum(event_id % 5) AS BIGINT) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(CAST(event_id % 100 AS DOUBLE) / 100), 6) AS cost_usd FROM events")
 def stream_usage(spark, sf_dir):
     runs = _event_stream(spark, sf_dir).select((F.col("event_id") % 5).alias("calls"), F.col("user_id").cast("long").alias("tokens"), (F.col("event_id") % 100 / 100).alias("cost_usd"))
-    return streams.drain(streams.running_totals(runs), f"usage_{abs(hash(sf_dir))}", _checkpoint(spark), "complete")
+    return streams.drain(streams.running_totals(runs), f"usage_{zlib.crc32(sf_dir.encode())}", _checkpoint(spark), "complete")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def stream_daily_counts(spark, sf_dir):
-    return streams.drain(streams.daily_counts(_event_stream(spark, sf_dir)), f"daily_{abs(hash(sf_dir))}", _checkpoint(spark), "complete").select(F.col("day").cast("string").alias("day"), "n")
+    return streams.drain(streams.daily_counts(_event_stream(spark, sf_dir)), f"daily_{zlib.crc32(sf_dir.encode())}", _checkpoint(spark), "complete").select(F.col("day").cast("string").alias("day"), "n")
 
 
 @query("""
@@ -932,4 +906,4 @@ SELECT signature, occurrences, CASE WHEN occurrences = 1 THEN 'filed' WHEN occur
 """)
 def stream_occurrences(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).select(F.col("event_type").alias("signature"))
-    return streams.drain(streams.occurrences(rows), f"occurrences_{abs(hash(sf_dir))}", _checkpoint(spark))
+    return streams.drain(streams.occurrences(rows), f"occurrences_{zlib.crc32(sf_dir.encode())}", _checkpoint(spark))
