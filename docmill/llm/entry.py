@@ -200,12 +200,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 ORACLE_SQL["op1_warc"] = r"""
-WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-digests AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM rows),
-named AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM digests)
+WITH rows AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (SELECT page_id, url, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM rows),
+named AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, url NULLS FIRST) AS nth FROM digests)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND nth > 1 AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND nth > 1 AND last IS NOT NULL THEN last END AS refers_to
 FROM named
 """
 

@@ -2,7 +2,7 @@
 
 Records are range-sorted by (page_id, payload digest). Shard borders come from a histogram of page_id by
 bytes, not from a sample, so that the same table gives the same files, byte for byte, however it is
-partitioned. Within a shard, files roll at a compressed size. Every record is a gzip member of its own with
+partitioned; a page_id that is too heavy for a shard is dealt to several by digest. Within a shard, files roll at a compressed size. Every record is a gzip member of its own with
 headers and digests made anew from its payload. Of records with equal payloads of ``REVISIT_BYTES`` or more,
 the one with the largest page_id is a response and the others are revisits that name it.
 
@@ -14,7 +14,8 @@ The payload travels through one shuffle. Which record a revisit names is found o
 their payload by sorting next to it, so that a payload that many pages share gathers nowhere.
 
 Defined cases: null html is an empty payload; a null url is written as ``urn:page:ID``; rows without page_id
-come first and are responses; rows that repeat the largest page_id of a payload are all responses; an
+come first, and are revisits of a shared payload if any row that has it has a page_id, else responses; of rows that
+repeat the largest page_id of a payload, the first by url is the response and the others revisit it; an
 empty table writes no file; further columns are ignored. The folder must be one that pyarrow.fs opens.
 """
 
@@ -24,10 +25,11 @@ import hashlib
 import urllib.parse
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +42,7 @@ SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
 #: Compressed size at which a file is closed.
 ROLL_BYTES = 64 << 20
 REVISIT_BYTES = 1000
-CELLS, FINER_CELLS = 65_536, 1024
+CELLS, FINER_CELLS = 16_384, 1024
 DATE = "1970-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
 
@@ -49,35 +51,41 @@ ATTEMPTS = "shard int, name string, temporary string, n_records long, n_bytes lo
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string"
 
 
-def borders(rows: DataFrame, least: int = SHARD_BYTES) -> list[int]:
-    """First page_id of every shard but the first, from rows (page_id, n_bytes)."""
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("n_bytes")).first()
+def borders(rows: DataFrame, least: int = SHARD_BYTES) -> list[tuple[int | None, int]]:
+    """First page_id of each run of shards (null for rows without one, which come first) and how many shards it has,
+    from rows (page_id, n_bytes). Only a page_id that alone is heavy has several, which its digests are dealt to.
+    """
+    low, high, total, unnamed = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("n_bytes"), F.sum(F.when(F.col("page_id").isNull(), F.col("n_bytes")))).first()
+    target = max(least, -(-(total or 0) // MOST_SHARDS))
+    parts = lambda n: max(1, -(-n // target))
+    out: list[tuple[int | None, int]] = [] if unnamed is None else [(None, parts(unnamed))]
     if low is None:
-        return []
-    target = max(least, -(-total // MOST_SHARDS))
+        return out
     width = max(1, -(-(high - low + 1) // CELLS))
-    spans: list[tuple[int, int]] = []
+    spans: list[tuple[int, int, int]] = []
     open_ = rows.filter(F.col("page_id").isNotNull()).select("page_id", "n_bytes", F.lit(low).cast("long").alias("low"), F.lit(width).cast("long").alias("width"))
     while True:
         at = F.floor((F.col("page_id") - F.col("low")) / F.col("width")).cast("long")
-        cells = open_.withColumn("cell", at).groupBy("low", "width", "cell").agg(F.sum("n_bytes").alias("n")).collect()  # a bounded histogram
+        # A bounded histogram: CELLS, and then some for each shard.
+        cells = open_.groupBy("low", "width", at.alias("cell")).agg(F.sum("n_bytes").alias("n")).toArrow().to_pylist()
         heavy = [r for r in cells if r["n"] > 2 * target and r["width"] > 1]
-        spans += [(r["low"] + r["cell"] * r["width"], r["n"]) for r in cells if not (r["n"] > 2 * target and r["width"] > 1)]
+        spans += [(r["low"] + r["cell"] * r["width"], r["width"], r["n"]) for r in cells if not (r["n"] > 2 * target and r["width"] > 1)]
         if not heavy:
             break
         finer = rows.sparkSession.createDataFrame(
-            [(r["low"], r["width"], r["cell"], r["low"] + r["cell"] * r["width"], max(1, -(-r["width"] // FINER_CELLS))) for r in heavy],
+            [(r["low"], r["width"], r["cell"], r["low"] + r["cell"] * r["width"], max(1, -(-r["width"] // min(FINER_CELLS, 4 * parts(r["n"]))))) for r in heavy],
             "low long, width long, cell long, new_low long, new_width long",
         )
         open_ = open_.withColumn("cell", at).join(F.broadcast(finer), ["low", "width", "cell"]).select(
             "page_id", "n_bytes", F.col("new_low").alias("low"), F.col("new_width").alias("width")
         )
-    out, held = [], 0
-    for first, n in sorted(spans):
-        if held and held + n > target:
-            out.append(first)
+    held = 0
+    for first, width, n in sorted(spans):
+        alone = width == 1 and n > 2 * target
+        if alone or not held or held + n > target:
+            out.append((first, parts(n) if alone else 1))
             held = 0
-        held += n
+        held = target if alone else held + n
     return out
 
 
@@ -161,27 +169,35 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
         {"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")}
     )
     narrow = save(wide.select("page_id", "digest", "n_bytes"), "warc-narrow")
-    starts = borders(narrow, shard_bytes)
-    first = spark.sparkContext.broadcast(starts)
+    runs = spark.sparkContext.broadcast(borders(narrow, shard_bytes))
+    n_shards = sum(parts for _, parts in runs.value) or 1
 
     @F.pandas_udf("int")
-    def shard(ids):
-        return ids.map(lambda i: 0 if i is None or i != i else bisect_right(first.value, int(i))).astype("int32")
-
-    shared = narrow.filter((F.col("n_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    named = shared.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).filter(F.col("least") < F.col("refers_to"))
-    marks = shared.join(named.drop("least"), "digest").filter(F.col("page_id") < F.col("refers_to"))
+    def shard(ids: pd.Series, unnamed: pd.Series, place: pd.Series) -> pd.Series:
+        named = [(first, parts) for first, parts in runs.value if first is not None]
+        ahead = sum(parts for first, parts in runs.value if first is None)
+        parts = np.array([ahead, *(p for _, p in named)], dtype=np.int64)
+        nth = np.where(unnamed, 0, np.searchsorted(np.array([f for f, _ in named], dtype=np.int64), ids.to_numpy(), "right"))
+        return pd.Series((np.cumsum(parts) - parts)[nth] + place.to_numpy() * parts[nth] // 65_536).astype("int32")
+
+    # Where a digest stands among all: its first 16 bits.
+    place = F.conv(F.left("digest", F.lit(4)), 16, 10).cast("int")
+    number = shard(F.coalesce("page_id", F.lit(0)), F.col("page_id").isNull(), place)
+    shared = narrow.filter(F.col("n_bytes") >= REVISIT_BYTES)
+    named = shared.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("refers_to").isNotNull())
+    marks = shared.join(named.drop("n"), "digest").filter(F.coalesce(F.col("page_id") < F.col("refers_to"), F.lit(True))).distinct()
     # A mark sorts in front of the record that it makes a revisit.
     both = wide.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(
         marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     )
     order = ["shard", F.col("page_id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first()]
-    sorted_ = both.withColumn("shard", shard("page_id")).repartition(len(starts) + 1, "shard").sortWithinPartitions(*order)
+    sorted_ = both.withColumn("shard", number).repartition(n_shards, "shard").sortWithinPartitions(*order)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_system, path = pafs.FileSystem.from_uri(folder)
         file_system.create_dir(f"{path}/_temporary", recursive=True)
         roll, mark, names = None, (None, None, None), [c.split()[0] for c in ATTEMPTS.split(", ")]
+        last = (None, None)  # of the response before
         for batch in batches:
             done = []
             columns = [batch.column(c) for c in ("shard", "page_id", "digest", "kind", "url", "payload", "refers_to")]
@@ -194,7 +210,10 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
                     if roll is not None:
                         done.append(roll.close())
                     roll = _Roll(file_system, path, number, roll_bytes)
-                done += roll.write(page_record(page_id, url, content, mark[2] if mark[:2] == (page_id, digest) else None))
+                again = last == (page_id, digest) and page_id is not None and len(content) >= REVISIT_BYTES
+                refers_to = mark[2] if mark[:2] == (page_id, digest) else page_id if again else None
+                done += roll.write(page_record(page_id, url, content, refers_to))
+                last = (page_id, digest)
             if done:
                 yield _batch(done, names)
         if roll is not None:
@@ -214,10 +233,15 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
             yield batch
 
     manifest = f"{folder}/_manifest"
-    attempts.mapInArrow(committed, ATTEMPTS).drop("temporary").write.mode("overwrite").parquet(manifest)
+    _dealt(attempts).mapInArrow(committed, ATTEMPTS).drop("temporary").write.mode("overwrite").parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """One file a partition, up to MOST_SHARDS; by number, so that they aren't merged again."""
+    return files.repartition(max(1, min(files.count(), MOST_SHARDS)))
+
+
 def _members(stream: BinaryIO) -> Iterator[bytes]:
     """The uncompressed gzip members of a stream, one at a time."""
     opened, parts = None, []
@@ -261,7 +285,7 @@ def parse_record(member: bytes) -> tuple | None:
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """A row of ``RECORDS`` for each page record of the files that the manifest names."""
-    files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name").repartition("name")
+    files = _dealt(spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_system, path = pafs.FileSystem.from_uri(folder)

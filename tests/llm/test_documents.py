@@ -362,23 +362,41 @@ def test_top_k_of_few_large_and_none(spark):
 
 
 def test_warc_round_trip(spark):
-    big, other = "é" * 700, "b" * 1200
-    rows = [(1, "http://a/1", big), (2, "http://a/ b\n", big), (3, None, None), (9, "http://a/9", big), (4, "u", "small"), (5, "u", "small"), (None, "n", other), (7, "x", other), (7, "x", other), (6, "y", other)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("url", "url")
+    big, other, lone = "é" * 700, "b" * 1200, "c" * 1000
+    rows = [(1, "http://a/1", big), (2, "http://a/ b\n", big), (3, None, None), (9, "http://a/9", big), (4, "u", "small"), (5, "u", "small"), (4, "u", "small"), (None, "n", other), (None, "n", lone), (None, "m", lone)]
+    rows += [(7, "x", other), (7, None, other), (7, "x", other), (6, "y", other), (6, "y", other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()), key=str)
-    last = {}
+    named = defaultdict(list)
     for i, _, h in rows:
-        if h and len(h.encode()) >= 1000 and i is not None:
-            last[h] = max(last.get(h, i), i)
-    want = []
+        if len((h or "").encode()) >= 1000 and i is not None:
+            named[h].append(i)
+    want, spent = [], set()
     for i, _, h in rows:
         payload = (h or "").encode()
-        to = last[h] if i is not None and h in last and i < last[h] else None
-        want.append((i, len(payload), hashlib.sha1(payload).hexdigest(), "response" if to is None else "revisit", to))
+        first = h not in named or (i == max(named[h]) and h not in spent)
+        spent |= {h} if first else set()
+        want.append((i, len(payload), hashlib.sha1(payload).hexdigest(), "response" if first else "revisit", None if first else max(named[h])))
     assert got == sorted(want, key=str)
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_deals_one_heavy_id_to_several_shards(spark):
+    rng = random.Random(2)
+    rows = [(5 if k % 3 else None if k % 2 else k, f"http://h/{k}", sentence(rng, 300)) for k in range(240)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for n in (1, 5):
+        folder = new_path(spark, "warc-hot")
+        manifest = warc.write_archive(df.repartition(n, "html"), folder, shard_bytes=20_000).collect()
+        found.append(sorted((r["name"], r["sha1"]) for r in manifest))
+        assert max(r["n_records"] for r in manifest) < 80 and sum(r["n_records"] for r in manifest) == 240
+        back = warc.read_archive(spark, folder)
+        assert back.rdd.getNumPartitions() == len(manifest)
+        assert sorted(str(r["page_id"]) for r in back.collect()) == sorted(str(r[0]) for r in rows)
+    assert found[0] == found[1]
+
+
 def test_warc_files_are_the_same_however_dealt(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(10**12) if k % 5 else k, f"http://h/{k}", sentence(rng, 400)) for k in range(120)]
