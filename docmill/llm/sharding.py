@@ -6,7 +6,8 @@ share one key, which no bit can part; rows of such a key are dealt to overflow p
 a single document larger than the limit can exceed it.
 
 Bytes are summed by a cell of the finest depth looked at, with partial sums before the shuffle, then by
-all ancestors of the cells; a cell's bucket is its shallowest ancestor that fits. Cells that don't fit at
+all ancestors of the cells; the buckets that fit and whose parent doesn't are spelt out as the cells below
+them, which are the directory. Cells that don't fit at
 that depth are looked at again, eight bits deeper. No step gathers documents: only cells, at most some
 hundreds for each shard, are joined to narrow rows.
 
@@ -42,40 +43,36 @@ def _prefix(bits: Column, depth: int) -> Column:
     return F.shiftright(bits, HASH_BITS - depth)
 
 
-def _fitting(rows: DataFrame, start: int, depth: int, limit: int) -> DataFrame:
-    """A row per cell of ``depth``: cell, bucket_depth (null: none fits), bucket, bucket_bytes, bucket_docs."""
+def _fitting(rows: DataFrame, start: int, depth: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The cells of ``depth`` below buckets that fit (cell, bucket_depth, bucket, bucket_bytes, bucket_docs), and those
+    that don't fit at any depth from ``start`` (open_cell).
+
+    A bucket is final if it fits and the one above, the sum of its halves, doesn't; nothing is joined to the latter.
+    """
     cells = rows.groupBy(_prefix(F.col("key_hash"), depth).alias("cell")).agg(
         F.sum("n_bytes").alias("n_bytes"),
         F.count(F.lit(1)).alias("n_docs"),
         F.min("key_hash").alias("least"),
         F.max("key_hash").alias("most"),
     )
-    up = cells.select("*", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("bucket_depth")).withColumn(
-        "bucket", F.call_function("shiftright", F.col("cell"), (F.lit(depth) - F.col("bucket_depth")).cast("int"))
+    above = lambda bits: F.call_function("shiftright", F.col("cell"), bits.cast("int"))
+    up = cells.select("*", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("bucket_depth")).withColumn("bucket", above(F.lit(depth) - F.col("bucket_depth")))
+    sums = up.groupBy("bucket_depth", "bucket").agg(
+        F.sum("n_bytes").alias("bucket_bytes"), F.sum("n_docs").alias("bucket_docs"), F.min("least").alias("least"), F.max("most").alias("most")
     )
-    fits = (
-        up.groupBy("bucket_depth", "bucket")
-        .agg(
-            F.sum("n_bytes").alias("bucket_bytes"),
-            F.sum("n_docs").alias("bucket_docs"),
-            F.min("least").alias("least"),
-            F.max("most").alias("most"),
-        )
-        .filter((F.col("bucket_bytes") <= limit) | (F.col("least") == F.col("most")))
-        .drop("least", "most")
+    fits = lambda size, least, most: (size <= limit) | (least == most)
+    half = F.struct("bucket_depth", "bucket", "bucket_bytes", "bucket_docs", fits(F.col("bucket_bytes"), F.col("least"), F.col("most")).alias("fits"))
+    whole = sums.groupBy("bucket_depth", F.shiftright("bucket", 1).alias("parent")).agg(
+        F.collect_list(half).alias("halves"),  # two at most
+        fits(F.sum("bucket_bytes"), F.min("least"), F.max("most")).alias("parent_fits"),
     )
-    return (
-        up.select("cell", "bucket_depth", "bucket")
-        .join(fits, ["bucket_depth", "bucket"], "left")
-        .groupBy("cell")
-        .agg(
-            F.min_by(
-                F.when(F.col("bucket_bytes").isNotNull(), F.struct("bucket_depth", "bucket", "bucket_bytes", "bucket_docs")),
-                F.when(F.col("bucket_bytes").isNotNull(), F.col("bucket_depth")),
-            ).alias("found")
-        )
-        .select("cell", "found.*")
+    found = whole.filter((F.col("bucket_depth") == start) | ~F.col("parent_fits")).select(F.explode("halves").alias("x")).select("x.*")
+    first = F.call_function("shiftleft", F.col("bucket"), (F.lit(depth) - F.col("bucket_depth")).cast("int"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth) - F.col("bucket_depth")).cast("int"))
+    final = found.filter("fits").select(
+        F.explode(F.sequence(first, first + size - 1)).alias("cell"), F.col("bucket_depth"), "bucket", "bucket_bytes", "bucket_docs"
     )
+    return final, found.filter((F.col("bucket_depth") == depth) & ~F.col("fits")).select(F.col("bucket").alias("open_cell"))
 
 
 def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> list[tuple[int, DataFrame]]:
@@ -84,9 +81,9 @@ def directory(rows: DataFrame, limit: int = LIMIT_BYTES) -> list[tuple[int, Data
     depth = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS)
     start, levels = 0, []
     while True:
-        found = save(_fitting(rows, start, depth, limit), "shard-directory")
-        levels.append((depth, found.filter(F.col("bucket_depth").isNotNull())))
-        left = found.filter(F.col("bucket_depth").isNull()).select(F.col("cell").alias("open_cell"))
+        final, left = _fitting(rows, start, depth, limit)
+        levels.append((depth, save(final, "shard-directory")))
+        left = save(left, "shard-open")
         if depth == HASH_BITS or not left.take(1):
             return levels
         rows = rows.join(left, _prefix(F.col("key_hash"), depth) == F.col("open_cell"), "left_semi")
