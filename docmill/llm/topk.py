@@ -3,13 +3,14 @@
 Every vector is keyed by its nearest pivot and its distance from it; the keys of a pivot are cut into annuli.
 For a vector ``x`` of an annulus, the triangle inequality bounds its distance from a query ``q`` from below by
 the gap between ``d(q, pivot)`` and the annulus, and so its inner product from above by
-``(|q|^2 + |x|^2 - gap^2) / 2``. A query first searches its own annulus, which gives a k-th best score to beat;
-it then goes to the other annuli in which the bound reaches that score, and to no others. Within a cell,
+``(|q|^2 + |x|^2 - gap^2) / 2``. A query first searches its own annulus, which gives a k-th best score to beat.
+It then expands over the other annuli in the order of their bounds, in ``STEPS`` of growing size, and the
+k-th score rises between them; it stops where the bound falls below that score. Within a cell,
 vectors are sorted by distance and narrower annuli are taken in order of their gap, with the same stop.
 
 Pivots are fitted on a bounded sample (``SAMPLE`` vectors by digest of the id); every vector is indexed and
 the answer doesn't depend on the pivots. Annuli of more than ``CELL`` vectors, as of many copies of one, are
-dealt to several cells, and queries to blocks of ``CELL``: no group grows with the data.
+dealt to several cells, and a cell's queries to blocks of ``CELL``: no group grows with the data.
 
 Components are floor(scale * x), x as double. Defined cases: vectors that are null or hold null or non-finite
 components, and rows without id, take no part; shorter vectors are filled up with zeros; rows repeated in id
@@ -33,6 +34,8 @@ SAMPLE, PIVOTS, ROUNDS = 4096, 64, 8
 ANNULUS, ANNULI, CELL = 1024, 64, 65_536
 #: Vectors in an annulus within a cell, and queries worked on together.
 INNER, TOGETHER = 2048, 64
+#: Annuli that a query goes to, in order, until it looks at its k-th score again; the last step takes all that are left.
+STEPS = (8, 56)
 
 
 def quantized(embeddings: DataFrame, scale: int) -> DataFrame:
@@ -190,48 +193,50 @@ def top_k(embeddings: DataFrame, k: int = 20, scale: int = 64, asks: Column | No
     )
     low = F.lit(float("-inf"))
     own = as_rows(cells, False, low).unionByName(as_rows(cells.filter(asks), True, low))
-    first = save(own.groupBy("ring", "part").applyInArrow(search, result), "topk-first")
-    best = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-    queries = cells.filter(asks).join(best, F.col("vec_id") == F.col("query_id"), "left").select(
-        "vec_id", "vec", "ring", "part", F.when(F.col("n") >= k, F.col("kth").cast("double")).otherwise(low).alias("least")
-    )
-    n_blocks = max(1, -(-queries.count() // CELL))
+    found = save(own.groupBy("ring", "part").applyInArrow(search, result), "topk-first")
+    asking = save(cells.filter(asks).select("vec_id", "vec", "ring", "part"), "topk-queries")
     shape = {c: np.array([r[c] for r in annuli], dtype=np.float64) for c in ("low", "high", "norm")}
     of_pivot, n_parts = np.array([r["pivot"] for r in annuli]), np.array([-(-r["n"] // CELL) for r in annuli])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 256):
-                some = batch.slice(a, 256)
-                q = _matrix(some.column("vec"), kind, width).astype(np.float64)
-                d = _distances(q, pivots.value)[:, of_pivot]
-                bound = _bound((q**2).sum(axis=1)[:, None], d, shape["low"], shape["high"], shape["norm"])
-                i, ring = np.nonzero(bound >= some.column("least").to_numpy()[:, None])
-                many = n_parts[ring]
-                i, ring = np.repeat(i, many), np.repeat(ring, many)
-                part = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-                new = (ring != some.column("ring").to_numpy()[i]) | (part != some.column("part").to_numpy()[i])
-                i, ring, part = i[new], ring[new], part[new]
-                took = some.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ring.astype(np.int32)),
-                        pa.array(part.astype(np.int32)),
-                        took.column("vec_id"),
-                        took.column("vec"),
-                        pa.array(d[i, ring]),
-                        took.column("least"),
-                    ],
-                    ["ring", "part", "vec_id", "vec", "dist", "least"],
-                )
-
-    routed = queries.mapInArrow(route, "ring int, part int, vec_id long, vec binary, dist double, least double")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")
-    visits = as_rows(routed, True, F.col("least")).select("*", block)
-    homes = as_rows(cells, False, low).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    later = visits.unionByName(homes).groupBy("ring", "part", "block").applyInArrow(search, result)
+    def route(first: int, last: int):
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, len(batch), 256):
+                    some = batch.slice(a, 256)
+                    q = _matrix(some.column("vec"), kind, width).astype(np.float64)
+                    d = _distances(q, pivots.value)[:, of_pivot]
+                    bound = _bound((q**2).sum(axis=1)[:, None], d, shape["low"], shape["high"], shape["norm"])
+                    nearest = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
+                    i, j = np.nonzero(np.take_along_axis(bound, nearest, axis=1) >= some.column("least").to_numpy()[:, None])
+                    ring = nearest[i, j]
+                    many = n_parts[ring]
+                    i, ring = np.repeat(i, many), np.repeat(ring, many)
+                    part = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+                    new = (ring != some.column("ring").to_numpy()[i]) | (part != some.column("part").to_numpy()[i])
+                    i, ring, part = i[new], ring[new], part[new]
+                    took = some.take(pa.array(i))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ring.astype(np.int32)), pa.array(part.astype(np.int32)), took.column("vec_id"), took.column("vec"), pa.array(d[i, ring]), took.column("least")],
+                        ["ring", "part", "vec_id", "vec", "dist", "least"],
+                    )
+
+        return routed
+
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (
-        first.unionByName(later).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    at = [0, *np.cumsum(STEPS).tolist(), len(annuli)]
+    for first, last in zip(at, at[1:]):
+        if first >= len(annuli):
+            break
+        kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+        queries = asking.join(kth, F.col("vec_id") == F.col("query_id"), "left").select(
+            "vec_id", "vec", "ring", "part", F.when(F.col("n") >= k, F.col("kth").cast("double")).otherwise(low).alias("least")
+        )
+        visits = save(queries.mapInArrow(route(first, last), "ring int, part int, vec_id long, vec binary, dist double, least double"), "topk-visits")
+        # One row for each cell that is visited.
+        blocks = visits.groupBy("ring", "part").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
+        asked = as_rows(visits, True, F.col("least")).join(blocks, ["ring", "part"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        homes = as_rows(cells, False, low).join(blocks, ["ring", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        later = asked.unionByName(homes).drop("blocks").groupBy("ring", "part", "block").applyInArrow(search, result)
+        found = save(best(found.unionByName(later)).select("query_id", "vec_id", "score"), "topk-found")
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -352,6 +352,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, cell):
     assert sorted(tuple(r) for r in got) == nearest(exact, 7)
 
 
+def test_top_k_skips_annuli_of_clustered_data(spark, monkeypatch):
+    """Far clusters: nearly all annuli are closed by their bound, and later steps find them so."""
+    monkeypatch.setattr(topk, "ANNULUS", 16)
+    monkeypatch.setattr(topk, "STEPS", (2, 4))
+    seen = {"topk-visits": [], "topk-queries": []}
+    monkeypatch.setattr(topk, "save", lambda df, name, keep=topk.save: seen.setdefault(name, []).append(out := keep(df, name)) or out)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8)) * 50
+    rows = [(k, [float(x) for x in centres[k % 40] + rng.normal(size=8) * 0.1]) for k in range(1200)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    assert sorted(tuple(r) for r in got) == nearest(rows, 5)
+    queries, visits = seen["topk-queries"][0].count(), [v.count() for v in seen["topk-visits"]]
+    annuli = seen["topk-annuli"][0].select("pivot", "annulus").distinct().count()
+    assert len(visits) == 3 and annuli > 60 and sum(visits) < queries * annuli / 4
+
+
 def test_top_k_of_few_large_and_none(spark):
     df = spark.createDataFrame([(0, [1e6, -3.0]), (1, [2e6, 5.0]), (20, [0.0, 0.0])], "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == nearest([(r[0], r[1]) for r in df.collect()], 20)
