@@ -216,29 +216,45 @@ def _url_sql() -> str:
     fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
     case = lambda nth: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[nth]}'" for f in fits) + " END"
     shape = "CASE WHEN regexp_full_match({0}, '[0-9]+') THEN '*' WHEN regexp_matches({0}, '^[0-9]+\\.') THEN '*' || regexp_extract({0}, '^[0-9]+(\\..*)$', 1) ELSE {0} END"
-    segments = ", ".join(f"{shape.format(f'parts[{i + 2}]')} AS s{i}" for i in range(urls.DEPTH))
+    depth, z = urls.DEPTH, f"{urls.MERGE_Z}::DOUBLE"
+    raw = [*(f"parts[{i + 2}]" for i in range(depth - 1)), f"CASE WHEN len(parts) > {depth} THEN array_to_string(parts[{depth + 1}:], '/') END"]
+    segments = ", ".join(f"{shape.format(f'({x})')} AS s{i}" for i, x in enumerate(raw))
     steps = ""
-    for i in range(urls.DEPTH):
+    for i in range(depth):
         steps += f"""
-v{i} AS (SELECT host, t, s{i}, count(*) AS n FROM t{i} WHERE s{i} IS NOT NULL GROUP BY ALL),
-w{i} AS (SELECT host, t FROM v{i} GROUP BY ALL HAVING count(*) >= {urls.VARIABLE_DISTINCT} AND count(*) >= {urls.VARIABLE_SHARE} * sum(n)),
-t{i + 1} AS (SELECT x.* REPLACE (CASE WHEN s{i} IS NULL THEN x.t ELSE x.t || '/' || CASE WHEN w{i}.t IS NOT NULL THEN '*' ELSE s{i} END END AS t) FROM t{i} x LEFT JOIN w{i} ON x.host = w{i}.host AND x.t = w{i}.t),"""
+v{i} AS MATERIALIZED (SELECT host, n{i}, s{i}, count(*) AS n FROM t{i} WHERE s{i} IS NOT NULL GROUP BY ALL),
+w{i} AS MATERIALIZED (SELECT host, n{i} FROM v{i} GROUP BY ALL HAVING count(*) >= {urls.VARIABLE_DISTINCT} AND count(*) >= {urls.VARIABLE_SHARE} * sum(n)),
+t{i + 1} AS MATERIALIZED (SELECT x.*, x.n{i} || '/' || CASE WHEN w.n{i} IS NOT NULL THEN '*' ELSE s{i} END AS n{i + 1} FROM t{i} x LEFT JOIN w{i} w ON x.host = w.host AND x.n{i} = w.n{i}),"""
     share = lambda good, n, parent: (
-        f"CASE WHEN {n} > 0 AND abs({good} / greatest({n}, 1) - {parent}) > {urls.MERGE_Z}::DOUBLE * sqrt({parent} * (1 - {parent}) / greatest({n}, 1))"
-        f" THEN ({good} + {urls.SMOOTHING}::DOUBLE * {parent}) / ({n} + {urls.SMOOTHING}::DOUBLE) ELSE {parent} END"
+        f"round(CASE WHEN {n} > 0 AND abs({good} / greatest({n}, 1) - {parent}) > {z} * sqrt({parent} * (1 - {parent}) / greatest({n}, 1))"
+        f" THEN ({good} + {urls.SMOOTHING}::DOUBLE * {parent}) / ({n} + {urls.SMOOTHING}::DOUBLE) ELSE {parent} END, 9)"
     )
+    for i in range(depth + 1):
+        parent = f"n{i - 1}" if i else "''"
+        steps += f"""
+a{i} AS MATERIALIZED (SELECT host, {parent} AS parent, n{i} AS node, sum(n) AS n, sum(good) AS good, any_value(p) AS p FROM l{i} WHERE n{i} IS NOT NULL GROUP BY host, {parent}, n{i} HAVING sum(n) > 0),
+b{i} AS MATERIALIZED (SELECT host, parent, CAST(round(good / n * {urls.SHARES}) AS INTEGER) AS bin, sum(n) AS n, sum(good) AS good, any_value(p) AS p FROM a{i} GROUP BY ALL),
+c{i} AS MATERIALIZED (SELECT *, lag(n) OVER w AS m, lag(good) OVER w AS h FROM b{i} WINDOW w AS (PARTITION BY host, parent ORDER BY bin)),
+d{i} AS MATERIALIZED (SELECT *, sum(CASE WHEN m IS NOT NULL AND abs(good / n - h / m) > {z} * sqrt((good + h) / (n + m) * (1 - (good + h) / (n + m)) * (1 / n + 1 / m)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY bin) AS branch FROM c{i}),
+e{i} AS MATERIALIZED (SELECT host, parent, branch, sum(n) AS n, sum(good) AS good, any_value(p) AS p FROM d{i} GROUP BY ALL),
+f{i} AS MATERIALIZED (SELECT d.host, d.parent, d.bin, {share("e.good", "e.n", "e.p")} AS share FROM d{i} d JOIN e{i} e USING (host, parent, branch)),
+g{i} AS MATERIALIZED (SELECT a.host, a.node, f.share FROM a{i} a JOIN f{i} f ON a.host = f.host AND a.parent = f.parent AND CAST(round(a.good / a.n * {urls.SHARES}) AS INTEGER) = f.bin),
+l{i + 1} AS MATERIALIZED (SELECT x.* REPLACE (coalesce(g.share, x.p) AS p) FROM l{i} x LEFT JOIN g{i} g ON x.host = g.host AND x.n{i} = g.node),"""
+    steps = steps.replace("\na0 AS", f"""
+l0 AS MATERIALIZED (SELECT *, coalesce((SELECT sum(good) / nullif(sum(n), 0) FROM t{depth}), 1.0::DOUBLE) AS p FROM t{depth}),
+a0 AS""")
+    last = ", ".join(f"n{i}" for i in range(depth, -1, -1))
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-ruled AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruling, string_split(path, '/') AS parts FROM parts),
-t0 AS (SELECT page_id, host, path, rule, ruling, parts, '' AS t, {segments} FROM ruled),{steps}
-done AS (SELECT page_id, host, path, rule, ruling, t || CASE WHEN len(parts) > {urls.DEPTH + 1} THEN '/{urls.DEEP}' ELSE '' END AS template FROM t{urls.DEPTH}),
-counts AS (SELECT host, template, count(ruling)::DOUBLE AS n, (count(*) FILTER (ruling = 'allow'))::DOUBLE AS good FROM done GROUP BY ALL),
-wide AS (SELECT template, sum(n) AS t_n, sum(good) AS t_good FROM counts GROUP BY ALL),
-overall AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 1.0::DOUBLE) AS o FROM counts),
-shares AS (SELECT c.*, {share("t_good", "t_n", "o")} AS p FROM counts c JOIN wide USING (template), overall),
-pure AS (SELECT host, template, round({share("good", "n", "p")}, 9) AS purity FROM shares)
-SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN purity < {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM done JOIN pure USING (host, template)
+ruled AS MATERIALIZED (SELECT *, {case(1)} AS rule, {case(2)} AS ruling FROM parts),
+paths AS (SELECT host, path, string_split(path, '/') AS parts, count(ruling)::DOUBLE AS n, (count(*) FILTER (ruling = 'allow'))::DOUBLE AS good FROM ruled GROUP BY host, path),
+t0 AS MATERIALIZED (SELECT host, path, n, good, '' AS n0, {segments} FROM paths),{steps}
+named AS MATERIALIZED (SELECT *, coalesce({last}) AS template FROM l{depth + 1}),
+wide AS MATERIALIZED (SELECT template, sum(n) AS n, sum(good) AS good FROM named GROUP BY template HAVING sum(n) > 0),
+pure AS (SELECT x.host, x.path, x.template, CASE WHEN a.host IS NULL AND w.n IS NOT NULL THEN {share("w.good", "w.n", "l0.p")} ELSE x.p END AS purity FROM named x JOIN l0 ON l0.host = x.host AND l0.path = x.path
+  LEFT JOIN a0 a ON a.host = x.host LEFT JOIN wide w ON w.template = x.template)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN purity < {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM ruled JOIN pure USING (host, path)
 """
 
 

@@ -164,6 +164,19 @@ def test_url_templates_generalise_and_reject(spark):
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
 
 
+def test_url_branches_merge_and_smooth_by_their_parent(spark):
+    """Bad branches of a host carry an unlabelled one; a good one among them, deep down, keeps its own share."""
+    rows = [(f"http://a.org/{lang}/{x}/{i}z", 0) for lang in ("q", "r") for x in "bcd" for i in range(40)]
+    rows += [(f"http://a.org/s/1/2/3/4/5/6/7/{leaf}/x", good) for leaf, good in (("fine", 1), ("foul", 0)) for _ in range(60)]
+    rows += [("http://a.org/t/new", None), ("http://b.org/t/new", None), *((f"http://b.org/u/{i}y", 1) for i in range(90))]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id long, url string, good int")
+    got = {r["page_id"]: r for r in urls.judge_urls(df, rules=()).collect()}
+    of = {u: got[i] for i, (u, _) in enumerate(rows)}
+    assert of["http://a.org/q/b/1z"]["purity"] == of["http://a.org/r/d/1z"]["purity"] < 0.1
+    assert of["http://a.org/s/1/2/3/4/5/6/7/fine/x"]["verdict"] == "allow" and of["http://a.org/s/1/2/3/4/5/6/7/foul/x"]["verdict"] == "block"
+    assert of["http://a.org/t/new"]["verdict"] == "block" and of["http://b.org/t/new"]["verdict"] == "allow"
+
+
 def test_urls_empty_and_unlabelled(spark):
     assert judged(spark, []) == {}
     assert {r["verdict"] for r in judged(spark, ["http://a.org/1", "http://a.org/1", None]).values()} == {"allow"}
