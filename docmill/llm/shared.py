@@ -14,9 +14,12 @@ BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The cluster's checkpoint folder. Where none is set, a local one of our own if all runs in one process, as in tests; else an error."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docmill-shared-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set(CHECKPOINT_CONF, root)
