@@ -6,7 +6,6 @@ The tables hold no Markdown, so most queries derive their input from them by an
 from __future__ import annotations
 
 import io
-import tempfile
 import zlib
 import zipfile
 from collections.abc import Callable
@@ -20,7 +19,7 @@ from docmill.functions import markdown as md
 from docmill.functions import text as tx
 from docmill.functions import urls
 from docmill.operators import chunks, companion, evidence, findings, layout, ledger, lines, threads
-from docmill.operators.lineage import cut
+from docmill.operators.lineage import cut, new_path
 from docmill.sources import epub, extras, files, html
 from docmill.streaming import ledger as streams
 
@@ -447,7 +446,12 @@ def verbatim_regions(spark, sf_dir):
     return lines.regions(lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir)))).select("doc_id", "start", "stop", "kind", "raw")
 
 
-@query()
+@query(f"""WITH {_LINES},
+p AS (SELECT doc_id, line_no, line, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM s WHERE state = '' AND trim(line) LIKE '|%'),
+r AS (SELECT doc_id, line_no, line, min(line_no) OVER (PARTITION BY doc_id, island) AS start, count(*) OVER (PARTITION BY doc_id, island) AS n FROM p),
+k AS (SELECT l.doc_id, l.line_no, CASE WHEN r.line_no = r.start THEN '[TABLE: ' || left(l.line, 60) || ' … ]' ELSE l.line END AS line FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.line_no = r.line_no AND r.n > 1 WHERE r.line_no IS NULL OR r.line_no = r.start)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS body FROM k GROUP BY doc_id
+""")
 def excise_regions(spark, sf_dir):
     crumbs = lines.breadcrumbs(lines.to_lines(_headed(spark, sf_dir)))
     return lines.excise(crumbs, lines.regions(crumbs))
@@ -466,7 +470,17 @@ def chunk_plan_flat(spark, sf_dir):
     return chunks.pack(docs, 500)
 
 
-@query()
+@query("""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+w AS (SELECT doc_id, p, list_transform(p, lambda x: CAST(length(x) // 4 AS BIGINT)) AS w FROM p WHERE len(p) > 0),
+f AS (SELECT doc_id, p, list_reduce(list_transform(w, lambda x: {'held': x, 'bin': 0::BIGINT, 'last': x, 'out': [0::BIGINT]}), lambda a, x: CASE WHEN a.held + x.last > 500
+  THEN {'held': a.last + x.last, 'bin': a.bin + 1, 'last': x.last, 'out': list_append(a.out, a.bin + 1)} ELSE {'held': a.held + x.last, 'bin': a.bin, 'last': x.last, 'out': list_append(a.out, a.bin)} END).out AS bins FROM w),
+r AS (SELECT doc_id, unnest(p) AS p, unnest(bins) AS bin, generate_subscripts(p, 1) AS i FROM f),
+n AS (SELECT *, lead(bin) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM r),
+u AS (SELECT doc_id, p, bin, i FROM n UNION ALL SELECT doc_id, p, next, i FROM n WHERE next > bin),
+t AS (SELECT doc_id, bin, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM u GROUP BY doc_id, bin)
+SELECT doc_id, CAST(bin AS INTEGER) AS idx, ['Section ' || bin + 1] AS heading_path, text, CAST(length(text) // 4 AS BIGINT) AS tokens FROM t
+""")
 def chunk_plan_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"))
     return chunks.overlapping(docs, 500)
@@ -884,9 +898,7 @@ def _event_stream(spark, sf_dir) -> DataFrame:
 
 
 def _checkpoint(spark) -> str:
-    """In the folder that the cluster shares; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docmill-stream-")
-    return f"{root.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    return new_path(spark, "stream")
 
 
 @query("SELECT count(*) AS runs, CAST(sum(event_id % 5) AS BIGINT) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(CAST(event_id % 100 AS DOUBLE) / 100), 6) AS cost_usd FROM events")
@@ -907,3 +919,6 @@ SELECT signature, occurrences, CASE WHEN occurrences = 1 THEN 'filed' WHEN occur
 def stream_occurrences(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).select(F.col("event_type").alias("signature"))
     return streams.drain(streams.occurrences(rows), f"occurrences_{zlib.crc32(sf_dir.encode())}", _checkpoint(spark))
+
+
+from docmill.plans import coverage  # noqa: E402, F401  registers its queries
