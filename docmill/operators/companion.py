@@ -108,6 +108,13 @@ def rollup_prompt(title: Column, digests_json: Column) -> Column:
     )
 
 
+def group_prompt(title: Column, digests_json: Column) -> Column:
+    """What a model is asked about ten digests of a large document, before all of it is combined."""
+    return F.concat(
+        F.lit("Merge these digests of neighbouring parts of one document into one digest with the same fields. Drop repetitions; add nothing.\n\nDocument: "), F.coalesce(title, F.lit("unknown")), F.lit("\n\n"), digests_json
+    )
+
+
 def too_many_failures(d: DataFrame, key: str = "doc_id", accuracy_critical: bool = False) -> DataFrame:
     """doc_id of documents to give up: more than 30 % of their chunks failed, or one where accuracy is critical."""
     share = F.count_if("failed") / F.count(F.lit(1))
@@ -138,22 +145,24 @@ def entities(d: DataFrame, key: str = "doc_id") -> DataFrame:
     return first.select(key, (F.col("f.idx") * 1000 + F.col("f.pos")).alias("seq"), "f.x.name", "f.x.kind", "f.x.one_liner")
 
 
-def merged_groups(d: DataFrame, above: int = GROUP_ABOVE_TOKENS, key: str = "doc_id") -> DataFrame:
-    """Digests of large documents merged by tens: a level of a tree before the last reduction. doc_id, idx, digest."""
-    size = F.sum(tx.token_estimate(F.to_json("digest"))).over(Window.partitionBy(key))
-    rows = d.withColumn("group", F.when(size > above, F.floor(F.col("idx") / GROUP)).otherwise(F.col("idx")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", F.to_json("digest").alias("j")))), lambda x: F.from_json(x["j"], DIGEST))
-    many = rows.groupBy(key, F.col("group").alias("idx")).agg(ordered.alias("ds"))
-    flat = lambda n: F.flatten(F.transform("ds", lambda x: x[n]))
-    return many.select(
-        key, "idx",
-        F.struct(
-            F.array_join(F.transform("ds", lambda x: x["summary"]), "\n").alias("summary"), tx.keep_order_distinct(flat("keywords")).alias("keywords"), flat("claims").alias("claims"),
-            tx.keep_order_distinct(flat("facts_numeric")).alias("facts_numeric"), flat("terms").alias("terms"), flat("qa").alias("qa"), flat("entities").alias("entities"),
-        ).alias("digest"),
+def merged_digest(ds: Column) -> Column:
+    """One digest of several, in order."""
+    flat = lambda n: F.flatten(F.transform(ds, lambda x: x[n]))
+    return F.struct(
+        F.array_join(F.transform(ds, lambda x: x["summary"]), "\n").alias("summary"), tx.keep_order_distinct(flat("keywords")).alias("keywords"), flat("claims").alias("claims"),
+        tx.keep_order_distinct(flat("facts_numeric")).alias("facts_numeric"), flat("terms").alias("terms"), flat("qa").alias("qa"), flat("entities").alias("entities"),
     )
 
 
+def ordered_digests(d: DataFrame, above: int = GROUP_ABOVE_TOKENS, key: str = "doc_id") -> DataFrame:
+    """doc_id, ds: a document's digests in order; those of large documents merged by tens, a level of a tree before the last reduction."""
+    one = F.struct("idx", F.to_json("digest").alias("j"))
+    rows = d.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("rows"), F.sum(tx.token_estimate(F.to_json("digest"))).alias("size"))
+    read = rows.select(key, "size", F.transform("rows", lambda x: F.from_json(x["j"], DIGEST)).alias("ds"))
+    tens = F.transform(F.sequence(F.lit(0), F.ceil(F.size("ds") / GROUP).cast("int") - 1), lambda n: merged_digest(F.slice("ds", n * GROUP + 1, F.lit(GROUP))).cast(DIGEST))
+    return read.select(key, F.when(F.col("size") > above, tens).otherwise(F.col("ds")).alias("ds"))
+
+
 def split_block(text: Column, most: int = MOST_WORDS) -> Column:
     """Pieces of at most so many words, at lines if there are several, else at sentences; a longer sentence is cut."""
     words = lambda x: F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")).cast("long")
@@ -266,10 +275,9 @@ def render(meta: DataFrame, titles: DataFrame, units: DataFrame, front: Column)
     return meta.join(whole, "doc_id").select("doc_id", F.concat(F.concat_ws("\n\n", front, note, F.col("s")), F.lit("\n")).alias("text"))
 
 
-def rollup(d: DataFrame) -> DataFrame:
+def rollup(d: DataFrame, above: int = GROUP_ABOVE_TOKENS) -> DataFrame:
     """doc_id, rollup without a model: summaries, first claims and questions of the chunks in order."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", F.to_json("digest").alias("j")))), lambda x: F.from_json(x["j"], DIGEST))
-    g = d.filter(~F.col("failed")).groupBy("doc_id").agg(ordered.alias("ds"))
+    g = ordered_digests(d.filter(~F.col("failed")), above)
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     return g.select(
         "doc_id",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.text import signature
+from docmill.functions.text import signature, strip_fences
 
 #: What a finding may say of itself.
 SEVERITIES = ("critical", "major", "minor", "nit")
@@ -94,3 +97,48 @@ def below_floor(signals: DataFrame, floors: DataFrame) -> DataFrame:
 def new_floors(signals: DataFrame) -> DataFrame:
     """Floors from measured signals: somewhat below what was reached."""
     return signals.select("book", F.round(F.col("optimization_score") * 0.92, 1).alias("min_optimization_score"), F.floor(F.col("heading_count") * 0.9).alias("min_heading_count"), F.floor(F.col("md_char_count") * 0.9).alias("min_md_chars"))
+
+
+# -- judging -------------------------------------------------------------------------------------------------
+
+Judge = Callable[[str], str]
+
+FINDING = "struct<severity:string,category:string,title:string,evidence:string,suggested_fix:string,confidence:double,is_systemic:boolean>"
+
+
+def choose_engine(forced: Column, has_key: Column, has_command: Column) -> Column:
+    """What a judge runs on: what is asked for, an interface with a key, a command, or nothing."""
+    asked = F.lower(F.coalesce(forced, F.lit("")))
+    return F.when(asked.isin("api", "cli"), asked).when(has_key, "api").when(has_command, "cli").otherwise("none")
+
+
+def judge_prompt(title: Column, source: Column, converted: Column) -> Column:
+    """What a judge is asked about a part of a book and what became of it."""
+    return F.concat(
+        F.lit("Compare a converted text with its source. Reply with one JSON object whose field findings is a list of objects with the fields severity ("), F.lit(", ".join(SEVERITIES)), F.lit("), category ("), F.lit(", ".join(CATEGORIES)),
+        F.lit("), title, evidence, suggested_fix, confidence (0 to 1) and is_systemic. Report only what you can quote.\n\nBook: "), F.coalesce(title, F.lit("unknown")),
+        F.lit("\n\nSource:\n"), source, F.lit("\n\nConverted:\n"), converted,
+    )
+
+
+def judged(prompts: DataFrame, judge: Judge, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Findings (key, seq, and the fields of FINDING) of prompts (key, idx, prompt), and the (key, idx) whose reply can't be read.
+
+    ``judge`` is a plain callable on a prompt, run in Arrow batches, so that a client or a command fits.
+    """
+    kind = prompts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies = []
+            for prompt in batch.column(2).to_pylist():
+                try:
+                    replies.append(judge(prompt or ""))
+                except Exception:  # noqa: BLE001  a judge's failure is this part's, not the job's
+                    replies.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(replies, pa.string())], [key, "idx", "reply"])
+
+    replies = prompts.select(key, F.col("idx").cast("long").alias("idx"), "prompt").mapInArrow(run, f"`{key}` {kind}, idx long, reply string")
+    found = replies.select(key, "idx", F.try_variant_get(F.try_parse_json(strip_fences(F.col("reply"))), "$.findings", f"array<{FINDING}>").alias("found"))
+    rows = found.select(key, "idx", F.posexplode("found").alias("pos", "f"))
+    return rows.select(key, (F.col("idx") * 1000 + F.col("pos")).alias("seq"), "f.*"), found.filter(F.col("found").isNull()).select(key, "idx")

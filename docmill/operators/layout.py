@@ -83,6 +83,19 @@ def analysis(layout: DataFrame) -> DataFrame:
         (F.col("column_votes") > F.col("n_sampled") * COLUMN_SHARE).alias("multi_column"), academic_paper(F.col("first_text")).alias("academic"))
 
 
+def ruling_lines(layout: DataFrame, slack: float = 1.0) -> DataFrame:
+    """doc_id, h_lines, v_lines: lines (rules array<struct<x0, y0, x1, y1>>) that rule a page across or down."""
+    rows = layout.select("doc_id", F.explode("rules").alias("r"))
+    flat, upright = F.abs(F.col("r.y1") - F.col("r.y0")) <= slack, F.abs(F.col("r.x1") - F.col("r.x0")) <= slack
+    return rows.groupBy("doc_id").agg(F.count_if(flat & ~upright).alias("h_lines"), F.count_if(upright & ~flat).alias("v_lines"))
+
+
+def captioned(figures: DataFrame, texts: DataFrame) -> DataFrame:
+    """Figures (doc_id, page, seq) with the first caption of their document's text (doc_id, text), which all of them share."""
+    named = texts.groupBy("doc_id").agg(F.max(caption(F.col("text"))).alias("caption"))
+    return figures.join(named, "doc_id", "left")
+
+
 def caption(text: Column) -> Column:
     """The first figure caption of a text."""
     return F.nullif(strip(F.regexp_extract(text, r"(?i)((?:figure|fig\.)\s*\d+[.:]\s*[^\n]+)", 1)), F.lit(""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.functions import markdown as md
@@ -9,8 +12,8 @@ from docmill.functions import text as tx
 from docmill.functions import urls
 from docmill.operators import companion, findings, layout, lines
 from docmill.operators.lineage import new_path
-from docmill.plans.registry import _layouts, query, table
-from docmill.sources import extras, files
+from docmill.plans.registry import _books, _layouts, query, table
+from docmill.sources import datasource, epub, extras, files, html, signals
 
 
 def _strip(x: str) -> str:
@@ -213,3 +216,151 @@ def layout_tables_then_text(spark, sf_dir):
 @query("SELECT lower(url) AS path FROM pages WHERE lower(url) LIKE '%5' GROUP BY 1")
 def gathered_paths(spark, sf_dir):
     return files.gather(table(spark, sf_dir, "pages").select(F.lower("url").alias("path")), "5")[0]
+
+
+@query(rf"""
+WITH w AS (SELECT page_id, html, regexp_extract_all(regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1), '[A-Za-z]{{3,12}}') AS w, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)
+SELECT page_id, replace(trim(regexp_replace(h, '\s+', ' ', 'g')), '&amp;', '&') AS title, w[1] AS author, CAST(CASE WHEN page_id % 80 BETWEEN 1 AND 60 THEN page_id % 80 END AS INTEGER) AS minutes,
+  array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i AND length(x) BETWEEN 3 AND 49 AND NOT regexp_matches(x, '(?i)^({"|".join(tx.NO_TAGS)})'))[1:15], ',') AS tags,
+  CAST(CASE WHEN page_id % 2 = 0 THEN len(w) WHEN length(replace(trim(regexp_replace(h, '\s+', ' ', 'g')), '&amp;', '&')) < 200 THEN 1 ELSE 0 END AS INTEGER) AS n_contents
+FROM w WHERE len(w) > 0
+""")
+def page_signals(spark, sf_dir):
+    """Pages with a byline, a reading time, a list of topics and every other one with contents, all of words of their own."""
+    words = F.regexp_extract_all(F.regexp_extract("html", '(?is)<div class="ad">(.*?)</div>', 1), F.lit("([A-Za-z]{3,12})"), 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", words.alias("w")).filter(F.size("w") > 0)
+    links = lambda kind: F.concat(F.lit(f'<{kind}>'), F.array_join(F.transform("w", lambda x: F.concat(F.lit('<a href="#z">'), x, F.lit("</a>"))), " "), F.lit(f"</{kind.split()[0]}>"))
+    block = F.concat(
+        F.lit('<div class="byline-name">By '), F.get("w", F.lit(0)), F.lit("</div><p><span>"), F.col("page_id") % 80, F.lit(" min</span></p>"), links('ul class="topics"'),
+        F.when(F.col("page_id") % 2 == 0, links('nav class="toc"')).otherwise(F.lit("")),
+    )
+    parsed = html.parse_pages(pages.select("page_id", "url", F.concat("html", block).alias("html")))
+    return parsed.select("page_id", F.col("shown_title").alias("title"), signals.author().alias("author"), signals.minutes().alias("minutes"), F.array_join(signals.tags(), ",").alias("tags"), F.size("contents").alias("n_contents"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'API' WHEN 1 THEN upper(role) END AS forced, contains(text, 'ie') AS has_key, contains(text, 'th') AS has_command FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN lower(forced) IN ('api', 'cli') THEN lower(forced) WHEN has_key THEN 'api' WHEN has_command THEN 'cli' ELSE 'none' END AS engine FROM t
+""")
+def engine_choice(spark, sf_dir):
+    forced = F.when(F.col("turn") % 4 == 0, "API").when(F.col("turn") % 4 == 1, F.upper("role"))
+    engine = findings.choose_engine(forced, F.contains(F.col("text"), F.lit("ie")), F.contains(F.col("text"), F.lit("th")))
+    return table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", engine.alias("engine"))
+
+
+@query(f"""
+SELECT doc_id, 'Merge these digests of neighbouring parts of one document into one digest with the same fields. Drop repetitions; add nothing.' || chr(10) || chr(10) || 'Document: ' || coalesce(source, 'unknown') || chr(10) || chr(10) || text AS merge_prompt,
+  'Compare a converted text with its source. Reply with one JSON object whose field findings is a list of objects with the fields severity ({", ".join(findings.SEVERITIES)}), category ({", ".join(findings.CATEGORIES)}), title, evidence, suggested_fix, confidence (0 to 1) and is_systemic. Report only what you can quote.'
+  || chr(10) || chr(10) || 'Book: ' || coalesce(source, 'unknown') || chr(10) || chr(10) || 'Source:' || chr(10) || text || chr(10) || chr(10) || 'Converted:' || chr(10) || lower(text) AS judge_prompt FROM documents
+""")
+def prompts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", companion.group_prompt(F.col("source"), F.col("text")).alias("merge_prompt"), findings.judge_prompt(F.col("source"), F.col("text"), F.lower("text")).alias("judge_prompt")
+    )
+
+
+def _count_judge(prompt: str) -> str:
+    """A judge without a model: reports addresses, and can't answer about digits."""
+    if "7" in prompt:
+        return "no idea"
+    found = [{"severity": "major", "category": "encoding", "title": f"{n} signs", "evidence": "@", "suggested_fix": "none", "confidence": 0.75, "is_systemic": n > 1} for n in [prompt.count("@")] if n]
+    return "```json\n" + json.dumps({"findings": found}) + "\n```"
+
+
+@query("""
+WITH p AS (SELECT doc_id, text, length(text) - length(replace(text, '@', '')) AS n FROM documents)
+SELECT doc_id, 5000::BIGINT AS seq, 'major' AS severity, 'encoding' AS category, n || ' signs' AS title, 0.75::DOUBLE AS confidence, n > 1 AS is_systemic, 0.75 >= 0.6 AS kept FROM p WHERE NOT contains(text, '7') AND n > 0
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p WHERE contains(text, '7')
+""")
+def judged_findings(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.lit(5).alias("idx"), F.col("text").alias("prompt"))
+    found, failed = findings.judged(rows, _count_judge)
+    kept = found.select("doc_id", "seq", "severity", "category", "title", "confidence", "is_systemic", findings.worth_keeping().alias("kept"))
+    return kept.unionByName(failed.select("doc_id"), allowMissingColumns=True)
+
+
+@query("SELECT 'page-' || page_id || '.html' AS name, html FROM pages WHERE html IS NOT NULL")
+def saved_pages(spark, sf_dir):
+    """Pages as a file each, and read again by the data source."""
+    folder = new_path(spark, "saved-pages")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("file_name"), F.col("html").alias("document"))
+    files.write_files(pages, folder).write.format("noop").mode("overwrite").save()
+    datasource.register(spark)
+    read = spark.read.format("saved_pages").option("suffix", ".html").load(folder)
+    return read.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), "html")
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS signature, CASE WHEN doc_id % 2 = 0 THEN 'hold' ELSE 'finding' END AS label, n_chars AS occurrences FROM documents WHERE doc_id % 3 <> 0
+""")
+def ledger_versions(spark, sf_dir):
+    """A ledger saved three times, the last without some rows: the newest is read."""
+    folder, schema = new_path(spark, "ledger"), "signature string, label string, occurrences long"
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("signature"), F.when(F.col("doc_id") % 2 == 0, "hold").otherwise("finding").alias("label"), F.col("n_chars").cast("long").alias("occurrences"))
+    files.save_version(rows.limit(0), folder)
+    files.save_version(rows, folder)
+    files.save_version(files.load_version(spark, folder, schema).filter(F.col("signature").cast("long") % 3 != 0), folder)
+    return files.load_version(spark, folder, schema)
+
+
+@query("""
+WITH r AS (SELECT doc_id, unnest(string_split(lang || 'x' || source, '')) AS c FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id, count(*) FILTER (c BETWEEN 'a' AND 'm') AS h_lines, count(*) FILTER (c BETWEEN 'n' AND 'z') AS v_lines FROM r GROUP BY doc_id
+""")
+def ruling_lines(spark, sf_dir):
+    """A rule for each letter of a document's language and source: across for the first half of the alphabet, down for the second."""
+    number = lambda *v: F.struct(*[x.cast("double").alias(n) for x, n in zip(v, ("x0", "y0", "x1", "y1"))])
+    zero, one, far = F.lit(0), F.lit(0.5), F.lit(90)
+    rule = lambda c: F.when(c.between("a", "m"), number(zero, zero, far, one)).when(c.between("n", "z"), number(zero, zero, one, far)).otherwise(number(zero, zero, far, far))
+    letters = F.filter(F.split(F.concat("lang", F.lit("x"), "source"), ""), lambda c: c != "")
+    return layout.ruling_lines(table(spark, sf_dir, "documents").filter("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", F.transform(letters, rule).alias("rules")))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, text || chr(10) || 'Fig. ' || doc_id || ': ' || split_part(text, '.', 1) AS t, doc_id % 3 + 1 AS n FROM documents)
+SELECT doc_id, unnest(range(1, n + 1)) AS seq, nullif(regexp_replace(regexp_extract(t, '(?i)((?:figure|fig\.)\s*\d+[.:]\s*[^\n]+)', 1), '^\s+|\s+$', '', 'g'), '') AS caption FROM d
+""")
+def figure_captions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nFig. "), "doc_id", F.lit(": "), F.split_part("text", F.lit("."), F.lit(1))).alias("text"))
+    figures = docs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 3 + 1)).alias("seq"))
+    return layout.captioned(figures, docs).select("doc_id", "seq", "caption")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, source, regexp_replace(regexp_replace(split_part(text, '.', 1), '[<>:"/\\|?*]', '', 'g'), '[\s_]+', ' ', 'g') AS t, text, split_part(text, '.', 1) AS raw FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND length(split_part(text, '.', 1)) BETWEEN 1 AND 90 AND trim(regexp_replace(split_part(text, '.', 1), '\s', '', 'g')) <> '' AND NOT contains(text, '#'))
+SELECT source || ' - ' || trim(t) || '.md' AS file_name, concat_ws(chr(10), '---', 'title: "' || replace(raw, '"', '\"') || '"', 'author: "' || source || '"', 'source_type: "pdf"', 'source_file: "x.pdf"', 'publication_date: "2020-02-03"', 'retrieved_date: "2024-01-01"', 'reading_time_minutes: 2', 'page_count: 3', 'figures_extracted: 1',
+  'tables_extracted: 0', 'extraction_confidence: 0.88', 'extraction_tool: "pymupdf"', 'last_tool_tried: "marker"', 'ocr_applied: false', 'content_type: "text_heavy"', 'converter_version: "1.0"', '---', '',
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^\d{1,4}$')), chr(10))) AS document FROM t
+""")
+def layout_articles(spark, sf_dir):
+    title = F.split_part("text", F.lit("."), F.lit(1))
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL AND text IS NOT NULL").filter(F.length(title).between(1, 90) & (tx.strip(title) != "") & ~F.contains("text", F.lit("#")))
+    rows = docs.select(
+        title.alias("title"), F.col("source").alias("author"), F.lit("/in/x.pdf").alias("path"), F.lit("D:20200203").alias("created"), F.lit(2).alias("minutes"), F.lit(3).alias("pages"), F.lit(1).alias("figures"), F.lit(0).alias("tables"),
+        F.lit(0.875).alias("confidence"), F.lit("pymupdf").alias("tool"), F.lit("marker").alias("last_tool"), F.lit(False).alias("ocr"), F.lit("text_heavy").alias("kind"), F.col("text").alias("markdown"))
+    return extras.layout_documents(rows, "2024-01-01", "1.0")
+
+
+@query("SELECT 'book-' || doc_id || '.epub' AS path, 3::BIGINT AS chapters, CAST(3 * 12 + 6 + 3 * length(CAST(doc_id AS VARCHAR)) + 3 * length(CAST(length(coalesce(text, '')) AS VARCHAR)) AS BIGINT) AS chars, 'Chapter 2, Chapter 1, Chapter 3' AS titles FROM documents")
+def reference_summary(spark, sf_dir):
+    parts = epub.members(_books(spark, sf_dir))
+    return epub.summary(epub.chapters(parts, epub.packages(parts))).select("path", "chapters", "chars", F.array_join("titles", ", ").alias("titles"))
+
+
+@query("""SELECT 'book-' || doc_id || '.epub' AS path, array_to_string(list_transform([2, 1, 3], lambda k: '# Chapter ' || k || chr(10) || chr(10) || repeat('x', k) || ' ' || doc_id || ' ' || length(coalesce(text, ''))), chr(10) || chr(10)) AS markdown FROM documents""")
+def books_as_markdown(spark, sf_dir):
+    parts = epub.members(_books(spark, sf_dir))
+    return epub.to_books(parts, epub.packages(parts))
+
+
+@query("""
+WITH c AS (SELECT conv_id AS doc_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT doc_id, idx // 10 AS idx, string_agg(text, chr(10) ORDER BY c.idx) AS summary FROM c GROUP BY doc_id, c.idx // 10)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS parts, string_agg(summary, '|' ORDER BY idx) AS summaries FROM g GROUP BY doc_id
+""")
+def merged_digests(spark, sf_dir):
+    """Digests of a conversation's turns, merged by tens."""
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("doc_id"), nth.alias("idx"), F.array(F.lit("x")).alias("heading_path"), "text")
+    d = companion.digests(rows, lambda path, text: json.dumps({"summary": text, "keywords": [text[:3]]}))
+    return companion.ordered_digests(d, above=0).select("doc_id", F.size("ds").alias("parts"), F.array_join(F.transform("ds", lambda x: x["summary"]), "|").alias("summaries"))

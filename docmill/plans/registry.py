@@ -6,7 +6,6 @@ The tables hold no Markdown, so most queries derive their input from them by an
 from __future__ import annotations
 
 import io
-import zlib
 import zipfile
 from collections.abc import Callable
 from html import escape
@@ -904,21 +903,19 @@ def _checkpoint(spark) -> str:
 @query("SELECT count(*) AS runs, CAST(sum(event_id % 5) AS BIGINT) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(CAST(event_id % 100 AS DOUBLE) / 100), 6) AS cost_usd FROM events")
 def stream_usage(spark, sf_dir):
     runs = _event_stream(spark, sf_dir).select((F.col("event_id") % 5).alias("calls"), F.col("user_id").cast("long").alias("tokens"), (F.col("event_id") % 100 / 100).alias("cost_usd"))
-    return streams.drain(streams.running_totals(runs), f"usage_{zlib.crc32(sf_dir.encode())}", _checkpoint(spark), "complete")
+    return streams.drain(streams.running_totals(runs), new_path(spark, "usage"), _checkpoint(spark), "complete")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def stream_daily_counts(spark, sf_dir):
-    return streams.drain(streams.daily_counts(_event_stream(spark, sf_dir)), f"daily_{zlib.crc32(sf_dir.encode())}", _checkpoint(spark), "complete").select(F.col("day").cast("string").alias("day"), "n")
+    return streams.drain(streams.daily_counts(_event_stream(spark, sf_dir)), new_path(spark, "daily"), _checkpoint(spark), "complete").select(F.col("day").cast("string").alias("day"), "n")
 
 
-@query("""
-WITH f AS (SELECT event_type AS signature, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS occurrences FROM events)
-SELECT signature, occurrences, CASE WHEN occurrences = 1 THEN 'filed' WHEN occurrences = 2 THEN 'escalated_hold' ELSE 'deduped' END AS outcome FROM f
-""")
+@query("SELECT event_type AS signature, 1::BIGINT AS first, count(*) AS last, 1::BIGINT AS filed, CAST(count(*) > 1 AS BIGINT) AS escalated, greatest(count(*) - 2, 0) AS deduped FROM events GROUP BY 1")
 def stream_occurrences(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).select(F.col("event_type").alias("signature"))
-    return streams.drain(streams.occurrences(rows), f"occurrences_{zlib.crc32(sf_dir.encode())}", _checkpoint(spark))
+    found = streams.drain(streams.occurrences(rows), new_path(spark, "occurrences"), _checkpoint(spark))
+    return found.groupBy("signature").agg(F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(c).alias(c) for c in ("filed", "escalated", "deduped")])
 
 
 from docmill.plans import coverage  # noqa: E402, F401  registers its queries

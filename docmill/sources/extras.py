@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions import markdown as md
 from docmill.functions import text as tx
 from docmill.functions import urls
 from docmill.sources.html import _named
@@ -18,6 +19,15 @@ MOST_BODY = 256 << 20
 PAGE_BREAK = "\n\n---\n\n"
 
 
+def _inflated(body: bytes, window: int) -> bytes:
+    """At most one byte more than ``MOST_BODY``; an error if the body ends early."""
+    opened = zlib.decompressobj(window)
+    out = opened.decompress(body, MOST_BODY + 1)
+    if len(out) <= MOST_BODY and not opened.eof:
+        raise zlib.error("the body ends early")
+    return out
+
+
 def decoded(body: bytes | None, encoding: str | None) -> bytes | None:
     """A body without its content encoding; None if it is damaged, too large or of an unknown one."""
     if body is None:
@@ -27,17 +37,18 @@ def decoded(body: bytes | None, encoding: str | None) -> bytes | None:
             if name in ("", "identity"):
                 continue
             if name == "zstd":
-                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                body = zstandard.ZstdDecompressor().stream_reader(body).read(MOST_BODY + 1)
             elif name in ("gzip", "x-gzip", "deflate"):
                 try:
-                    opened = zlib.decompressobj(31 if "gzip" in name else 15)
-                    body = opened.decompress(body, MOST_BODY) + opened.flush()
+                    body = _inflated(body, 31 if "gzip" in name else 15)
                 except zlib.error:
                     if "gzip" in name:
                         return None
-                    body = zlib.decompressobj(-15).decompress(body, MOST_BODY)  # deflate without its header
+                    body = _inflated(body, -15)  # deflate without its header
             else:
                 return None
+            if len(body) > MOST_BODY:
+                return None
     except (zlib.error, zstandard.ZstdError):
         return None
     return body
@@ -121,6 +132,19 @@ def layout_frontmatter(title, author, path, created, retrieved, minutes, pages,
     return F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"))
 
 
+def layout_documents(rows: DataFrame, retrieved: str, version: str) -> DataFrame:
+    """file_name, document: frontmatter, outline of a paper and text of documents that came as page layouts.
+
+    rows: title, author, path, created, minutes, pages, figures, tables, confidence, tool, last_tool, ocr, kind, markdown.
+    """
+    c = F.col
+    front = layout_frontmatter(c("title"), c("author"), c("path"), c("created"), F.lit(retrieved), c("minutes"), c("pages"), c("figures"), c("tables"), c("confidence"), c("tool"), c("last_tool"), c("ocr"), c("kind"), F.lit(version))
+    name = F.concat(F.concat_ws(" - ", F.nullif(tx.file_stem(c("author")), F.lit("")), F.coalesce(F.nullif(tx.file_stem(c("title")), F.lit("")), F.lit("Untitled"))), F.lit(".md"))
+    body = md.without_page_lines(c("markdown"))
+    contents = md.render_outline(md.paper_outline(body))
+    return rows.select(name.alias("file_name"), F.concat_ws("\n", front, F.lit(""), contents, body).alias("document"))
+
+
 def pages_with_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
     """doc_id, page, markdown: a page's tables of two rows or more (doc_id, page, seq, md) before its text (doc_id, page, md)."""
     blocks = tables.filter(F.size(F.split("md", "\n")) >= 3).select("doc_id", "page", F.lit(0).alias("kind"), F.col("seq").cast("int").alias("seq"), "md")

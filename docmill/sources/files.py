@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +51,54 @@ def write_documents(documents: DataFrame, path: str, by: str = "source_kind") ->
 def write_texts(documents: DataFrame, path: str, column: str = "document") -> None:
     """Documents as text files; only good ones should come here."""
     documents.select(F.col(column).alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def write_files(documents: DataFrame, folder: str, name: str = "file_name", column: str = "document") -> DataFrame:
+    """Each document as a file of its own under its name; returns name and bytes of what was written.
+
+    A file is written under a temporary name and then renamed, so that none is ever seen in part, and a task that runs
+    again writes the same. Names must be distinct (:func:`distinct_names`); rows without a name or document are left out.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file_system, path = pafs.FileSystem.from_uri(folder)
+        file_system.create_dir(path, recursive=True)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for own, text in zip(names, batch.column(1)):
+                data, temporary = text.as_py().encode(), f"{path}/.{uuid.uuid4().hex}.tmp"
+                with file_system.open_output_stream(temporary, compression=None) as out:
+                    out.write(data)
+                file_system.move(temporary, f"{path}/{own}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "n_bytes"])
+
+    rows = documents.filter(F.col(name).isNotNull() & F.col(column).isNotNull()).select(F.col(name).cast("string").alias("name"), F.col(column).alias("text"))
+    return rows.mapInArrow(written, "name string, n_bytes long")
+
+
+def save_version(rows: DataFrame, folder: str) -> str:
+    """A table's next version beside those before; readers take the newest, so that a run may read what it replaces."""
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    file_system = top.getFileSystem(conf)
+    file_system.mkdirs(top)
+    last = max([int(n) for n in _versions(file_system, top)], default=0)
+    path = f"{folder}/version={last + 1:09d}"
+    rows.write.parquet(path)
+    return path
+
+
+def load_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest version, or no rows."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = _versions(top.getFileSystem(spark._jsc.hadoopConfiguration()), top)
+    return spark.read.schema(schema).parquet(f"{folder}/version={max(found)}") if found else spark.createDataFrame([], schema)
+
+
+def _versions(file_system, top) -> list[str]:
+    """Numbers of the versions."""
+    if not file_system.exists(top):
+        return []
+    names = [s.getPath().toString() for s in file_system.listStatus(top)]
+    return [n.rsplit("=", 1)[1] for n in names if "version=" in n]

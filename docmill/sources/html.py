@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from docmill.functions import markdown as md
 from docmill.functions import text as tx
 from docmill.functions import urls
+from docmill.sources import signals
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg head".split())
 BLOCKS = frozenset("p div section article main header footer aside nav ul ol li table tr blockquote pre figure h1 h2 h3 h4 h5 h6 form".split())
 ASIDE = frozenset("nav footer aside form header".split())
 #: Class and id words of parts that aren't the article.
-CLUTTER = re.compile(r"\b(ad|ads|advert|promo|comments?|responses?|related|share|social|newsletter|subscribe|sidebar|cookie|author-card)\b", re.I)
+CLUTTER = re.compile(r"\b(ad|ads|advert|promo|newsletter|subscribe|sidebar|cookie)\b", re.I)
 IMAGE_SOURCES = ("src", "data-src", "data-lazy-src", "data-original", "data-lazy", "data-image", "data-url")
 CHOSEN = ("article", "main", "role=main", "post-content", "entry-content", "article-body", "content")
 #: Elements nested deeper than this become siblings.
@@ -33,10 +34,16 @@ LEAST_CHOSEN, LEAST_PARAGRAPHS, LEAST_PARAGRAPH = 500, 3, 50
 
 PARSED = (
     "page_id long, url string, meta array<struct<name:string,value:string>>, ld array<string>, title_tag string, h1 string, authors array<string>, times array<string>, "
-    "tags array<string>, images array<struct<url:string,alt:string,title:string,width:int,height:int>>, markdown string, text string"
+    "tags array<string>, images array<struct<url:string,alt:string,title:string,width:int,height:int>>, markdown string, text string, shown_title string, "
+    "author_candidates array<struct<rule:string,text:string>>, minutes_candidates array<int>, tag_candidates array<struct<rule:string,text:string>>, contents array<struct<text:string,level:int>>"
 )
 
 
+_PAIRS = pa.list_(pa.struct([("rule", pa.string()), ("text", pa.string())]))
+#: The blog host whose responses are taken away.
+BLOG = re.compile(r"https?://(?:[^/?#]*\.)?medium\.com(?:[/?#:]|$)", re.I)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "kids", "parent")
 
@@ -268,8 +275,16 @@ def parse(page_id: int | None, url: str | None, html: str | None) -> tuple:
         if a.get("rel") == "tag" or re.search(r"\b(tag|topic|category)\b", n.says()):
             tags.append(n.plain())
     text = root.plain()
+    blog = bool(BLOG.match(base))
+    pairs = lambda found: [{"rule": r, "text": t} for r, t in found]
+    shown = (
+        signals.shown_title(root), pairs(signals.author_candidates(root, blog)), list(signals.minutes_candidates(root)),
+        pairs(signals.tag_candidates(root)), [{"text": t, "level": n} for t, n in signals.contents(root)],
+    )
+    if blog:
+        signals.drop_responses(root)
     body = to_markdown(main_content(root), base)
-    return page_id, url, meta, ld, title_tag, h1, authors, times, tags, images, body, text
+    return page_id, url, meta, ld, title_tag, h1, authors, times, tags, images, body, text, *shown
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -279,7 +294,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             ("page_id", pa.int64()), ("url", pa.string()), ("meta", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("ld", pa.list_(pa.string())), ("title_tag", pa.string()),
             ("h1", pa.string()), ("authors", pa.list_(pa.string())), ("times", pa.list_(pa.string())), ("tags", pa.list_(pa.string())),
             ("images", pa.list_(pa.struct([("url", pa.string()), ("alt", pa.string()), ("title", pa.string()), ("width", pa.int32()), ("height", pa.int32())]))),
-            ("markdown", pa.string()), ("text", pa.string()),
+            ("markdown", pa.string()), ("text", pa.string()), ("shown_title", pa.string()), ("author_candidates", _PAIRS), ("minutes_candidates", pa.list_(pa.int32())), ("tag_candidates", _PAIRS),
+            ("contents", pa.list_(pa.struct([("text", pa.string()), ("level", pa.int32())]))),
         ]
     )
 
@@ -333,9 +349,9 @@ def _with_item(parsed: DataFrame) -> DataFrame:
 def metadata_columns() -> list[Column]:
     """Over a parse with its ld_item: JSON-LD before OpenGraph, Twitter and standard tags, before the page's structure."""
     host_label = F.replace(urls.host(F.col("url")), F.lit("www."))
-    author = F.get(F.filter("authors", tx.name_like), F.lit(0))
-    title = F.coalesce(F.when(F.length("h1").between(6, 299), F.col("h1")), tx.longest_title_part(F.col("title_tag")))
-    minutes = tx.missing_to_null(F.regexp_extract("text", r"(?i)\b(\d{1,2})\s*(?:-\s*)?min(?:ute)?s?\s+read", 1)).try_cast("int")
+    author = F.coalesce(signals.author(), F.get(F.filter("authors", tx.name_like), F.lit(0)))
+    title = F.coalesce(F.when(F.length("shown_title").between(6, 299), F.col("shown_title")), tx.longest_title_part(F.col("title_tag")))
+    minutes = F.coalesce(signals.minutes(), tx.missing_to_null(F.regexp_extract("text", r"(?i)\b(\d{1,2})\s*(?:-\s*)?min(?:ute)?s?\s+read", 1)).try_cast("int"))
     clean = lambda c: tx.unescape(tx.strip(c))
     return [
         clean(F.coalesce(_ld("$.headline", "$.name"), meta_value("og:title", "twitter:title"), title)).alias("title"),
@@ -357,7 +373,7 @@ def tag_list() -> Column:
     words = F.flatten(F.transform(F.filter("meta", lambda m: m["name"].isin("keywords", "news_keywords")), lambda m: F.split(m["value"], ",")))
     article = F.transform(F.filter("meta", lambda m: m["name"] == "article:tag"), lambda m: m["value"])
     marked = F.filter("tags", lambda t: (F.length(t) < 50) & tx.valid_tag(t))
-    every = F.transform(F.concat(ld_words, words, article, marked), tx.strip)
+    every = F.transform(F.concat(ld_words, words, article, marked, signals.tags()), tx.strip)
     return F.slice(F.array_sort(F.array_distinct(F.filter(every, lambda t: (F.length(t) > 1) & ~t.startswith("#")))), 1, 20)
 
 

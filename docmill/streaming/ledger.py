@@ -31,23 +31,30 @@ def running_totals(runs: DataFrame) -> DataFrame:
 
 
 def occurrences(findings: DataFrame, escalates_at: int = 2) -> DataFrame:
-    """signature, occurrences, outcome for every finding that arrives; counts are kept by signature."""
+    """signature, first, last, filed, escalated, deduped: for each batch that brings findings of a signature, which occurrences
+    they are and what becomes of them. One row for each signature and batch, however many findings it has."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = []
-        for frame in frames:
-            for _ in range(len(frame)):
-                n += 1
-                rows.append((key[0], n, "filed" if n == 1 else "escalated_hold" if n == escalates_at else "deduped"))
-        state.update((n,))
-        yield pd.DataFrame(rows, columns=["signature", "occurrences", "outcome"])
-
-    return findings.groupBy("signature").applyInPandasWithState(
-        update, "signature string, occurrences long, outcome string", "n long", "append", GroupStateTimeout.NoTimeout
+        before = state.get[0] if state.exists else 0
+        now = before + sum(int(frame["n"].sum()) for frame in frames)
+        state.update((now,))
+        filed, escalated = int(before < 1 <= now), int(before < escalates_at <= now)
+        yield pd.DataFrame([(key[0], before + 1, now, filed, escalated, now - before - filed - escalated)], columns=["signature", "first", "last", "filed", "escalated", "deduped"])
+
+    return findings.select("signature", F.lit(1).alias("n")).groupBy("signature").applyInPandasWithState(
+        update, "signature string, first long, last long, filed int, escalated int, deduped long", "n long", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def stop_when(query: StreamingQuery, wanted: Callable[[], bool], every: float = 1.0) -> bool:
+    """Wait for a query, and stop it between batches as soon as ``wanted`` says so; whether it was stopped."""
+    while not query.awaitTermination(every):
+        if wanted():
+            query.stop()
+            return True
+    return False
+
+
 def upserts(findings: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand each batch to ``merge`` once, with its number, so that a repeated batch can be told."""
     return findings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -72,8 +79,12 @@ class Progress(StreamingQueryListener):
         self.say(f"{event.id}: {'failed' if event.exception else 'ended'}")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, and return its result as a table in memory (for totals, which are small)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into a table at ``path``, and read it: the last batch of totals (``complete``), else all rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}" if mode == "append" else path)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path).select(stream.columns)

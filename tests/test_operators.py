@@ -363,7 +363,9 @@ def test_rollups(spark):
     assert {(r["term"], r["definition"]) for r in companion.glossary(digests).collect()} == {("T", "A"), ("b", "x")}
     assert [(r["name"], r["one_liner"]) for r in companion.entities(digests).collect()] == [("E", "A")]
     many = spark.range(25).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("idx"), F.array(F.lit("H")).alias("heading_path"), F.lit("t").alias("text"))
-    assert companion.merged_groups(companion.digests(many, d), above=1).count() == 3 and companion.merged_groups(companion.digests(many, d)).count() == 25
+    of = lambda above: companion.ordered_digests(companion.digests(many, d), above).first()["ds"]
+    assert [len(x["claims"]) for x in of(1)] == [0, 0, 0] and [x["summary"].count("t") for x in of(1)] == [10, 10, 5] and len(of(10**9)) == 25
+    assert companion.rollup(companion.digests(many, d), above=1).first()["rollup"]["executive_summary"].count("t") == 25
 
 
 def test_blocks_split(spark):

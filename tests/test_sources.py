@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.sources import epub, files, html
+from docmill.sources import epub, files, html, signals
 from docmill.streaming import ledger as streams
 
 PAGE = """<html><head><title>Site | A good long title</title><meta property="og:title" content="OG &amp; title"><meta name="author" content="Ann Lee"><meta name="keywords" content="beta, alpha">
@@ -113,9 +113,73 @@ def test_streams(spark, tmp_path):
     books.mkdir()
     book(books / "b.epub")
     parts = epub.members(streams.arriving_files(spark, str(books)))
-    assert streams.drain(parts.select("name"), "members", str(tmp_path / "c2")).count() == 4
-    out = streams.drain(streams.occurrences(stream), "occ", str(tmp_path / "c3")).collect()
-    assert sorted((r["signature"], r["occurrences"], r["outcome"]) for r in out) == [("a", 1, "filed"), ("a", 2, "escalated_hold"), ("b", 1, "filed")]
+    assert streams.drain(parts.select("name"), str(tmp_path / "members"), str(tmp_path / "c2")).count() == 4
+    counted = streams.occurrences(stream)
+    streams.drain(counted, str(tmp_path / "occ"), str(tmp_path / "c3"))
+    (src / "2.json").write_text("\n".join(json.dumps({"signature": s}) for s in "aaabc"))
+    out = streams.drain(counted, str(tmp_path / "occ"), str(tmp_path / "c3")).collect()
+    assert sorted(tuple(r) for r in out) == [("a", 1, 2, 1, 1, 0), ("a", 3, 5, 0, 0, 3), ("b", 1, 1, 1, 0, 0), ("b", 2, 2, 0, 1, 0), ("c", 1, 1, 1, 0, 0)]
+
+
+def test_a_stream_stops_when_asked(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    query = spark.readStream.schema("n int").json(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
+    asked = []
+    assert streams.stop_when(query, lambda: asked.append(1) or len(asked) > 1, every=0.2) and not query.isActive
+
+
+BLOG = """<article><h1><span>x</span><span data-br="1">A balanced title</span></h1><p>body text</p><section class="responses"><p>noise one</p></section>
+<div>Responses (3) <p>noise two</p></div><p>Thank you so much</p><div class="postMeta">9 followers 3 following</div><p>Subscribe here.</p><p>noise three</p></article>
+<div><a href="https://medium.com/@annlee">annlee</a> <a href="https://medium.com/@annlee">Ann Lee</a></div><span>4 min read</span><a href="/tag/data">Data</a><a href="/tag/data">Data</a><a href="/x?query=Hiring">Hiring</a><a href="/x?query=z">See all jobs</a>"""
+
+
+def test_blog_responses_go_and_signals_stay(spark):
+    pages = spark.createDataFrame([(1, "https://medium.com/@a/b", BLOG), (2, "https://other.org/b", BLOG), (3, None, None)], "page_id long, url string, html string")
+    parsed = html.parse_pages(pages)
+    got = {r["page_id"]: r for r in parsed.select("page_id", "markdown", "shown_title", signals.author().alias("a"), signals.minutes().alias("m"), signals.tags().alias("t")).collect()}
+    assert "body text" in got[1]["markdown"] and not any(x in got[1]["markdown"] for x in ("noise", "Thank you", "followers", "Subscribe"))
+    assert "noise one" in got[2]["markdown"] and "noise three" in got[2]["markdown"]
+    assert (got[1]["shown_title"], got[1]["a"], got[1]["m"], got[1]["t"]) == ("A balanced title", "Ann Lee", 4, ["Data", "Hiring"])
+    assert got[2]["a"] is None and got[3]["m"] is None and got[3]["t"] == []
+
+
+@pytest.mark.parametrize(("page", "name"), [
+    ('<li><img alt="Photo of Bo Chen"><span>Photo by</span><span>Bo Chen</span></li>', "Bo Chen"), ('<p class="authorName">Written by Kim Ode</p>', "Kim Ode"), ('<a href="/team/x">Lu Xun</a>', "Lu Xun"), ("<p>none</p>", None),
+])
+def test_author_signals(spark, page, name):
+    pages = spark.createDataFrame([(1, "http://a.org/", page)], "page_id long, url string, html string")
+    assert html.parse_pages(pages).select(signals.author()).first()[0] == name
+
+
+def test_contents_of_a_page():
+    marked = html.parse(1, None, '<h1>T</h1><div class="TOC"><a>One</a><a></a><a>Two</a></div><h2>U</h2>')[-1]
+    plain = html.parse(1, None, f"<h1>Out</h1><main><h2>In</h2><h3>{'x' * 200}</h3><h5>no</h5></main>")[-1]
+    assert [(c["text"], c["level"]) for c in marked] == [("One", 2), ("Two", 2)] and [(c["text"], c["level"]) for c in plain] == [("In", 2)]
+
+
+def test_bodies_beyond_the_limit(monkeypatch):
+    import gzip
+    import zlib
+
+    from docmill.sources import extras
+
+    monkeypatch.setattr(extras, "MOST_BODY", 1000)
+    for size, want in ((1000, b"a" * 1000), (1001, None), (100_000, None)):
+        assert extras.decoded(gzip.compress(b"a" * size), "gzip") == extras.decoded(zlib.compress(b"a" * size), "deflate") == want
+    assert extras.decoded(gzip.compress(b"abc" * 50)[:-12], "gzip") is None
+
+
+def test_files_and_versions(spark, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([("a.md", "ä"), ("b.md", None), (None, "x")], "file_name string, document string")
+    for _ in range(2):
+        assert [tuple(r) for r in files.write_files(rows, folder).collect()] == [("a.md", 2)]
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.md"] and (tmp_path / "out" / "a.md").read_text() == "ä"
+    ledger = f"file://{tmp_path}/ledger"
+    assert files.load_version(spark, ledger, "n long").count() == 0
+    for n in range(12):
+        files.save_version(files.load_version(spark, ledger, "n long").unionByName(spark.createDataFrame([(n,)], "n long")), ledger)
+    assert files.load_version(spark, ledger, "n long").count() == 12
 
 
 def test_entry_without_the_subpackage(tmp_path):
@@ -179,7 +243,7 @@ def test_progress_and_appended_runs(spark, tmp_path):
     spark.streams.addListener(listener)
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "1.json").write_text('{"n": 1}')
-    streams.drain(spark.readStream.schema("n int").json(str(tmp_path / "s")), "progress", str(tmp_path / "c"))
+    streams.drain(spark.readStream.schema("n int").json(str(tmp_path / "s")), str(tmp_path / "p"), str(tmp_path / "c"))
     spark.streams.removeListener(listener)
     runs = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "run int, ts int")
     ledger.append_runs(runs, str(tmp_path / "ledger"))
