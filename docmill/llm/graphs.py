@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.shared import save
+from docmill.llm.shared import discard, save
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,9 +34,11 @@ def components(links: DataFrame) -> DataFrame:
         )
         after = save(small, "links")
         digest = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest(after) == digest(edges):
-            break
+        done = digest(after) == digest(edges)
+        discard(edges)
         edges = after
+        if done:
+            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -36,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.shared import new_path, release, save
+from docmill.llm.shared import delete, discard, new_path, release, save
 from docmill.llm.textvec import SPACED, hash_words, slices, words
 
 #: Counts that are discounted.
 K = 5
 #: Tokens of a chunk, and of a part of the model.
 CHUNK_TOKENS, PART_TOKENS = 800_000, 1_500_000
+#: Text of a bucket of the chunk table, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
 #: A context that is seen this often, and one in so many tokens, has its pairs dealt to all parts by their second word.
 HOT_COUNT, HOT_SHARE = 500_000, 1_000_000
 END = np.uint64(0xE0D0C0B0A0908071)
@@ -148,8 +150,8 @@ def _chunk(ids: list, train: list[bool], texts: list[tuple[np.ndarray, np.ndarra
 CHUNKS = "chunk long, ids array<long>, train array<boolean>, lengths binary, vocabulary binary, counts binary, tokens binary, ranks binary, n_tokens long"
 
 
-def chunked(documents: DataFrame) -> DataFrame:
-    """The documents tokenised, as a table bucketed by chunk."""
+def chunked(documents: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """The documents tokenised, as the table ``name`` at ``path``, bucketed by chunk."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in CHUNKS.split(", ")]
@@ -176,11 +178,9 @@ def chunked(documents: DataFrame) -> DataFrame:
 
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(F.col("doc_id"))).alias("train"))
-    name = f"docmill_chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         rows.mapInArrow(cut, CHUNKS).write.bucketBy(buckets, "chunk").sortBy("chunk")
-        .option("path", new_path(spark, "katz-chunks")).mode("overwrite").saveAsTable(name)
+        .option("path", path).mode("overwrite").saveAsTable(name)
     )
     return spark.table(name)
 
@@ -190,6 +190,11 @@ def _borders(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
 
 
+def _tasks(df: DataFrame, parts: int) -> int:
+    """As many as there are parts, so that what a task reads doesn't grow with the corpus."""
+    return max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """One at a time, as each is large."""
     for i in range(len(batch)):
@@ -236,7 +241,7 @@ def count_words(chunks: DataFrame, parts: int) -> DataFrame:
         return _table([*out, model])
 
     asked = chunks.select("chunk", "vocabulary", "counts").mapInArrow(ask, "part int, chunk long, keys binary, counts binary")
-    return save(asked.groupBy("part").applyInArrow(merge, ANSWERS), "katz-words")
+    return save(asked.repartition(_tasks(asked, parts), "part").groupBy("part").applyInArrow(merge, ANSWERS), "katz-words")
 
 
 class Pairs:
@@ -283,9 +288,9 @@ def _numbers(row: dict, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([offsets[x["part"]] + np.cumsum(p) for x, p in zip(parts, places)])
 
 
-def _by_chunk(answers: DataFrame, *fields: str) -> DataFrame:
-    """The answers to a chunk together: as much as the chunk asked for."""
-    return answers.filter(F.col("chunk").isNotNull()).groupBy("chunk").agg(F.collect_list(F.struct("part", *fields)).alias("answers"))
+def _by_chunk(answers: DataFrame, buckets: int, *fields: str) -> DataFrame:
+    """The answers to a chunk together: as much as the chunk asked for; dealt as the chunks are."""
+    return answers.filter(F.col("chunk").isNotNull()).repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", *fields)).alias("answers"))
 
 
 def _codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -295,7 +300,7 @@ def _codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first << 31) | second
 
 
-def count_pairs(chunks: DataFrame, words_: DataFrame, unigrams: Unigrams, parts: int) -> DataFrame:
+def count_pairs(chunks: DataFrame, words_: DataFrame, unigrams: Unigrams, parts: int, buckets: int) -> DataFrame:
     """As count_words, for word pairs; ``deep`` and ``covered`` tell of each context how many continuations it
     has of each count up to K and how much of P(w) these and all others take. Rows with a ``hot_key`` hold
     a part's share of that for a frequent context."""
@@ -347,11 +352,11 @@ def count_pairs(chunks: DataFrame, words_: DataFrame, unigrams: Unigrams, parts:
         return _table([*out, model])
 
     asked = (
-        chunks.join(_by_chunk(words_, "counts", "keys").hint("shuffle_hash"), "chunk")
+        chunks.join(_by_chunk(words_, buckets, "counts", "keys").hint("shuffle_hash"), "chunk")
         .select("chunk", "train", "lengths", "vocabulary", "tokens", "ranks", "answers")
         .mapInArrow(ask, "part int, chunk long, keys binary, sizes binary, seconds binary, counts binary, known binary")
     )
-    return save(asked.groupBy("part").applyInArrow(merge, ANSWERS), "katz-pairs")
+    return save(asked.repartition(_tasks(asked, parts), "part").groupBy("part").applyInArrow(merge, ANSWERS), "katz-pairs")
 
 
 def backoff_weights(d: np.ndarray, total: np.ndarray, deep: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -397,7 +402,10 @@ def pair_probability(row: dict, unigrams: Unigrams, d: np.ndarray, begins: np.nd
 def score_documents(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     spark = documents.sparkSession
-    chunks = chunked(documents)
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES), MOST_BUCKETS)
+    name, path = f"docmill_chunks_{uuid.uuid4().hex}", new_path(spark, "katz-chunks")
+    chunks = chunked(documents, name, path, buckets)
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-tokens // PART_TOKENS))
     stats = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "total", *_STATS)]
@@ -405,7 +413,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     s = words_.agg(*stats).first()
     sizes = {r["part"]: r["words"] for r in words_.filter(F.col("words").isNotNull()).select("part", "words").collect()}
     unigrams = Unigrams(s["total"], [s[n] for n in _STATS], s["seen"], sizes)
-    pairs_ = count_pairs(chunks, words_, unigrams, parts)
+    pairs_ = count_pairs(chunks, words_, unigrams, parts, buckets)
     s = pairs_.filter(F.col("hot_key").isNull()).agg(*stats).first()
     d = discounts([s[n] for n in _STATS])
     total, distinct, begins = unigrams.total, unigrams.seen, _borders(parts)
@@ -431,10 +439,14 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 )
 
     whole = (
-        chunks.join(_by_chunk(words_, "counts", "keys").hint("shuffle_hash"), "chunk")
-        .join(_by_chunk(pairs_, "counts", "deep", "covered").withColumnRenamed("answers", "pair_answers").hint("shuffle_hash"), "chunk")
+        chunks.join(_by_chunk(words_, buckets, "counts", "keys").hint("shuffle_hash"), "chunk")
+        .join(_by_chunk(pairs_, buckets, "counts", "deep", "covered").withColumnRenamed("answers", "pair_answers").hint("shuffle_hash"), "chunk")
         .select("ids", "train", "lengths", "vocabulary", "tokens", "ranks", "answers", "pair_answers")
     )
-    return whole.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double").select(
+    scored = save(whole.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, path)
+    discard(words_, pairs_)
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -18,7 +18,8 @@ the link graph are returned, without expanding copies or groups into all their p
    pairs; the components are then computed again.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; fewer words than a
-shingle form one shingle; repeated rows (of one doc_id, which must be copies) are one document; rows
+shingle form one shingle; repeated rows of one doc_id are one document, and where their texts differ, the one that is
+last by code point is compared and kept, while each row has its own n_shingles; rows
 without doc_id are linked with nothing; an empty table gives no rows; further columns are ignored.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm.graphs import components
-from docmill.llm.shared import release, save, trimmed
+from docmill.llm.shared import discard, release, save, trimmed
 from docmill.llm.textvec import SPACED, hash_runs, hash_words, slices, words
 
 BANDS, ROWS = 32, 5
@@ -189,7 +190,7 @@ def _candidate_texts(documents: DataFrame, members: DataFrame) -> DataFrame:
     The ids are never broadcast, as they grow with the data.
     """
     ids = members.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
-    return documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    return documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -316,26 +317,28 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     every = full.select("doc_id", "n_shingles", "print")
     sets = every.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     found = save(
-        sets.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "neardup-sets"
+        sets.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "neardup-sets"
     )
     minima = full.filter(F.col("minima").isNotNull()).select(F.col("doc_id").alias("rep"), "minima")
-    signed = found.select("rep", "n_shingles").join(minima.dropDuplicates(["rep"]), "rep")
+    signed = found.select("rep", "n_shingles").join(minima.groupBy("rep").agg(F.max("minima").alias("minima")), "rep")
     band = lambda i: F.xxhash64(i, F.substr("minima", i * (4 * ROWS) + 1, F.lit(4 * ROWS)))
     buckets = signed.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
     buckets = save(buckets, "neardup-bands")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    members = save(buckets.join(shared, "bucket"), "neardup-buckets")
+    shared_buckets = members = save(buckets.join(shared, "bucket"), "neardup-buckets")
     central = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     pivots = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("meets", "rep"))["rep"].alias("pivot"))
     members = save(members.join(pivots, "bucket").select("bucket", "rep", "pivot"), "neardup-members")
     texts = save(_candidate_texts(documents, members), "neardup-texts")
     pairs = members.filter(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = save(_prune(save(pairs, "neardup-stars"), signed, threshold), "neardup-pairs")
+    stars = save(pairs, "neardup-stars")
+    tried = save(_prune(stars, signed, threshold), "neardup-pairs")
     links = save(_verify(tried, texts, n, percent), "neardup-links")
     labels = save(components(links), "neardup-labels")
     more = save(_open_links(members, labels, found, texts, n, percent), "neardup-links")
     if more.take(1):
         labels = save(components(links.unionByName(more)), "neardup-labels")
+    discard(buckets, shared_buckets, members, texts, stars, tried, links, more)
     named = found.select("print", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return (
@@ -349,4 +352,6 @@ def deduplicate(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     """The documents, all columns, with one of each group of near-duplicates."""
     kept = near_duplicates(documents, n, percent).filter("kept").select("doc_id").distinct()
     named = documents.join(kept.filter(F.col("doc_id").isNotNull()).hint("shuffle_hash"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(documents.filter(F.col("doc_id").isNull())).select(*documents.columns)
+    # Of rows that share a doc_id, the text that is last by code point.
+    one = named.groupBy("doc_id").agg(F.max_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return one.unionByName(documents.filter(F.col("doc_id").isNull()))

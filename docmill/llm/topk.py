@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.shared import save
+from docmill.llm.shared import discard, save
 
 SAMPLE, PIVOTS, ROUNDS = 4096, 64, 8
 #: Vectors for which a pivot gets one more annulus, the most annuli of a pivot, and the most vectors or queries of a cell.
@@ -238,5 +238,7 @@ def top_k(embeddings: DataFrame, k: int = 20, scale: int = 64, asks: Column | No
         asked = as_rows(visits, True, F.col("least")).join(blocks, ["ring", "part"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
         homes = as_rows(cells, False, low).join(blocks, ["ring", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         later = asked.unionByName(homes).drop("blocks").groupBy("ring", "part", "block").applyInArrow(search, result)
-        found = save(best(found.unionByName(later)).select("query_id", "vec_id", "score"), "topk-found")
+        before, found = found, save(best(found.unionByName(later)).select("query_id", "vec_id", "score"), "topk-found")
+        discard(before, visits)
+    discard(rows, placed, ringed, asking)
     return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

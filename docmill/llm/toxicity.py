@@ -46,7 +46,7 @@ CODE, GAIN, LEVEL, TABLE_BITS = 16, 7, 3, 21
 #: Bytes of either dictionary at most. The toxic one holds the more frequent words alone, most of which the ordinary one holds too.
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 20, 64 << 10
 #: COVER's pieces, their hashed parts and the bits of the hash, and windows that make room for a header.
-PIECE, PART, PART_BITS, FILLER = CODE, 8, 22, 64
+PIECE, PART, PART_BITS, FILLER = CODE, 8, 22, 32
 #: Rows of the overall share that smooth a step of the calibration.
 PRIOR = 1.0
 THRESHOLD = 0.7
@@ -75,10 +75,12 @@ def train_dictionary(hashes: np.ndarray, most: int) -> bytes:
 
     Each window is a sample of its own, and they are shuffled, as the trainer takes one piece from each stretch in
     turn and stops after some that add nothing, such as copies. What it takes first it puts last, where it then cuts
-    off as much as its header needs; ``FILLER`` windows, more frequent than any word, are there to be cut.
+    off as much as its header needs if the dictionary is full; ``FILLER`` windows, more frequent than any word, are
+    there to be cut.
     """
-    _, times = np.unique(hashes, return_counts=True)
-    filler = np.repeat(mix64(np.arange(1, FILLER + 1, dtype=np.uint64)), int(times.max(initial=0)) * 3 // 2 + 16)
+    distinct, times = np.unique(hashes, return_counts=True)
+    full = (len(distinct) + FILLER) * CODE > most
+    filler = np.repeat(mix64(np.arange(1, FILLER + 1, dtype=np.uint64)), int(times.max(initial=0)) * 3 // 2 + 16 if full else 0)
     every = np.random.default_rng(len(hashes)).permutation(np.concatenate([hashes, filler]))
     windows = codes(every)
     samples = [windows[i : i + CODE] for i in range(0, len(windows), CODE)]
