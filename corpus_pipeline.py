@@ -2,6 +2,11 @@
 
 ``run`` applies them in turn and cuts the lineage between them by written tables. All stages but the last return the
 columns of ``documents``; the last adds each document's shard.
+
+Defined cases, beside those of the operators: a null or empty text isn't toxic, has no near-duplicate and no benchmark
+window, and the mix, which takes words, leaves it out; rows without doc_id stay, as they are alike to nothing; rows that repeat a doc_id are one
+document from the second stage on, the one whose text is the last by code point; texts are taken whole, however long; columns that a
+stage adds for itself don't touch columns of the same name in ``documents``; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm import decontamination, mixing, neardup, sharding, toxicity
-from docmill.llm.shared import save, table
+from docmill.llm.shared import discard, save, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
