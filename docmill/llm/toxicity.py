@@ -26,6 +26,7 @@ more bytes than the sample of its class is scored but can't train; labels that d
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,7 +233,7 @@ def train_on(documents: DataFrame, labels: DataFrame) -> Model:
     )
     # Labels meet their documents before the draw, so that it is as large as it may be.
     there = documents.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
-    labelled = save(known.join(there, "doc_id").filter(F.col("size") <= SAMPLE_BYTES), "labelled")
+    labelled = save(known.join(there, "doc_id").filter(F.col("size") <= SAMPLE_BYTES).select("doc_id", "digest", "size", "toxic"), "labelled")
     many = {r["toxic"]: r["count"] for r in labelled.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     drawn = [
         labelled.filter(F.col("toxic") == c).orderBy("digest").limit(most)
@@ -243,14 +244,21 @@ def train_on(documents: DataFrame, labels: DataFrame) -> Model:
     sample = F.broadcast(sample.drop("so_far"))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
     texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(sample, "doc_id")
     one = texts.filter(F.octet_length("text") == F.col("size")).groupBy("doc_id", "toxic", "size", "digest").agg(F.max("text").alias("text"))
-    # By length, so that the calibration rows are of all lengths.
-    rows = one.orderBy(F.desc("size"), "digest").select("text", "toxic").toArrow()
-    toxic = rows.column("toxic").to_numpy().astype(np.int64)
     odds = many[True] / many[False] if len(many) == 2 else None
-    model = train(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), toxic, calibration_rows(toxic), odds)
-    del rows
-    release()
-    return model
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
+        toxic = rows.column("toxic").to_numpy().astype(np.int64)
+        texts = rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string())
+        model = train(texts, toxic, calibration_rows(toxic), odds)
+        del rows, texts
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # One task, as the sample is bounded. By length, so that the calibration rows are of all lengths.
+    rows = one.select("text", "toxic", "size", "digest").repartition(1).sortWithinPartitions(F.desc("size"), "digest").select("text", "toxic")
+    found = rows.mapInArrow(fitted, "model binary").collect()  # one row; none without a labelled text
+    return pickle.loads(found[0]["model"]) if found else Model(0.0)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

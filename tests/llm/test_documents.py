@@ -208,12 +208,10 @@ def test_toxicity_learns_from_long_texts_and_labels_that_have_a_document(spark,
 
 def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, late, odds: seen.append((texts.to_pylist(), toxic.tolist())))
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, late, odds: (texts.to_pylist(), toxic.tolist()))
     rows = [(k, "ä" * (600 if k == 3 else 50)) for k in range(60)]
     labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in rows], "doc_id long, quality int, toxic int")
-    toxicity.train_on(documents(spark, rows), labels)
-    (texts, toxic), = seen
+    texts, toxic = toxicity.train_on(documents(spark, rows), labels)
     assert set(texts) == {"ä" * 50} and sorted(toxic) == [0] * 10 + [1] * 10
 
 
