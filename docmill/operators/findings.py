@@ -42,10 +42,12 @@ def outcomes(merged: DataFrame, ledger: DataFrame, filed_today: int = 0, run_cap
     joined = merged.join(ledger.select("signature", "state", "label", F.col("occurrences").alias("before")), "signature", "left")
     known = F.coalesce(F.col("state") == "open", F.lit(False))
     marked = joined.withColumn("known", known).withColumn("occurrences", F.when(known, F.col("before") + 1).otherwise(F.lit(1)))
-    # New findings are ranked among themselves: few, as a run files no more than a handful, but ranked by a window over the run.
-    nth = F.row_number().over(Window.partitionBy("known").orderBy("seq"))
+    # The first new findings, as many as the caps leave, end with one row's seq; nothing is ranked over all rows.
     left = max(0, day_cap - filed_today)
-    new = F.when(nth > min(run_cap, left), F.lit("capped_run" if run_cap <= left else "capped_day")).otherwise(F.lit("filed"))
+    most = min(run_cap, left)
+    last = marked.filter(~F.col("known")).select("seq").orderBy("seq").limit(most).agg(F.max("seq").alias("last_filed"))
+    marked = marked.join(F.broadcast(last))  # one row
+    new = F.when(F.coalesce(F.col("seq") <= F.col("last_filed"), F.lit(False)), "filed").otherwise(F.lit("capped_run" if run_cap <= left else "capped_day"))
     held = F.when((F.col("occurrences") >= ESCALATES_AT) & (F.coalesce(F.col("label"), F.lit("")) != "hold"), "escalated_hold").otherwise("deduped")
     return marked.withColumn("outcome", F.when(F.col("known"), held).otherwise(new)).select("seq", "signature", "occurrences", "outcome")
 

@@ -6,6 +6,7 @@ The tables hold no Markdown, so most queries derive their input from them by an
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Callable
 from html import escape
@@ -855,19 +856,45 @@ def _distilled(spark, sf_dir):
     return docs, planned, companion.digests(planned)
 
 
-@query()
+def _first_words(path: list[str], text: str) -> str:
+    """A digest of a chunk's first words: SQL can make it too."""
+    w = [x for x in text.split(" ") if x][:9]
+    pairs = list(zip(w[0::2], w[1::2]))
+    return json.dumps({"summary": "s", "keywords": w, "terms": [{"term": a, "definition": b} for a, b in pairs], "entities": [{"name": a, "kind": "word", "one_liner": b} for a, b in pairs]})
+
+
+def _word_digests(spark, sf_dir) -> DataFrame:
+    return companion.digests(chunk_plan_flat(spark, sf_dir).withColumn("heading_path", F.array(F.lit("x"))), _first_words)
+
+
+_WORDS = f"""c AS ({ORACLE_SQL["chunk_plan_flat"]}),
+w AS (SELECT doc_id, idx, list_filter(string_split(text, ' '), lambda x: x <> '')[1:9] AS w FROM c),
+k AS (SELECT doc_id, idx, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM w),
+p AS (SELECT k.doc_id, k.idx, k.pos, k.x AS a, n.x AS b FROM k JOIN k n ON k.doc_id = n.doc_id AND k.idx = n.idx AND n.pos = k.pos + 1 WHERE k.pos % 2 = 1)"""
+
+
+@query(rf"""WITH {_WORDS},
+s AS (SELECT doc_id, idx, pos, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM k),
+f AS (SELECT doc_id, lower(x) AS l, arg_min(x, [idx, pos]) AS x, min([idx, pos]) AS place FROM s WHERE x <> '' GROUP BY doc_id, lower(x))
+SELECT doc_id, string_agg(x, ',' ORDER BY place) AS items FROM f GROUP BY doc_id
+""")
 def keyword_rollup(spark, sf_dir):
-    return companion.keywords(_distilled(spark, sf_dir)[2]).select("doc_id", F.array_join("items", ",").alias("items"))
+    return companion.keywords(_word_digests(spark, sf_dir)).select("doc_id", F.array_join("items", ",").alias("items"))
 
 
-@query()
+@query(rf"""WITH {_WORDS},
+s AS (SELECT doc_id, idx, pos, regexp_replace(a, '^\s+|\s+$', '', 'g') AS term, regexp_replace(b, '^\s+|\s+$', '', 'g') AS definition FROM p)
+SELECT doc_id, term, arg_min(definition, [idx, pos]) AS definition FROM s WHERE term <> '' GROUP BY doc_id, term
+""")
 def glossary(spark, sf_dir):
-    return companion.glossary(_distilled(spark, sf_dir)[2])
+    return companion.glossary(_word_digests(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_WORDS}
+SELECT doc_id, arg_min(a, [idx, pos]) AS name, 'word' AS kind, arg_min(b, [idx, pos]) AS one_liner FROM p GROUP BY doc_id, lower(a)
+""")
 def entity_index(spark, sf_dir):
-    return companion.entities(_distilled(spark, sf_dir)[2]).select("doc_id", "name", "kind", "one_liner")
+    return companion.entities(_word_digests(spark, sf_dir)).select("doc_id", "name", "kind", "one_liner")
 
 
 @query()
