@@ -42,7 +42,7 @@ from docmill.llm.textvec import SPACED, hash_words, slices, words
 #: Counts that are discounted.
 K = 5
 #: Tokens of a chunk, and of a part of the model.
-CHUNK_TOKENS, PART_TOKENS = 800_000, 1_500_000
+CHUNK_TOKENS, PART_TOKENS = 600_000, 1_000_000
 #: Text of a bucket of the chunk table, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
 #: A context that is seen this often, and one in so many tokens, has its pairs dealt to all parts by their second word.
