@@ -310,7 +310,18 @@ def precheck_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), recommendation.alias("recommendation"))
 
 
-@query()
+@query(rf"""
+WITH b AS (SELECT doc_id, {_BOOK} AS b FROM documents), t AS (SELECT doc_id, b, list_transform(string_split(b, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS t FROM b),
+c AS (SELECT doc_id, len(t) AS lines, len(list_filter(t, lambda x: starts_with(x, '#'))) AS headings, (length(b) - length(replace(b, '``{{=html}}', ''))) // 9 AS html_blocks, len(list_filter(t, lambda x: contains(x, '{{.calibre') AND starts_with(x, '['))) AS calibre_markers,
+  len(list_filter(t, lambda x: length(x) > 10 AND upper(x) = x AND lower(x) <> x AND NOT starts_with(x, '#'))) AS caps_lines, len(regexp_extract_all(b, '(?m)^\[\]\{{#[^}}\s]+\}}[ \t]*$')) AS anchor_markers,
+  (length(b) - length(replace(b, 'role=', ''))) // 5 AS role_attrs, len(regexp_extract_all(b, '\[[^\]]+\]\{{[^}}]+\}}')) AS bracket_classes FROM t),
+i AS (SELECT *, lines > 1000 AND headings = 0 AS none, lines > 1000 AND headings BETWEEN 1 AND 9 AS few, calibre_markers > 50 AS styled, anchor_markers >= 3 AS anchored FROM c),
+p AS (SELECT *, [CASE WHEN none AND styled THEN 15 END, CASE WHEN none AND NOT styled AND anchored THEN 15 END, CASE WHEN none AND NOT styled AND NOT anchored AND caps_lines > 30 THEN 30 END, CASE WHEN none AND NOT styled AND NOT anchored AND caps_lines <= 30 THEN 40 END,
+  CASE WHEN few THEN 20 END, CASE WHEN html_blocks > 200 THEN 25 END, CASE WHEN html_blocks BETWEEN 101 AND 200 THEN 15 END, CASE WHEN role_attrs > 50 THEN 10 END, CASE WHEN bracket_classes > 500 THEN 10 END] AS prices FROM i)
+SELECT doc_id, CAST(lines AS BIGINT) AS lines, CAST(headings AS BIGINT) AS headings, CAST(html_blocks AS BIGINT) AS html_blocks, CAST(calibre_markers AS BIGINT) AS calibre_markers, CAST(caps_lines AS BIGINT) AS caps_lines, CAST(anchor_markers AS BIGINT) AS anchor_markers,
+  CAST(role_attrs AS BIGINT) AS role_attrs, CAST(bracket_classes AS BIGINT) AS bracket_classes, greatest(0, 100 - coalesce(list_sum(prices), 0))::DOUBLE AS score, CAST(len(list_filter(prices, lambda x: x IS NOT NULL)) AS INTEGER) AS n_issues,
+  CASE WHEN coalesce(list_sum(prices), 0) <= 30 THEN 'proceed' ELSE 'skip' END AS recommendation FROM p
+""")
 def precheck_documents(spark, sf_dir):
     counts = md.precheck_counts(_book())
     score, issues, recommendation = md.precheck(counts)
@@ -740,9 +751,15 @@ def metadata_merge(spark, sf_dir):
     return html.metadata(html.parse_pages(pages)).select("page_id", "title", "source_name")
 
 
-@query()
+@query(r"""
+WITH w AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, list_transform(regexp_extract_all(regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1), '[A-Za-z]{3,12}'), lambda x, i: {'x': x, 'i': i}) AS w FROM pages)
+SELECT page_id, array_to_string(list_transform(list_filter(w, lambda p: p.i % 3 <> 0 AND list_position(list_transform(w, lambda q: CASE WHEN q.i % 3 <> 0 THEN q.x ELSE '' END), p.x) = p.i AND NOT regexp_matches(lower(p.x), 'pixel|1x1')), lambda p: base || '/i/' || p.x || '.png'), ' ') AS urls FROM w
+""")
 def page_images(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit('<img src="/a.png" alt="A"><img src="/a.png"><img src="/pixel.gif"><img data-src="b.jpg" width="20">')))
+    """Pages with an image for each word of their first notice, every third too small; each address once."""
+    words = F.regexp_extract_all(F.regexp_extract("html", '(?is)<div class="ad">(.*?)</div>', 1), F.lit("([A-Za-z]{3,12})"), 1)
+    images = F.array_join(F.transform(words, lambda x, i: F.concat(F.lit('<img src="/i/'), x, F.when(i % 3 == 2, '.png" width="20">').otherwise('.png"><img src="/pixel.gif">'))), "")
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", images))
     return html.parse_pages(pages).select("page_id", F.array_join(F.transform(html.content_images(), lambda i: i["url"]), " ").alias("urls"))
 
 
@@ -897,7 +914,20 @@ def entity_index(spark, sf_dir):
     return companion.entities(_word_digests(spark, sf_dir)).select("doc_id", "name", "kind", "one_liner")
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '')) AS n, contains(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, lines, CASE WHEN lines THEN string_split(text, chr(10)) ELSE string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS p FROM d WHERE n > 500),
+w AS (SELECT *, list_transform(p, lambda x: CAST(len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) AS BIGINT)) AS w FROM p),
+f AS (SELECT *, list_reduce(list_transform(w, lambda x: {'held': x, 'bin': 0::BIGINT, 'out': [0::BIGINT]}), lambda a, x: CASE WHEN a.held + x.held > 500
+  THEN {'held': x.held, 'bin': a.bin + 1, 'out': list_append(a.out, a.bin + 1)} ELSE {'held': a.held + x.held, 'bin': a.bin, 'out': list_append(a.out, a.bin)} END).out AS bins FROM w),
+r AS (SELECT doc_id, lines, unnest(p) AS p, unnest(bins) AS bin, generate_subscripts(p, 1) AS i FROM f),
+g AS (SELECT doc_id, lines, bin, CASE WHEN lines THEN string_agg(p, chr(10) ORDER BY i) ELSE string_agg(p, ' ' ORDER BY i) END AS piece FROM r GROUP BY doc_id, lines, bin),
+k AS (SELECT *, list_filter(regexp_split_to_array(piece, '\s+'), lambda y: y <> '') AS w FROM g),
+s AS (SELECT doc_id, bin, unnest(CASE WHEN NOT lines AND len(w) > 500 THEN list_transform(range(0, (len(w) - 1) // 500 + 1), lambda i: array_to_string(w[i * 500 + 1:i * 500 + 500], ' ')) ELSE [piece] END) AS piece,
+  unnest(range(0, CASE WHEN NOT lines AND len(w) > 500 THEN (len(w) - 1) // 500 + 1 ELSE 1 END)) AS j FROM k)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bin, j) - 1 AS INTEGER) AS pos, piece FROM s
+UNION ALL SELECT doc_id, 0, text FROM d WHERE n <= 500
+""")
 def split_block(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(companion.split_block(F.col("text"))).alias("pos", "piece"))
 
