@@ -203,8 +203,21 @@ PROMOTION = (
 )
 
 
+#: Strings of which a text that any of these patterns fits holds one, in lower case.
+PROMOTION_SIGNS = (
+    "#", "do you have", "join our contributor", "we want to hear from you", "response", "subscribe", "people", "work with the best", "bravo!", "well said", "thank you", "i appreciate", "i agree", "i love", "i very much",
+)
+
+
 def without_promotion(md: Column) -> Column:
     """Up to the first line that begins promotion, unless less than half of the lines were left."""
+    low, possible = F.lower(md), F.lit(False)
+    for sign in PROMOTION_SIGNS:
+        possible = possible | F.contains(low, F.lit(sign))
+    return F.when(possible, _cut_at_promotion(md)).otherwise(md)
+
+
+def _cut_at_promotion(md: Column) -> Column:
     lines = F.split(md, "\n", -1)
     hit = F.array_position(F.transform(lines, lambda x: strip(x).rlike("(?i)" + "|".join(f"(?:{p})" for p in PROMOTION))), True)
     return F.when((hit > 0) & (hit - 1 >= F.size(lines) * 0.5), F.array_join(F.slice(lines, F.lit(1), (hit - 1).cast("int")), "\n")).otherwise(md)
@@ -224,9 +237,9 @@ def clean_for_retrieval(md: Column, keep_tables: bool = True) -> Column:
     noise = lambda x: noise_line(x) & ~x.rlike(r"\A\s*(?:\|.*\||[\s:|-]*---[\s:|-]*)\s*\z") if keep_tables else noise_line(x)
     md = F.array_join(F.filter(F.split(md, "\n", -1), lambda x: ~noise(x)), "\n")
     md = F.regexp_replace(md, r"\n{3,}", "\n\n")
-    md = F.array_join(F.transform(F.split(md, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")), "\n")
     md = _rewrite(
         md,
+        (r"(?U)[\s&&[^\n]]++(?=\n|\z)", ""),
         (r"([^\n])\n(#{1,6}\s)", "$1\n\n$2"),
         (r"(?md)^#{1,6}[ \t]*$", ""),
         (r"\[([^\]]+)\]\(\s*\)", "$1"),
