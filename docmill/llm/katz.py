@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.shared import delete, discard, new_path, release, save
+from docmill.llm.shared import delete, discard, new_path, release, save, trimmed
 from docmill.llm.textvec import SPACED, hash_words, slices, words
 
 #: Counts that are discounted.
@@ -190,9 +190,9 @@ def _borders(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
 
 
-def _tasks(df: DataFrame, parts: int) -> int:
-    """As many as there are parts, so that what a task reads doesn't grow with the corpus."""
-    return max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """By ``key`` into ``n`` partitions if that is more than shuffles have, so that what a task reads doesn't grow with the corpus."""
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -238,10 +238,11 @@ def count_words(chunks: DataFrame, parts: int) -> DataFrame:
             for r, a, b in zip(rows, cuts[:-1], cuts[1:])
         ]
         model = _answer(rows[0]["part"], None, keys=every.tobytes(), counts=squeeze(counts), words=len(every), **_count_stats(counts))
+        release()
         return _table([*out, model])
 
-    asked = chunks.select("chunk", "vocabulary", "counts").mapInArrow(ask, "part int, chunk long, keys binary, counts binary")
-    return save(asked.repartition(_tasks(asked, parts), "part").groupBy("part").applyInArrow(merge, ANSWERS), "katz-words")
+    asked = chunks.select("chunk", "vocabulary", "counts").mapInArrow(trimmed(ask), "part int, chunk long, keys binary, counts binary")
+    return save(_dealt(asked, parts, "part").groupBy("part").applyInArrow(merge, ANSWERS), "katz-words")
 
 
 class Pairs:
@@ -290,7 +291,7 @@ def _numbers(row: dict, offsets: np.ndarray) -> np.ndarray:
 
 def _by_chunk(answers: DataFrame, buckets: int, *fields: str) -> DataFrame:
     """The answers to a chunk together: as much as the chunk asked for; dealt as the chunks are."""
-    return answers.filter(F.col("chunk").isNotNull()).repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", *fields)).alias("answers"))
+    return _dealt(answers.filter(F.col("chunk").isNotNull()), buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", *fields)).alias("answers"))
 
 
 def _codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -354,9 +355,9 @@ def count_pairs(chunks: DataFrame, words_: DataFrame, unigrams: Unigrams, parts:
     asked = (
         chunks.join(_by_chunk(words_, buckets, "counts", "keys").hint("shuffle_hash"), "chunk")
         .select("chunk", "train", "lengths", "vocabulary", "tokens", "ranks", "answers")
-        .mapInArrow(ask, "part int, chunk long, keys binary, sizes binary, seconds binary, counts binary, known binary")
+        .mapInArrow(trimmed(ask), "part int, chunk long, keys binary, sizes binary, seconds binary, counts binary, known binary")
     )
-    return save(asked.repartition(_tasks(asked, parts), "part").groupBy("part").applyInArrow(merge, ANSWERS), "katz-pairs")
+    return save(_dealt(asked, parts, "part").groupBy("part").applyInArrow(merge, ANSWERS), "katz-pairs")
 
 
 def backoff_weights(d: np.ndarray, total: np.ndarray, deep: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -443,7 +444,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
         .join(_by_chunk(pairs_, buckets, "counts", "deep", "covered").withColumnRenamed("answers", "pair_answers").hint("shuffle_hash"), "chunk")
         .select("ids", "train", "lengths", "vocabulary", "tokens", "ranks", "answers", "pair_answers")
     )
-    scored = save(whole.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
+    scored = save(whole.mapInArrow(trimmed(score), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
     spark.sql(f"DROP TABLE {name}")
     delete(spark, path)
     discard(words_, pairs_)
