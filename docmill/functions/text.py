@@ -6,6 +6,8 @@ Regular expressions follow one convention: ``(?md)`` where lines matter, so that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -274,8 +276,21 @@ def signature(category: Column, systemic: Column, title: Column) -> Column:
     return F.left(F.sha2(basis.cast("binary"), 256), F.lit(16))
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: an expression that stands in a lambda is otherwise made again for each element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def keep_order_distinct(items: Column) -> Column:
-    """Without blanks and repetitions of any case; the first spelling stays."""
-    clean = F.filter(F.transform(items, strip), lambda x: x != "")
-    keys = F.transform(clean, F.lower)
-    return F.transform(F.filter(F.arrays_zip(clean.alias("item"), keys.alias("key"), F.transform(keys, lambda k, i: F.array_position(keys, k) == i + 1).alias("first")), lambda z: z["first"]), lambda z: z["item"])
+    """Without blanks and repetitions of any case; the first spelling stays.
+
+    Spellings are hashed and keys sorted with their places, so that a long list takes little more than its length.
+    """
+    clean = F.array_distinct(F.filter(F.transform(F.array_distinct(items), strip), lambda x: x != ""))
+
+    def firsts(spelled: Column) -> Column:
+        keyed = F.sort_array(F.transform(spelled, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("at"))))
+        places = lambda k: F.filter(k, lambda z, j: (j == 0) | (z["key"] != F.get(k, j - 1)["key"]))
+        return F.transform(F.sort_array(F.transform(bound(keyed, places), lambda z: z["at"])), lambda at: F.get(spelled, at))
+
+    return bound(clean, firsts)

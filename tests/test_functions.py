@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -87,6 +88,16 @@ def test_small_text_functions(spark):
     assert one(spark, tx.redact(F.lit("key k1 failed"), "k1")) == "key ••• failed"
 
 
+def test_distinct_in_order_takes_long_lists(spark):
+    """Twenty thousand spellings of ten thousand words take seconds; looking each up in the list took its square."""
+    begun = time.monotonic()
+    items = F.expr("transform(sequence(0, 19999), i -> if(i % 3 = 0, concat(' W', i % 10000), concat('w', i % 10000)))")
+    got = one(spark, tx.keep_order_distinct(items))
+    assert got == [f"{'W' if i % 3 == 0 else 'w'}{i}" for i in range(10_000)] and time.monotonic() - begun < 20
+    assert one(spark, tx.keep_order_distinct(F.array(*map(F.lit, ("b", None, "B"))))) == ["b"]
+    assert one(spark, tx.keep_order_distinct(F.lit(None).cast("array<string>"))) is None
+
+
 def test_retries(spark):
     df = spark.createDataFrame([(1, None), (2, 40.0), (3, 90.0), (4, None)], "n int, asked double")
     assert [r[0] for r in df.select(tx.backoff(F.col("n"), F.col("asked"))).collect()] == [2.0, 40.0, 60.0, None]
