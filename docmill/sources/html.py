@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docmill.functions import markdown as md
 from docmill.functions import text as tx
 from docmill.functions import urls
+from docmill.operators.batches import map_batches
 from docmill.sources import signals
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -299,13 +300,12 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [parse(*(c[i].as_py() for c in batch.columns)) for i in range(len(batch))]
-            columns = zip(*rows) if rows else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = [parse(*(c[i].as_py() for c in batch.columns)) for i in range(len(batch))]
+        columns = zip(*rows) if rows else [[]] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, PARSED)
+    return map_batches(pages.select("page_id", "url", "html"), run, PARSED)
 
 
 # -- columns over a parse ------------------------------------------------------------------------------------
