@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docmill.functions import markdown as md
 from docmill.functions import text as tx
 from docmill.functions import urls
+from docmill.operators.batches import BATCH_BYTES, map_batches
 from docmill.sources.html import _named
 
 MOST_BODY = 256 << 20
@@ -58,12 +59,18 @@ def decode_bodies(rows: DataFrame, key: str = "page_id") -> tuple[DataFrame, Dat
     """Rows (key, body binary, encoding) as (key, html), and the keys of those that can't be decoded."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [decoded(b, e) for b, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if b is None else b.decode("utf-8", "replace") for b in out], pa.string())], [key, "html"])
-
-    done = rows.select(key, "body", "encoding").mapInArrow(run, f"{key} {kind}, html string")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Bodies inflate to many times a batch's size, so that a piece goes out at ``BATCH_BYTES``."""
+        first, held, out = 0, 0, []
+        for n, (body, encoding) in enumerate(zip(batch.column(1), batch.column(2)), 1):
+            plain = decoded(body.as_py(), encoding.as_py())
+            out.append(None if plain is None else plain.decode("utf-8", "replace"))
+            held += len(plain or b"")
+            if held >= BATCH_BYTES or n == len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n - first), pa.array(out, pa.string())], [key, "html"])
+                first, held, out = n, 0, []
+
+    done = map_batches(rows.select(key, "body", "encoding"), run, f"{key} {kind}, html string")
     return done.filter(F.col("html").isNotNull()), done.filter(F.col("html").isNull()).select(key)
 
 
