@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
 from docmill.operators import evidence
+from docmill.operators.batches import map_batches
 from docmill.operators.chunks import bin_starts, slices
 from docmill.operators.lineage import cut
 
@@ -62,17 +63,16 @@ def digests(chunks: DataFrame, distiller: Distiller = extractive, key: str = "do
     """
     kind = chunks.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replies = []
-            for path, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                try:
-                    replies.append(distiller(path or [], text or ""))
-                except Exception:  # noqa: BLE001  a model's failure is this chunk's, not the job's
-                    replies.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(replies, pa.string())], [key, "idx", "heading_path", "reply"])
-
-    replies = chunks.select(key, "idx", "heading_path", "text").mapInArrow(run, f"{key} {kind}, idx int, heading_path array<string>, reply string")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        replies = []
+        for path, text in zip(batch.column(2).to_pylist(), batch.column(3)):
+            try:
+                replies.append(distiller(path or [], text.as_py() or ""))
+            except Exception:  # noqa: BLE001  a model's failure is this chunk's, not the job's
+                replies.append(None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(replies, pa.string())], [key, "idx", "heading_path", "reply"])
+
+    replies = map_batches(chunks.select(key, "idx", "heading_path", "text"), run, f"{key} {kind}, idx int, heading_path array<string>, reply string")
     return replies.select(key, "idx", "heading_path", *read_digest(F.col("reply")))
 
 
