@@ -6,6 +6,7 @@ Only unzipping is Python. The package file is read by XPath on local names, as p
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
+from docmill.operators.batches import BATCH_BYTES, map_batches
 from docmill.sources.html import main_content, to_markdown, tree
 
 CHAPTER_CHARS, TOTAL_CHARS = 24_000, 600_000
 CUT = "\n[… cut …]"
+CONTAINER, ROOT = "META-INF/container.xml", re.compile(r"full-path=\"([^\"]+)\"")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,24 +29,37 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def members(books: DataFrame) -> DataFrame:
-    """path, name, text of the text members of each archive (path, content)."""
-
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names, texts = [], []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
-                        for n in z.namelist():
-                            if n.lower().rsplit(".", 1)[-1] in ("xml", "opf", "ncx", "xhtml", "html", "htm"):
-                                names.append(n)
-                                texts.append(z.read(n).decode("utf-8", "replace"))
-                except (zipfile.BadZipFile, OSError, RuntimeError):
-                    continue
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(names)), pa.array(names), pa.array(texts)], ["path", "name", "text"])
-
-    return books.select("path", "content").mapInArrow(unzip, "path string, name string, text string")
+    """path, name, text of the text members of each archive (path, content), and whether the container names it as the package.
+
+    Whoever reads members several times should :func:`~docmill.operators.lineage.cut` them, as each reading unzips anew.
+    """
+
+    def opened(content: bytes) -> tuple[list[str], list[str]]:
+        names, texts = [], []
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for n in z.namelist():
+                    if n.lower().rsplit(".", 1)[-1] in ("xml", "opf", "ncx", "xhtml", "html", "htm"):
+                        names.append(n)
+                        texts.append(z.read(n).decode("utf-8", "replace"))
+        except (zipfile.BadZipFile, OSError, RuntimeError):
+            return [], []
+        return names, texts
+
+    def unzip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Members go out at ``BATCH_BYTES``, as archives hold many times their size."""
+        columns, held = ([], [], [], []), 0
+        for nth, (path, content) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1)), 1):
+            names, texts = opened(content.as_py() or b"")
+            root = next((m[1] for n, t in zip(names, texts) if n == CONTAINER and (m := ROOT.search(t))), None)
+            for column, some in zip(columns, ([path] * len(names), names, texts, [n == root for n in names])):
+                column.extend(some)
+            held += sum(map(len, texts))
+            if columns[0] and (held >= BATCH_BYTES or nth == len(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.bool_()))], ["path", "name", "text", "package"])
+                columns, held = ([], [], [], []), 0
+
+    return map_batches(books.select("path", "content"), unzip, "path string, name string, text string, package boolean")
 
 
 def _local(x: Column) -> Column:
@@ -54,9 +70,7 @@ def _local(x: Column) -> Column:
 
 def packages(parts: DataFrame) -> DataFrame:
     """path, opf_name, opf: each book's package file, found through its container file."""
-    root = F.regexp_extract("text", r"full-path=\"([^\"]+)\"", 1)
-    where = parts.filter(F.col("name") == "META-INF/container.xml").select("path", root.alias("name"))
-    return parts.join(where, ["path", "name"]).select("path", F.col("name").alias("opf_name"), _local(F.col("text")).alias("opf"))
+    return parts.filter("package").select("path", F.col("name").alias("opf_name"), _local(F.col("text")).alias("opf"))
 
 
 def metadata(opf: DataFrame) -> DataFrame:
@@ -77,10 +91,10 @@ def chapters(parts: DataFrame, opf: DataFrame, chapter_chars: int = CHAPTER_CHAR
     attrs = lambda p: F.xpath("opf", F.lit(p))
     item = "//*[local-name()='item'][@id and @href]"
     folder = F.regexp_extract("opf_name", r"\A(.*/)?", 1)
-    manifest = opf.select("path", folder.alias("folder"), F.explode(F.arrays_zip(attrs(item + "/@id").alias("id"), attrs(item + "/@href").alias("href"), F.transform(attrs(item + "/@media-type"), lambda x: x).alias("kind"))).alias("x"))
-    pages = manifest.select("path", "x.id", F.concat("folder", "x.href").alias("name"), "x.href", "x.kind").filter(F.col("kind").rlike("html"))
-    spine = opf.select("path", F.posexplode(attrs("//*[local-name()='itemref']/@idref")).alias("pos", "id"))
-    read = spine.join(pages, ["path", "id"]).join(parts, ["path", "name"])
+    items = F.arrays_zip(attrs(item + "/@id").alias("id"), attrs(item + "/@href").alias("href"), attrs(item + "/@media-type").alias("kind"))
+    spine = opf.select("path", folder.alias("folder"), items.alias("items"), F.posexplode(attrs("//*[local-name()='itemref']/@idref")).alias("pos", "id"))
+    listed = spine.select("path", "folder", "pos", F.explode(F.filter("items", lambda x: (x["id"] == F.col("id")) & x["kind"].rlike("html"))).alias("x"))
+    read = listed.select("path", "pos", F.concat("folder", "x.href").alias("name"), "x.href").join(parts, ["path", "name"])
     text = tx.squeeze(tx.unescape(tx.strip_html(F.col("text"))))
     own = read.select("path", "pos", "href", tx.html_title(F.col("text")).alias("title"), text.alias("text")).filter(F.col("text") != "")
     own = own.withColumn("text", F.when(F.length("text") > chapter_chars, F.concat(F.left("text", F.lit(chapter_chars)), F.lit(CUT))).otherwise(F.col("text"))).withColumn("char_count", F.length("text"))
@@ -102,12 +116,11 @@ def to_books(parts: DataFrame, opf: DataFrame) -> DataFrame:
     spine = opf.select("path", F.posexplode(attrs("//*[local-name()='itemref']/@idref")).alias("pos", "id"))
     read = spine.join(pages.select("path", "x.id", F.concat("folder", "x.href").alias("name")), ["path", "id"]).join(parts, ["path", "name"]).select("path", "pos", "text")
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [to_markdown(main_content(tree(t or ""))) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["path", "pos", "md"])
+    def convert(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = [to_markdown(main_content(tree(t.as_py() or ""))) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["path", "pos", "md"])
 
-    rows = read.mapInArrow(convert, "path string, pos int, md string").filter(F.col("md") != "")
+    rows = map_batches(read, convert, "path string, pos int, md string").filter(F.col("md") != "")
     return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "md"))), lambda x: x["md"]), "\n\n").alias("markdown"))
 
 

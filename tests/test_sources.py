@@ -1,3 +1,5 @@
+import gzip
+import io
 import json
 import os
 import subprocess
@@ -5,11 +7,12 @@ import sys
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.sources import epub, files, html, signals
+from docmill.sources import epub, extras, files, html, signals
 from docmill.streaming import ledger as streams
 
 PAGE = """<html><head><title>Site | A good long title</title><meta property="og:title" content="OG &amp; title"><meta name="author" content="Ann Lee"><meta name="keywords" content="beta, alpha">
@@ -248,3 +251,35 @@ def test_progress_and_appended_runs(spark, tmp_path):
     runs = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "run int, ts int")
     ledger.append_runs(runs, str(tmp_path / "ledger"))
     assert sorted(r["run"] for r in ledger.append_runs(runs.selectExpr("run + 3 AS run", "ts + 30 AS ts"), str(tmp_path / "ledger"), keep=4).collect()) == [3, 4, 5, 6]
+
+
+def test_python_steps_see_small_batches(spark):
+    """What a worker holds at once follows neither the partition nor 10,000 rows."""
+    from docmill.operators import chunks
+    from docmill.operators.batches import BATCH_BYTES, BATCH_CONF, map_batches
+
+    long = spark.range(0, 30, 1, 1).select(F.col("id").alias("page_id"), F.lit("http://a.b").alias("url"), F.repeat(F.lit("x"), 1_000_000).alias("html"))
+    sizes = lambda batch: iter([pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])])
+    assert max(r["n"] for r in map_batches(long, sizes, "n long").collect()) < BATCH_BYTES + 2_000_000
+    packed = spark.createDataFrame([(i, gzip.compress(b"y" * 3_000_000), "gzip") for i in range(6)], "page_id long, body binary, encoding string")
+    for step in (lambda: html.parse_pages(long), lambda: chunks.pack(long, 500, "html", "page_id"), lambda: extras.decode_bodies(packed)[0], lambda: epub.members(spark.createDataFrame([], "path string, content binary"))):
+        spark.conf.set(BATCH_CONF, 64 << 20)
+        step()
+        assert int(spark.conf.get(BATCH_CONF)) == BATCH_BYTES
+    assert [len(r["html"]) for r in extras.decode_bodies(packed)[0].orderBy("page_id").collect()] == [3_000_000] * 6
+
+
+def test_members_know_their_package(spark):
+    def book(container):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("META-INF/container.xml", container)
+            for n in ("a.opf", "b.opf"):
+                z.writestr(n, f"<package><metadata><title>{n}</title></metadata></package>")
+        return out.getvalue()
+
+    books = [("one", book('<rootfile full-path="b.opf"/>')), ("none", book("<x/>")), ("bad", b"no archive")]
+    parts = epub.members(spark.createDataFrame(books, "path string, content binary"))
+    assert [tuple(r) for r in epub.packages(parts).select("path", "opf_name").collect()] == [("one", "b.opf")]
+    plan = epub.packages(parts)._jdf.queryExecution().toString()
+    assert "Join" not in plan  # a package is found in its archive, so that no member is unzipped twice or shuffled
