@@ -166,17 +166,20 @@ def ordered_digests(d: DataFrame, above: int = GROUP_ABOVE_TOKENS, key: str = "d
 def split_block(text: Column, most: int = MOST_WORDS) -> Column:
     """Pieces of at most so many words, at lines if there are several, else at sentences; a longer sentence is cut."""
     words = lambda x: F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")).cast("long")
-    lines = F.size(F.split(text, "\n", -1)) > 1
-    parts = F.when(lines, F.split(text, "\n", -1)).otherwise(F.split(text, r"(?<=[.!?])\s+", -1))
-    bins = slices(parts, bin_starts(F.transform(parts, words), most))
-    pieces = F.transform(bins, lambda some: F.when(lines, F.array_join(some, "\n")).otherwise(F.array_join(some, " ")))
+
+    def at(parts: Column, sep: str) -> Column:
+        packed = lambda own: slices(own, bin_starts(F.transform(own, words), most))
+        return F.transform(tx.bound(parts, packed), lambda some: F.array_join(some, sep))
 
     def cut(p: Column) -> Column:
-        w = F.filter(F.split(p, r"(?U)\s+"), lambda x: x != "")
-        slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / most).cast("int")), lambda i: F.array_join(F.slice(w, i * most + 1, F.lit(most)), " "))
-        return F.when(~lines & (F.size(w) > most), slices).otherwise(F.array(p))
+        some = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / most).cast("int")), lambda i: F.array_join(F.slice(w, i * most + 1, F.lit(most)), " "))
+        return tx.bound(F.filter(F.split(p, r"(?U)\s+"), lambda x: x != ""), lambda w: F.when(F.size(w) > most, some(w)).otherwise(F.array(p)))
+
+    def pieces(own: Column) -> Column:
+        lines, sentences = at(F.split(own, "\n", -1), "\n"), F.flatten(F.transform(at(F.split(own, r"(?<=[.!?])\s+", -1), " "), cut))
+        return F.when(words(own) <= most, F.array(own)).when(F.contains(own, F.lit("\n")), lines).otherwise(sentences)
 
-    return F.when(words(text) <= most, F.array(text)).otherwise(F.flatten(F.transform(pieces, cut)))
+    return tx.bound(text, pieces)
 
 
 def footer(title: Column, author: Column, year: Column, loc: Column) -> Column:
