@@ -96,7 +96,8 @@ def chapters(parts: DataFrame, opf: DataFrame, chapter_chars: int = CHAPTER_CHAR
     listed = spine.select("path", "folder", "pos", F.explode(F.filter("items", lambda x: (x["id"] == F.col("id")) & x["kind"].rlike("html"))).alias("x"))
     read = listed.select("path", "pos", F.concat("folder", "x.href").alias("name"), "x.href").join(parts, ["path", "name"])
     text = tx.squeeze(tx.unescape(tx.strip_html(F.col("text"))))
-    own = read.select("path", "pos", "href", tx.html_title(F.col("text")).alias("title"), text.alias("text")).filter(F.col("text") != "")
+    # Exploded where there is text, as a filter on the text would be pushed down and make it a second time.
+    own = read.select("path", "pos", "href", tx.html_title(F.col("text")).alias("title"), F.explode(F.filter(F.array(text), lambda x: x != "")).alias("text"))
     own = own.withColumn("text", F.when(F.length("text") > chapter_chars, F.concat(F.left("text", F.lit(chapter_chars)), F.lit(CUT))).otherwise(F.col("text"))).withColumn("char_count", F.length("text"))
     before = F.coalesce(F.sum("char_count").over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return own.withColumn("before", before).filter(F.col("before") < total_chars).drop("before")
