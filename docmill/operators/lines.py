@@ -70,7 +70,7 @@ def breadcrumbs(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     up_to = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     free = F.col("state") == ""
-    level = F.when(free & F.col("line").rlike(HEADING), F.length(F.regexp_extract("line", HEADING, 1)))
+    level = F.when(free & F.col("line").startswith("#") & F.col("line").rlike(HEADING), F.length(F.regexp_extract("line", HEADING, 1)))
     out = lines.withColumn("level", level).withColumn("title", F.when(F.col("level").isNotNull(), strip(F.regexp_extract("line", HEADING, 2))))
     last = lambda n: F.last(F.when(F.col("level") == n, F.struct("line_no", "title")), ignorenulls=True).over(up_to)
     out = out.select("*", *[last(n).alias(f"h{n}") for n in range(1, 5)])
@@ -80,7 +80,7 @@ def breadcrumbs(lines: DataFrame, key: str = "doc_id") -> DataFrame:
         newest = F.greatest(F.lit(-1), F.lit(-1), *above)
         parts.append(F.when(F.col(f"h{n}.line_no") > newest, F.col(f"h{n}.title")))
     path = F.filter(F.array(*parts), lambda t: t.isNotNull())
-    page = 1 + F.sum((free & (strip(F.col("line")) == "---")).cast("int")).over(up_to)
+    page = 1 + F.sum((free & F.contains("line", F.lit("---")) & (strip(F.col("line")) == "---")).cast("int")).over(up_to)
     return out.select(key, "line_no", "line", "state", "level", "title", page.cast("int").alias("page"), path.alias("path"))
 
 
@@ -95,19 +95,19 @@ def regions(crumbs: DataFrame, key: str = "doc_id") -> DataFrame:
     Figures is one figure. Fences hold none.
     """
     order = Window.partitionBy(key).orderBy("line_no")
-    figures = F.exists(F.col("path"), lambda t: section_key(t) == "figures")
+    figures = F.exists(F.col("path"), lambda t: F.contains(F.lower(t), F.lit("figures")) & (section_key(t) == "figures"))
     kind = (
         F.when(F.col("state") == "fence", None)
         .when(figures, "figure")
         .when(F.col("state") == "table", "html")
         .when(F.col("state") == "figure", "figure")
-        .when(strip(F.col("line")).startswith("|"), "pipe")
+        .when(F.contains("line", F.lit("|")) & strip(F.col("line")).startswith("|"), "pipe")
     )
     marked = crumbs.withColumn("kind", kind).withColumn("section", figures)
     opens = (
         (F.col("kind") != F.coalesce(F.lag("kind").over(order), F.lit("")))
         | (F.col("section") != F.lag("section").over(order))
-        | (~F.col("section") & (F.lower(strip(F.col("line"))).rlike(r"\A<(table|figure)") & F.lag("line").over(order).rlike("(?i)</(table|figure)>")))
+        | (~F.col("section") & (F.contains("line", F.lit("<")) & F.lower(strip(F.col("line"))).rlike(r"\A<(table|figure)") & F.lag("line").over(order).rlike("(?i)</(table|figure)>")))
     )
     islands = marked.withColumn("island", F.sum(F.coalesce(opens, F.lit(True)).cast("int")).over(order)).filter(F.col("kind").isNotNull())
     return (
@@ -123,11 +123,13 @@ def regions(crumbs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def excise(crumbs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents with a placeholder in the place of each region."""
-    inside = found.select(key, F.explode(F.sequence("start", "stop")).alias("line_no"))
     first = F.split_part("raw", F.lit("\n"), F.lit(1))
-    marks = found.select(key, F.col("start").alias("line_no"), F.concat(F.lit("[TABLE: "), F.left(first, F.lit(PLACEHOLDER_CHARS)), F.lit(" … ]")).alias("line"))
-    kept = crumbs.select(key, "line_no", "line").join(inside, [key, "line_no"], "left_anti")
-    return from_lines(kept.unionByName(marks), key)
+    marks = found.select(key, F.col("start").alias("line_no"), F.concat(F.lit("[TABLE: "), F.left(first, F.lit(PLACEHOLDER_CHARS)), F.lit(" … ]")).alias("line"), "stop")
+    every = crumbs.select(key, "line_no", "line", F.lit(None).cast("int").alias("stop")).unionByName(marks)
+    # A line is in a region if one that has begun reaches it: lines and marks meet by their document alone, which brings them together once.
+    up_to = Window.partitionBy(key).orderBy("line_no", F.col("stop").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.coalesce(F.max("stop").over(up_to) >= F.col("line_no"), F.lit(False))
+    return from_lines(every.withColumn("inside", reached).filter(F.col("stop").isNotNull() | ~F.col("inside")), key)
 
 
 def numeral_inventory(documents: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
