@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docmill.functions.text import CONTROLS, count, is_upper, occurrences, strip, unescape
+from docmill.functions.text import CONTROLS, bound, count, is_upper, occurrences, strip, strip_bound, unescape
 
 HTML_BLOCK = "``{=html}"
 #: What is counted as an artefact, and what each costs per thousand lines.
@@ -381,13 +381,15 @@ def document_meta(front: Column, stem: Column) -> Column:
 
 def render_table(rows: Column) -> Column:
     """Markdown of array<array<string>>: the first row is the header, others are padded or cut to its width."""
-    cell = lambda c: strip(F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " "), F.lit("|"), F.lit("\\|")))
-    width = F.size(F.element_at(rows, 1))
+    plain = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    full = lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: cell(F.get(r, i)))
-    lines = F.transform(rows, lambda r: line(full(r)))
-    ruled = F.concat(F.slice(lines, 1, 1), F.array(line(F.array_repeat(F.lit("---"), width))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
-    return F.when((F.size(rows) >= 1) & (width > 0), F.array_join(ruled, "\n"))
+
+    def ruled(given: Column, width: Column) -> Column:
+        full = lambda r: F.transform(F.transform(F.sequence(F.lit(0), width - 1), lambda i: plain(F.get(r, i))), strip_bound)
+        under = lambda lines: F.concat(F.slice(lines, 1, 1), F.array(line(F.array_repeat(F.lit("---"), width))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
+        return F.when((F.size(given) >= 1) & (width > 0), F.array_join(bound(F.transform(given, lambda r: line(full(r))), under), "\n"))
+
+    return bound(rows, lambda given: bound(F.size(F.try_element_at(given, F.lit(1))), lambda width: ruled(given, width)))
 
 
 def conversion_score(md: Column, chars: Column, pages: Column, tables: Column) -> dict[str, Column]:

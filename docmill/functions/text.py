@@ -24,6 +24,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
 
 
+def strip_bound(x: Column) -> Column:
+    """:func:`strip` of a lambda's variable or a column: what begins and ends with a printable ASCII character isn't searched."""
+    return F.when(F.left(x, F.lit(1)).between("!", "~") & F.right(x, F.lit(1)).between("!", "~"), x).otherwise(strip(x))
+
+
 def squeeze(x: Column) -> Column:
     """Each run of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
