@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.text import academic_paper, strip
+from docmill.functions.text import academic_paper, bound, strip, strip_bound
 
 BOLD_FLAG = 16
 GAP, COLUMN_SHARE = 50, 0.3
@@ -34,7 +34,9 @@ def page_markdown(layout: DataFrame) -> DataFrame:
     lines = F.transform("b.lines", lambda line: F.array_join(F.transform(line["spans"], _span), ""))
     plain = F.array_join(F.transform("b.lines", lambda line: F.array_join(F.transform(line["spans"], lambda s: s["text"]), "")), " ")
     size = F.array_max(F.flatten(F.transform("b.lines", lambda line: F.transform(line["spans"], lambda s: s["size"]))))
-    texts = blocks.select("doc_id", "page", "pos", strip(F.array_join(lines, "\n")).alias("text"), strip(plain).alias("plain"), size.alias("size")).filter(F.col("text") != "")
+    # Exploded where there is text, as a filter on the text would be pushed down and make it a second time.
+    text = F.filter(F.array(bound(F.array_join(lines, "\n"), strip_bound)), lambda x: x != "")
+    texts = blocks.select("doc_id", "page", "pos", F.explode(text).alias("text"), bound(plain, strip_bound).alias("plain"), size.alias("size"))
     share = F.col("size") / F.max("size").over(Window.partitionBy("doc_id", "page"))
     uneven = F.min("size").over(Window.partitionBy("doc_id", "page")) < F.max("size").over(Window.partitionBy("doc_id", "page"))
     mark = F.when(~uneven, "").when(share >= 0.9, "# ").when(share >= 0.75, "## ").when(share >= 0.6, "### ").otherwise("")
