@@ -5,6 +5,9 @@ The order of the rewrites matters and is part of their meaning.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -218,15 +221,21 @@ def without_promotion(md: Column) -> Column:
 
 
 def _cut_at_promotion(md: Column) -> Column:
-    lines = F.split(md, "\n", -1)
-    hit = F.array_position(F.transform(lines, lambda x: strip(x).rlike("(?i)" + "|".join(f"(?:{p})" for p in PROMOTION))), True)
-    return F.when((hit > 0) & (hit - 1 >= F.size(lines) * 0.5), F.array_join(F.slice(lines, F.lit(1), (hit - 1).cast("int")), "\n")).otherwise(md)
+    def begins(x: Column) -> Column:
+        possible = lambda low: reduce(or_, [F.contains(low, F.lit(sign)) for sign in PROMOTION_SIGNS])
+        return bound(F.lower(x), possible) & strip_bound(x).rlike("(?i)" + "|".join(f"(?:{p})" for p in PROMOTION))
+
+    def cut(lines: Column) -> Column:
+        kept = lambda hit: F.when((hit > 0) & (hit - 1 >= F.size(lines) * 0.5), F.slice(lines, F.lit(1), (hit - 1).cast("int"))).otherwise(lines)
+        return F.array_join(bound(F.array_position(F.transform(lines, begins), True), kept), "\n")
+
+    return bound(F.split(md, "\n", -1), cut)
 
 
 def noise_line(line: Column) -> Column:
     """Five characters or more of which less than 30 % are ASCII letters and digits."""
-    size = F.length(strip(line))
-    return (size >= 5) & (F.regexp_count(line, F.lit("[a-zA-Z0-9]")) / size < 0.3)
+    noisy = lambda size: (size >= 5) & (F.regexp_count(line, F.lit("[a-zA-Z0-9]")) / size < 0.3)
+    return bound(F.length(strip_bound(line)), noisy)
 
 
 def clean_for_retrieval(md: Column, keep_tables: bool = True) -> Column:
