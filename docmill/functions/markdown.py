@@ -23,25 +23,30 @@ ARTIFACTS = {
     "xhtml_links": r"\[.*?\]\(#\d+_[^)]*\.xhtml[^)]*\)",
     "blockquote_divs": r"(?md)^> ::: \{\}$",
 }
+#: Strings that every artefact of a kind holds.
+ARTIFACT_SIGNS = {"header_ids": "{#", "citations": "{.biblioref", "image_attrs": "){", "bracket_classes": "]{", "xhtml_links": ".xhtml", "blockquote_divs": "> ::: {}"}
 PENALTIES = {"header_ids": 0.5, "html_blocks": 2.0, "citations": 0.2, "image_attrs": 0.1, "bracket_classes": 0.3, "xhtml_links": 0.1, "blockquote_divs": 0.05}
 HEADING = r"(?md)^#{1,6}\s+"
 GOOD_ENOUGH = 85.0
 
 
 def line_total(md: Column) -> Column:
-    return F.size(F.split(md, "\n", -1)).cast("long")
+    return occurrences(md, "\n") + 1
 
 
 def artifact_counts(md: Column) -> dict[str, Column]:
-    return {"line_count": line_total(md), "html_blocks": occurrences(md, HTML_BLOCK), **{k: count(md, p) for k, p in ARTIFACTS.items()}}
+    held = lambda k, p: F.when(~F.contains(md, F.lit(ARTIFACT_SIGNS[k])), F.lit(0).cast("long")).otherwise(count(md, p))
+    return {"line_count": line_total(md), "html_blocks": occurrences(md, HTML_BLOCK), **{k: held(k, p) for k, p in ARTIFACTS.items()}}
 
 
 def optimization_score(counts: dict[str, Column]) -> Column:
-    per_thousand = counts["line_count"] / F.lit(1000.0)
-    score = F.lit(100.0)
-    for name, price in PENALTIES.items():
-        score = score - counts[name] / per_thousand * price
-    return F.when(counts["line_count"] == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), score))
+    def of(lines: Column) -> Column:
+        score = F.lit(100.0)
+        for name, price in PENALTIES.items():
+            score = score - counts[name] / (lines / F.lit(1000.0)) * price
+        return F.when(lines == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), score))
+
+    return bound(counts["line_count"], of)
 
 
 def heading_total(md: Column) -> Column:
@@ -98,38 +103,43 @@ def precheck(c: dict[str, Column]) -> tuple[Column, Column, Column]:
     return score, issues, F.when(score >= 70, "proceed").otherwise("skip")
 
 
-def _rewrite(md: Column, *steps: tuple[str, str]) -> Column:
-    for pattern, to in steps:
-        md = F.regexp_replace(md, pattern, to)
+def _rewrite(md: Column, *steps: tuple[str, ...]) -> Column:
+    """Steps (pattern, replacement, a string that every match holds, if there is one): only texts with the string are searched."""
+
+    def step(pattern: str, to: str, sign: str):
+        return lambda x: F.when(F.contains(x, F.lit(sign)), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    for pattern, to, *sign in steps:
+        md = bound(md, step(pattern, to, *sign)) if sign else F.regexp_replace(md, pattern, to)
     return md
 
 
 def _without_html_blocks(md: Column) -> Column:
-    return F.array_join(F.filter(F.split(md, "\n", -1), lambda x: strip(x) != HTML_BLOCK), "\n")
+    return F.array_join(F.filter(F.split(md, "\n", -1), lambda x: ~F.contains(x, F.lit(HTML_BLOCK)) | (strip(x) != HTML_BLOCK)), "\n")
 
 
 def deep_clean(md: Column) -> Column:
     """Header attributes, HTML blocks, citations, image attributes, bracket classes, internal links, quote divs,
     empty headers, endnotes and section numbers, in this order."""
-    md = _rewrite(md, (r"(?md)^(#{1,6})\s+\[\]\{[^}]*\}(.+)$", "$1 $2"), (r"(?md)^(#{1,6}\s+.+?)\s*\{[^}]*\}.*$", "$1"))
+    md = _rewrite(md, (r"(?md)^(#{1,6})\s+\[\]\{[^}]*\}(.+)$", "$1 $2", "[]{"), (r"(?md)^(#{1,6}\s+.+?)\s*\{[^}]*\}.*$", "$1", "{"))
     return _rewrite(
         _without_html_blocks(md),
-        (r"\[\[([^\]]*)\]\(#[^)]*\)\{[^}]*\}\]", "[$1]"),
-        (r"(!\[[^\]]*\]\([^)]*\))\{[^}]*\}", "$1"),
-        (r"(\[[^\]]+\])\{[^}]+\}", "$1"),
-        (r"\[([^\]]*)\]\(#\d+_[^)]*\.xhtml[^)]*\)", "[$1]"),
-        (r"(?md)^> ::: \{\}$", ""),
-        (r"(?md)^> :::$", ""),
-        (r"(?md)^#{1,6}[ \t]*\[\][ \t]*$", ""),
-        (r"\[\\\[(\d+)\\\]\]\([^)]*\)\{[^}]*\}", "[$1]"),
-        (r"(?md)^(#{1,6}\s*)\[([\d.]+)\s*\]", "$1$2. "),
-        (r"\n{3,}", "\n\n"),
+        (r"\[\[([^\]]*)\]\(#[^)]*\)\{[^}]*\}\]", "[$1]", "](#"),
+        (r"(!\[[^\]]*\]\([^)]*\))\{[^}]*\}", "$1", "){"),
+        (r"(\[[^\]]+\])\{[^}]+\}", "$1", "]{"),
+        (r"\[([^\]]*)\]\(#\d+_[^)]*\.xhtml[^)]*\)", "[$1]", ".xhtml"),
+        (r"(?md)^> ::: \{\}$", "", "> ::: {}"),
+        (r"(?md)^> :::$", "", "> :::"),
+        (r"(?md)^#{1,6}[ \t]*\[\][ \t]*$", "", "[]"),
+        (r"\[\\\[(\d+)\\\]\]\([^)]*\)\{[^}]*\}", "[$1]", "[\\["),
+        (r"(?md)^(#{1,6}\s*)\[([\d.]+)\s*\]", "$1$2. ", "["),
+        (r"\n{3,}", "\n\n", "\n\n\n"),
     )
 
 
 def bold_heading(line: Column) -> Column:
     """A line that is bold as a whole becomes a heading if it looks like one."""
-    text = F.regexp_extract(line, r"\A\*\*([^*]+)\*\*\z", 1)
+    text = F.when(line.startswith("**"), F.regexp_extract(line, r"\A\*\*([^*]+)\*\*\z", 1)).otherwise("")
     caps = is_upper(text)
     first = F.left(text, F.lit(1))
     to = F.when(caps & (F.length(text) < 30), F.concat(F.lit("# "), text)).when(
@@ -145,35 +155,35 @@ def standard_clean(md: Column, compat: bool = False) -> Column:
     until = r"(?=^#[^#]|\z)" if compat else r"(?=^#{1,2}[^#]|\z)"
     md = _rewrite(
         md,
-        (r"(?md)^##\s+(?:Pages|Guide|Landmarks)\s*\n\n[\s\S]*?" + until, ""),
-        (r"\{\.[\w-]+\}", ""),
-        (r"(?md)^(#{1,6})\s+\[([^\]]+)\][ \t]*$", "$1 $2"),
-        (r"\\(['\"&])", "$1"),
-        (r"\[\]\{#[^}]+\}", ""),
-        (r"\{#[\w-]+\}", ""),
-        (r"(?md)^:{3,}.*$", ""),
-        (r"(?s)<div[^>]*>.*?</div>", "") if compat else (r"</?div[^>]*>", ""),
-        (r"(?s)<figure[^>]*>.*?</figure>", "[Image removed]"),
-        (r"!\[.*?\]\(\.?/images/[^)]+\)", "[Image removed]"),
-        (r"(?i)!\[\]\([^)]*\.(?:jpg|jpeg|png|gif|svg)\)", "[Image removed]"),
-        (r"(?s)<!--.*?-->", ""),
+        (r"(?md)^##\s+(?:Pages|Guide|Landmarks)\s*\n\n[\s\S]*?" + until, "", "##"),
+        (r"\{\.[\w-]+\}", "", "{."),
+        (r"(?md)^(#{1,6})\s+\[([^\]]+)\][ \t]*$", "$1 $2", "["),
+        (r"\\(['\"&])", "$1", "\\"),
+        (r"\[\]\{#[^}]+\}", "", "[]{#"),
+        (r"\{#[\w-]+\}", "", "{#"),
+        (r"(?md)^:{3,}.*$", "", ":::"),
+        (r"(?s)<div[^>]*>.*?</div>", "", "<div") if compat else (r"</?div[^>]*>", "", "div"),
+        (r"(?s)<figure[^>]*>.*?</figure>", "[Image removed]", "<figure"),
+        (r"!\[.*?\]\(\.?/images/[^)]+\)", "[Image removed]", "/images/"),
+        (r"(?i)!\[\]\([^)]*\.(?:jpg|jpeg|png|gif|svg)\)", "[Image removed]", "![]("),
+        (r"(?s)<!--.*?-->", "", "<!--"),
     )
     md = F.array_join(F.transform(F.split(md, "\n", -1), bold_heading), "\n")
-    md = _rewrite(md, (r"(?md)^[ \t]*::: (?:ItemNumber|ItemContent|ClearBoth|booksection|section|chapter).*\n", ""), (r"(?md)^[ \t]*:::[ \t]*\n", ""))
+    md = _rewrite(md, (r"(?md)^[ \t]*::: (?:ItemNumber|ItemContent|ClearBoth|booksection|section|chapter).*\n", "", "::: "), (r"(?md)^[ \t]*:::[ \t]*\n", "", ":::"))
     return _rewrite(
         _without_html_blocks(md),
-        (r"\n{3,}", "\n\n"),
+        (r"\n{3,}", "\n\n", "\n\n\n"),
         (r"(?md)[ \t]+$", ""),
-        (r"<(?!table|tr|td|th|thead|tbody)[^>]+>" if compat else r"<(?!/?(?:table|tr|td|th|thead|tbody)\b)[^>]+>", ""),
-        (r"(?md)^#{1,6}[ \t]*$", ""),
-        (r"\n{3,}", "\n\n"),
+        (r"<(?!table|tr|td|th|thead|tbody)[^>]+>" if compat else r"<(?!/?(?:table|tr|td|th|thead|tbody)\b)[^>]+>", "", "<"),
+        (r"(?md)^#{1,6}[ \t]*$", "", "#"),
+        (r"\n{3,}", "\n\n", "\n\n\n"),
     )
 
 
 def cleaned_book(md: Column, compat: bool = False) -> Column:
     """Books that score well are left alone, others get both clean-ups."""
-    good = optimization_score(artifact_counts(md)) >= GOOD_ENOUGH
-    return F.when(good, md).otherwise(standard_clean(deep_clean(md), compat))
+    good = lambda x: optimization_score(artifact_counts(x)) >= GOOD_ENOUGH
+    return bound(md, lambda x: F.when(good(x), x).otherwise(standard_clean(deep_clean(x), compat)))
 
 
 #: Titles that are parts of a book.

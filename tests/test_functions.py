@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docmill.functions import markdown as md
 from docmill.functions import text as tx
 from docmill.functions import urls
+from docmill.operators import companion
 
 pytestmark = pytest.mark.usefixtures("interpreted")
 
@@ -198,3 +199,25 @@ def test_precheck(spark):
     lit = {"lines": 2000, "headings": 0, "calibre_markers": 0, "anchor_markers": 0, "caps_lines": 0, "html_blocks": 201, "role_attrs": 51, "bracket_classes": 501}
     score, issues, what = md.precheck({k: F.lit(v) for k, v in lit.items()})
     assert one(spark, score) == 15.0 and len(one(spark, issues)) == 4 and one(spark, what) == "skip"
+
+
+def test_long_values_are_made_once(spark):
+    """Rendering, splitting and cleaning hold what they use in several places; each was made anew for every element."""
+    begun = time.monotonic()
+    rows = F.expr("transform(sequence(0, 3000), i -> array(concat(' a', i), 'b|c'))")
+    table = one(spark, md.render_table(rows)).split("\n")
+    assert len(table) == 3002 and table[:2] == ["| a0 | b\\|c |", "| --- | --- |"] and table[-1] == "| a3000 | b\\|c |"
+    words = [f"w{i}." for i in range(60_000)]
+    pieces = each(spark, companion.split_block, [" ".join(words), "\n".join(words)])
+    assert [len(p) for p in pieces] == [120, 120] and " ".join(pieces[0]).split() == words and "\n".join(pieces[1]).split("\n") == words
+    lines = [f"plain line {i}" for i in range(3000)]
+    kept = each(spark, md.without_promotion, ["\n".join([*lines, "## Subscribe", "x"]), "\n".join(["## Subscribe", *lines])])
+    assert kept == ["\n".join(lines), "\n".join(["## Subscribe", *lines])]
+    assert time.monotonic() - begun < 60
+
+
+def test_signs_are_in_all_that_their_patterns_match(spark):
+    text = "# A {#p .x}\n\n[[12](#c1){.biblioref}] ![a](b){w=3} [n]{.s} [x](#3_a.xhtml#q)\n> ::: {}\n"
+    got = one(spark, F.struct(*[c.alias(k) for k, c in md.artifact_counts(F.lit(text)).items()]))
+    assert [got[k] for k in md.ARTIFACTS] == [1, 1, 1, 1, 1, 1] and got["line_count"] == 5
+    assert one(spark, md.artifact_counts(F.lit(None).cast("string"))["citations"]) is None
